@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import packing, quality, simhash
 from .common import table
 
 QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
+    "op5_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
 }
 
