@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash
+from . import decontamination, packing, pii, quality, simhash
 from .common import table
 
+#: For the queries and tests; a real corpus is given a key of its own.
+KEY = b"forecourt"
+
 QUERIES = {
+    "op1_pii_pseudonyms": lambda spark, d: pii.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), KEY, counts=True),
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
     "op5_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op6_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
 }
 
