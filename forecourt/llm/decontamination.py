@@ -1,8 +1,9 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND.
 
-The index is broadcast, in shards of at most SHARD items and SHARD_WORDS words, so what is broadcast is bounded; a larger
-benchmark takes more passes. Documents are neither shuffled nor cut: a passage whose summed term maxima stay below the
-lowest threshold is skipped in numpy, the others walk the postings. What is retrieved is verified on word shingles.
+Index terms are pairs of neighbouring words. The index is broadcast, in shards of at most SHARD items and SHARD_WORDS
+words, so what is broadcast is bounded; a larger benchmark takes more passes. Documents are neither shuffled nor cut: a
+passage whose summed term maxima stay below the lowest threshold is skipped in numpy, the others walk the postings. What
+is retrieved is verified on word shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 PASSAGE, STRIDE = 64, 32
 SHINGLE, SIMILARITY = 5, 0.8
-#: Of an item's score for itself, or for STRIDE of its words if it has more.
+#: Of an item's score for itself, in proportion to what the passage that lies best on it holds of it at least.
 SHARE = 0.5
 K1, B = 1.2, 0.75
 SHARD, SHARD_WORDS = 20_000, 2_000_000
@@ -59,24 +60,29 @@ class Index:
         self.ids, self.parts, bags = [], [], []
         for item_id, text in items:
             question, answer = question_and_answer(text)
-            if question:
+            own = terms(text)
+            if len(own) > 1:
                 self.ids.append(item_id)
                 self.parts.append((question, answer))
-                bags.append(Counter(terms(text)))
+                bags.append(Counter(zip(own, own[1:])))
         n = len(bags)
         mean = sum(sum(b.values()) for b in bags) / max(1, n)
         frequency = Counter(t for b in bags for t in b)
-        self.term_id = {t: i for i, t in enumerate(sorted(frequency))}
+        self.word_id = {w: i for i, w in enumerate(sorted({w for pair in frequency for w in pair}))}
+        code = {(a, b): self.word_id[a] * len(self.word_id) + self.word_id[b] for a, b in frequency}
+        self.codes = np.array(sorted(code.values()), np.int64)
+        self.term_id = {pair: int(i) for pair, i in zip(code, np.searchsorted(self.codes, list(code.values())))}
         self.postings: list[dict[int, float]] = [{} for _ in frequency]
         self.threshold = []
         for slot, bag in enumerate(bags):
             long = sum(bag.values())
+            held = min(1, min(PASSAGE, (long + 1 + STRIDE) / 2) / (long + 1))
             total = 0.0
             for t, f in bag.items():
                 weight = math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * long / mean))
                 self.postings[self.term_id[t]][slot] = weight
                 total += weight
-            self.threshold.append(SHARE * total * min(1, STRIDE / long))
+            self.threshold.append(SHARE * total * held)
         self.slots = [list(p) for p in self.postings]
         self.blocks = []
         for p in self.postings:
@@ -124,31 +130,46 @@ class Index:
             cursor = moved
 
 
+class Words(dict):
+    """Raw words → ids of their terms, found once each; -1 without a term, `other` for those that no item has."""
+
+    def __init__(self, word_id: dict[str, int]):
+        self.word_id, self.other = word_id, len(word_id)
+
+    def __missing__(self, raw: str) -> int:
+        t = term(raw)
+        found = self[raw] = self.word_id.get(t, self.other) if t else -1
+        return found
+
+
 class Searcher:
-    """Finds what a document leaks; keeps the term ids of words that it has seen, `cached` at most."""
+    """Finds what a document leaks; remembers `cached` words at most."""
 
     def __init__(self, index: Index, cached: int = 500_000):
         self.index, self.cached = index, cached
-        self.known: dict[str, int] = {}
+        self.known = Words(index.word_id)
 
     def term_ids(self, text: str) -> np.ndarray:
-        """Of all words with a term; the number of terms stands for words that no item has."""
+        """The term that begins at each word; the number of terms stands for pairs that no item has."""
         raw = text.split()
         if len(self.known) > self.cached:
-            self.known = {}
-        known, other = self.known, len(self.index.postings)
-        for x in set(raw) - known.keys():
-            t = term(x)
-            known[x] = self.index.term_id.get(t, other) if t else -1
-        ids = np.fromiter(map(known.__getitem__, raw), np.int32, len(raw))
-        return ids[ids >= 0]
+            self.known.clear()
+        index, other = self.index, self.known.other
+        words = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        words = words[words >= 0]
+        ids = np.full(max(0, len(words) - 1), len(index.codes))
+        both = np.flatnonzero((words[:-1] < other) & (words[1:] < other))
+        code = words[both] * other + words[both + 1]
+        at = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
+        ids[both] = np.where(index.codes[at] == code, at, len(index.codes)) if len(both) else at
+        return ids
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question overlap, answer overlap) of each item that the document holds."""
         index = self.index
-        ids = self.term_ids(text or "")
-        if not len(ids) or not index.ids:
+        if not index.ids:
             return []
+        ids = self.term_ids(text or "")
         sums = np.concatenate([[0.0], np.cumsum(index.most[ids])])
         starts = np.arange(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)
         stops = np.minimum(starts + PASSAGE, len(ids))
@@ -190,8 +211,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs (doc_id, text) and benchmark (item_id, text); further columns are ignored. Words are compared without case and
     without signs at their ends. score: the best of the document's passages. Both overlaps, shares of the item's runs of
-    five words that the document has too, are 0.8 or more. Null and empty texts and items hold nothing and are in
-    nothing. Null ids and repeated rows are reported as they come; an empty table on either side gives an empty one."""
+    five words that the document has too, are 0.8 or more. Null and empty texts hold nothing; null, empty and one-word
+    items are in nothing. Null ids and repeated rows are reported as they come; an empty table on either side gives an empty one."""
     found = None
     for sent in indexes(benchmark):
 
