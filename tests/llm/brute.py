@@ -48,3 +48,17 @@ def components(fps, radius=2):
                 if (a ^ b).bit_count() <= radius and label[j] < label[i]:
                     label[i], changed = label[j], True
     return label
+
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def base_spans(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    spans.sort()
+    kinds = ["assign", "access", "hex"]
+    joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+    return {f"n_{k}": sum(s[1] == i for s in spans) for i, k in enumerate(kinds)} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest()}, joined
