@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, quality, secrets, simhash
+from . import decontamination, html, packing, pii, quality, secrets, simhash, token_counts
 from .common import table
 
 #: For the queries and tests; a real corpus is given a key of its own.
@@ -13,8 +13,10 @@ QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
     "op5_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_token_counts": lambda spark, d: token_counts.document_token_counts(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secrets(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
+    "op10_html_extraction": lambda spark, d: html.extract(table(spark, d, "pages")),
 }
 
 ORACLES: dict[str, str] = {}
