@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, packing, pii, quality, secrets, simhash, token_counts
+from . import decontamination, html, packing, pii, quality, secrets, simhash, substrings, token_counts
 from .common import table
 
 #: For the queries and tests; a real corpus is given a key of its own.
@@ -11,6 +11,7 @@ KEY = b"forecourt"
 QUERIES = {
     "op1_pii_pseudonyms": lambda spark, d: pii.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), KEY, counts=True),
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
+    "op3_substring_dedup": lambda spark, d: substrings.remove_repeats(table(spark, d, "documents"), digest=True),
     "op5_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_token_counts": lambda spark, d: token_counts.document_token_counts(table(spark, d, "documents")),

@@ -62,3 +62,15 @@ def base_spans(text):
     kinds = ["assign", "access", "hex"]
     joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
     return {f"n_{k}": sum(s[1] == i for s in spans) for i, k in enumerate(kinds)} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest()}, joined
+
+
+def removed(texts, window=35):
+    """For each text (n_words, n_removed, digest of what stays)."""
+    split = [words(t) for t in texts]
+    n = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = {i + k for i in range(len(w) - window + 1) if n[tuple(w[i : i + window])] > 1 for k in range(window)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
