@@ -42,12 +42,12 @@ class Encoder:
         if len(self.heads) + len(self.rest) > self.cached:
             self.heads, self.rest = {}, {}
         heads, rest = self.heads, self.rest
-        if new := list({c[0] for c in cut} - heads.keys()):
+        if new := list({c[0] for c in cut}.difference(heads)):
             heads.update(zip(new, self.ids(new)))
         new = set()
         for c in cut:
             new.update(c[1:])
-        if new := list(new - rest.keys()):
+        if new := list(new.difference(rest)):
             rest.update(zip(new, self.ids(" " + x for x in new)))
         return [heads[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cut]
 
