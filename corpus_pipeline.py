@@ -1,11 +1,18 @@
-"""The corpus pipeline: documents through quality rules and near-duplicate removal."""
+"""The corpus pipeline: documents through quality rules, near-duplicate removal, decontamination, pseudonyms and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps is written as Parquet into the shared folder
+and read again by the next one, so that a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forecourt.llm import quality, simhash
-from forecourt.llm.common import materialize
+from forecourt.llm import decontamination, packing, pii, quality, simhash
+from forecourt.llm.common import materialize, table
+
+#: The session setting that holds the pseudonyms' key, and the key where it isn't set, as in tests.
+KEY_SETTING, DEFAULT_KEY = "spark.forecourt.pii.key", "forecourt"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,19 +21,35 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", good), ("simhash", unique)]
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts turns into pseudonyms of the same format; n_chars counts the new text."""
+    key = spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
+    return pii.pseudonymize(docs, key).selectExpr(*[f"CAST(length(text) AS {kind}) AS {c}" if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", good), ("simhash", unique), ("decontamination", uncontaminated), ("pii_pseudonyms", pseudonymous), ("best_fit_packing", packed)]
 
-#: SimHash components and packing have no SQL form; tests hold the stages against brute force.
+#: Fingerprint components, BM25 search, keyed permutations and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's result is written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES over documents."""
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
