@@ -32,7 +32,7 @@ FIELDS: dict[str, tuple[list[str], str]] = {
 #: Further spellings under which an ad shows a field.
 SPELLINGS = {
     "Source Link": "source_url", "Kilometers driven": "mileage", "4x2 / 4x4": "drive_type", "body colour": "colour", "price summary": "pricing_summary",
-    "dealer_address": "address", "Dealer average rating": "dealer_rating", "contact_number": "contact_phone", "title description": "variant", "vehicle highlights": "highlights",
+    "dealer_address": "address", "Dealer average rating": "dealer_rating", "contact_number": "contact_phone", "title description": "variant",
 }
 
 
@@ -54,7 +54,7 @@ def canonical(listings: DataFrame) -> DataFrame:
     fields["variant"] = alias(listings, ["title description", "title_description", "variant"], fields["title"])
     fields["description"] = alias(listings, ["description"], fields["title"])
     fields["price"] = price_digits(F.col("price").cast("string")) if "price" in has else F.lit("0")
-    for name, own in (("features", ["features"]), ("highlights", ["vehicle highlights", "highlights"])):
+    for name, own in (("features", ["features"]), ("vehicle highlights", ["vehicle highlights", "highlights"])):
         there = next((c for c in own if c in has), None)
         fields[name] = F.lit(UNKNOWN) if there is None else flatten(F.col(f"`{there}`")) if has[there].startswith("array") else clean(F.col(f"`{there}`"))
     shown = fields | {name: fields[of] for name, of in SPELLINGS.items()} | {k: F.lit(v) for k, v in CONSTANTS.items()}
@@ -93,7 +93,7 @@ def preferred_images(sources: DataFrame, most: int = 5) -> DataFrame:
     return best.groupBy("source_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "path"))), 1, most), lambda x: x["path"]).alias("images"))
 
 
-#: The form's slots in order → field of an ad.
+#: The form's slots in order: fields of an ad, but for highlights, which an ad calls vehicle highlights.
 SLOTS = [
     "title", "variant", "condition", "year", "mileage", "transmission", "fuel", "drive_type", "colour", "seats", "pricing_summary", "dealer_name",
     "address", "dealer_rating", "contact_phone", "source_url", "source_id", "features", "highlights", "price", "location", "description",
@@ -102,5 +102,6 @@ SLOTS = [
 
 def payload(ads: DataFrame) -> DataFrame:
     """(source_id, slot, name, value): what the form is filled with, in order; the condition slot is always Used."""
-    values = [F.struct(F.lit(n).alias("name"), (F.lit("Used") if n == "condition" else F.col(n)).alias("value")) for n in SLOTS]
+    named = {n: F.col(n) for n in SLOTS if n != "highlights"} | {"condition": F.lit("Used"), "highlights": F.col("`vehicle highlights`")}
+    values = [F.struct(F.lit(n).alias("name"), named[n].alias("value")) for n in SLOTS]
     return ads.select("source_id", F.posexplode(F.array(*values)).alias("slot", "at")).select("source_id", "slot", "at.name", "at.value")

@@ -347,7 +347,7 @@ def features_flatten(spark, d):
 D_AD = {
     "source_id": d_clean("source_id"), "source_url": d_clean("source_url"), "title": d_clean("title", "'Used Car'"), "variant": D_VARIANT, "condition": d_clean("condition"),
     "mileage": d_clean("mileage"), "colour": d_clean("colour"), "dealer_name": d_clean("dealer_name"), "address": d_clean("dealer_address"), "price": d_price("price"),
-    "description": d_clean("title", "'Used Car'"), "features": "'.'", "highlights": "'.'", "currency": "'R (Rand)'", "tag": "'Sale'", "location": "'South Africa'",
+    "description": d_clean("title", "'Used Car'"), "features": "'.'", "vehicle highlights": "'.'", "currency": "'R (Rand)'", "tag": "'Sale'", "location": "'South Africa'",
 } | {c: "'.'" for c in ("year", "transmission", "fuel", "drive_type", "seats", "pricing_summary", "dealer_rating", "contact_phone")}
 D_SHOWN = D_AD | {k: D_AD[v] for k, v in ads.SPELLINGS.items()}
 
@@ -384,8 +384,8 @@ def image_precedence(spark, d):
     return ads.preferred_images(ranked).select("source_id", F.array_join("images", ",").alias("images"))
 
 
-@query("WITH ad AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in D_AD.items()) + " FROM v_listing) " + " UNION ALL ".join(
-    f"SELECT source_id, {i} AS slot, '{n}' AS name, " + ("'Used'" if n == "condition" else n) + " AS value FROM ad" for i, n in enumerate(ads.SLOTS)))
+@query("WITH ad AS (SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in D_AD.items()) + " FROM v_listing) " + " UNION ALL ".join(
+    f"SELECT source_id, {i} AS slot, '{n}' AS name, " + ("'Used'" if n == "condition" else '"vehicle highlights"' if n == "highlights" else n) + " AS value FROM ad" for i, n in enumerate(ads.SLOTS)))
 def ad_payload_long(spark, d):
     return ads.payload(ads.canonical(load(spark, d, "v_listing")))
 
