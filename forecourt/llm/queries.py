@@ -21,4 +21,51 @@ QUERIES = {
     "op10_html_extraction": lambda spark, d: html.extract(table(spark, d, "pages")),
 }
 
-ORACLES: dict[str, str] = {}
+BLANKS = r"[\x20\x09-\x0D]"
+WORDS = rf"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '{BLANKS}+'), lambda x: x <> '') AS w FROM d)"""
+
+
+def repeats(n: int, per: str) -> str:
+    """CTE c: (r, i) of each word in a window of n that is found twice or more, per text or in all."""
+    return rf"""g AS (SELECT r, i, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY {per}) AS n FROM g) WHERE n > 1)"""
+
+
+def matches(rank: int, r: secrets.Rule) -> str:
+    """(r, rank, start, stop) of a rule's matches, from the lengths of what it matches and of what lies between."""
+    regex = r.regex.replace("'", "''").replace("(?<![0-9a-f])", "")
+    return f"""SELECT r, {rank} AS rank, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (
+  SELECT r, hit, sum(length(hit) + length(gap)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
+    SELECT r, i, hits[i] AS hit, gaps[i] AS gap FROM (SELECT r, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(text, '{regex}', 0) AS hits, regexp_split_to_array(text, '{regex}') AS gaps FROM d))))
+WHERE length(regexp_extract(hit, '{regex}', {r.value})) >= {r.least}"""
+
+
+KINDS = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+SPANS = f"string_agg(({KINDS})[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+BASE = [i for i, r in enumerate(secrets.RULES) if r.base]
+
+ORACLES: dict[str, str] = {
+    "op8_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(matches(i, r) for i, r in enumerate(secrets.RULES))}),
+a AS (SELECT r, {SPANS} AS spans, {SPANS} FILTER (rank IN ({", ".join(map(str, BASE))})) AS base,
+  {", ".join(f"count(*) FILTER (rank = {i}) AS n_{secrets.RULES[i].kind}" for i in BASE)} FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)""",
+    "op2_quality_rules": rf"""
+WITH {WORDS}, {repeats(5, "r, g")},
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
+m AS (SELECT doc_id, text, len(w) AS n_words, length(regexp_replace(text, '{BLANKS}', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN n USING (r)),
+b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > len(lines) OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+    OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))) AS kept FROM b""",
+    "op3_substring_dedup": rf"""
+WITH {WORDS}, {repeats(35, "g")},
+k AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
+}
