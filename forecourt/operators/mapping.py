@@ -22,10 +22,19 @@ def option_keys(options: DataFrame) -> DataFrame:
     return options.groupBy("field", match_key(F.col("label")).alias("key")).agg(F.min_by("label", "pos").alias("label"))
 
 
+#: Options of a form that are broadcast at most.
+MOST_OPTIONS = 10_000
+
+
+def few(options: DataFrame) -> bool:
+    return options.limit(MOST_OPTIONS + 1).count() <= MOST_OPTIONS
+
+
 def map_option(records: DataFrame, options: DataFrame, field: str, value: Column, to: str) -> DataFrame:
-    """records with column `to`: the option's own spelling for value, null if there is none. A form's options are few: they are broadcast."""
+    """records with column `to`: the option's own spelling for value, null if there is none. Up to MOST_OPTIONS options are broadcast; more are joined as Spark sees fit."""
     own = option_keys(options.where(F.col("field") == field)).select(F.col("key").alias("_key"), F.col("label").alias(to))
-    return records.withColumn("_key", match_key(value)).join(F.broadcast(own), "_key", "left").drop("_key")
+    own = F.broadcast(own) if few(options) else own
+    return records.withColumn("_key", match_key(value)).join(own, "_key", "left").drop("_key")
 
 
 def missing(value: Column) -> Column:
@@ -62,6 +71,8 @@ def verdict(errors: Column) -> Column:
 
 def loose_option(records: DataFrame, options: DataFrame, key: list[str], targets: Column, to: str = "label") -> DataFrame:
     """key and, as `to`, the first option (pos, label) whose text holds one of targets or equals one, without case; null if none."""
+    if not few(options):
+        raise ValueError(f"more than {MOST_OPTIONS} options can't be compared with every record")
     own = F.lower("label")
     hit = F.exists(targets, lambda t: F.contains(own, F.lower(t)) | (own == F.lower(t)))
     found = records.join(F.broadcast(options.select("pos", "label")), hit, "left")
