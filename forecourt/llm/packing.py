@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import Encoder, default_path, groups
+from .tokens import default_path, encoder, groups
 
 SEPARATOR = 0
 CAPACITY = 2048
@@ -37,12 +37,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFra
     """A row for each piece; nth numbers the pieces of equal length within a partition, part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = Encoder(path), defaultdict(int), TaskContext.get().partitionId()
+        tokens, seen, part = encoder(path), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             doc_ids, at = b.column(0).to_pylist(), 0
             for texts in groups(x.as_py() for x in b.column(1)):
                 rows = []
-                for ids in encoder.encode(texts):
+                for ids in tokens.encode(texts):
                     ids += SEPARATOR.to_bytes(4, "little")
                     for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
-from .tokens import Encoder, default_path, groups
+from ..sources.shared import new_path
+from .tokens import default_path, encoder, groups
 
 END = 50256
 #: Files larger than this are refused: one is read whole by a task.
@@ -27,10 +27,10 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int =
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, "H")
+        own = encoder(path, "H")
         for b in batches:
             for texts in groups(x.as_py() for x in b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(texts), pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.encode(texts), pa.binary())], ["ids"])
 
     ids = docs.select("text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
     separator = end.to_bytes(2, "little").decode("latin-1")
