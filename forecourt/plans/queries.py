@@ -426,9 +426,10 @@ D_SOURCE = [
 D_FORM = [d_missing(f, f, "form") for f in mapping.FORM]
 
 
-def audited(spark: SparkSession, d: str) -> DataFrame:
-    """v_listing with source_errors and form_errors."""
-    rows = load(spark, d, "v_listing").withColumn("cond", mapping.schema_org_condition(F.col("condition"))).withColumn("description", clean(F.col("title"), "Used Car"))
+def audited(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """rows of v_listing, all unless given, with source_errors and form_errors."""
+    rows = load(spark, d, "v_listing") if rows is None else rows
+    rows = rows.withColumn("cond", mapping.schema_org_condition(F.col("condition"))).withColumn("description", clean(F.col("title"), "Used Car"))
     options = load(spark, d, "v_form_option")
     rows = mapping.map_option(rows, options, "condition", F.col("cond"), "m_condition")
     rows = mapping.map_option(rows, options, "colour", F.col("colour"), "m_colour")
@@ -460,10 +461,10 @@ WITH {D_MAPPED}, kept AS (SELECT * FROM mapped WHERE NOT {BAD_TITLE} QUALIFY row
 SELECT CASE WHEN concat_ws('; ', {', '.join(D_SOURCE + D_FORM)}) = '' THEN 'FORM_FILLED' ELSE 'BLOCKED' END AS status,
   concat_ws('; ', {', '.join(D_SOURCE + D_FORM)}) AS errors, count(*) AS n FROM kept GROUP BY ALL""")
 def ad_verdict(spark, d):
-    """The flagship: exclusion, de-duplication, option mapping, both audits, verdict counts."""
-    kept = filters.first_seen(filters.exclude_by_title(audited(spark, d), load(spark, d, "v_exclusion")), "source_id", LISTING_ORDER)
+    """The flagship: exclusion and de-duplication first, then option mapping and both audits of what is left, verdict counts."""
+    kept = filters.first_seen(filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion")), "source_id", LISTING_ORDER)
     errors = F.array_distinct(F.concat("source_errors", "form_errors"))
-    return kept.groupBy(mapping.verdict(errors).alias("status"), F.array_join(errors, "; ").alias("errors")).agg(F.count("*").alias("n"))
+    return audited(spark, d, kept).groupBy(mapping.verdict(errors).alias("status"), F.array_join(errors, "; ").alias("errors")).agg(F.count("*").alias("n"))
 
 
 @query("""
