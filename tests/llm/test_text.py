@@ -371,6 +371,18 @@ def test_main_text(spark):
     assert html.extract(pages_of(spark, rows)).count() == 6 and html.extract(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_odd_markup():
+    cases = {
+        '<article><div class="article-header"><h1>T</h1></div><div class="ad-slot">x</div><article class="comment"><p>c</p></article><p>a</p></article>': "T\na",
+        '<article><p title="x>y">a</p><p title="open>b</p><p>1 < 2 <3</p></article>': "a\nb\n1 < 2 <3",
+        "<article>a &amp;lt; b&nbsp;c<br/>d<!-- > --><p>e</article": "a &lt; b c d\ne",
+        "<div role=navigation>m</div><div class='cookie-notice'>k</div><main>t</main>": "t",
+        "<ARTICLE><P>A<SCRIPT>if (a < b) {'<p>'}</SCRIPT>B</P></ARTICLE>": "AB",
+    }
+    for page, text in cases.items():
+        assert html.main_text(page, set()) == text, page
+
+
 def test_style_tree_cuts_what_a_site_repeats(spark):
     """Without an article element, the branch that reads the same on all pages goes; on another host the same branch varies and stays."""
     rows = [(i, f"https://same.example.com/{i}", f"<body><div id='top'><span>Welcome to us</span></div><div id='body'><p>text {i} {i * 7}</p><p>more {i}</p></div></body>") for i in range(30)]
