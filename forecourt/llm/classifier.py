@@ -8,6 +8,7 @@ labels and learnt from.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BUCKETS, SIZE, NONZERO, REACH = 1 << 14, 64, 4, 2
+#: Parts in which the matrix of sums travels.
+BLOCKS = 64
 #: Words that are gathered before their counts are added, and after which a long document's sums are taken up.
 TOKENS = 1 << 20
 PIECE = 1 << 15
@@ -49,7 +52,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in; (row, c0, c1, ...) out, this partition's sums over neighbours up to REACH words away."""
+    """Texts in; (block, sums) out, this partition's sums over neighbours up to REACH words away, as packed() blocks of rows."""
     places, signs = index_vectors()
     buckets, sums = Buckets(), np.zeros(BUCKETS * SIZE)
 
@@ -74,20 +77,35 @@ def context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         add(held)
-    table = sums.reshape(BUCKETS, SIZE).astype(np.int64)
-    used = np.flatnonzero(np.abs(table).sum(axis=1))
-    names = ["row", *(f"c{i}" for i in range(SIZE))]
-    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, i]) for i in range(SIZE))], names)
+    yield packed(sums.astype(np.int64).reshape(BLOCKS, -1))
+
+
+def packed(blocks: np.ndarray) -> pa.RecordBatch:
+    """A row per block that isn't all zero; compressed, as most sums of a partition are small."""
+    rows = [(i, zlib.compress(x.astype("<i8").tobytes(), 1)) for i, x in enumerate(blocks) if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "sums"])
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(block), "<i8")
+
+
+def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks that come; at most the whole matrix is held."""
+    sums = np.zeros((BLOCKS, BUCKETS * SIZE // BLOCKS), np.int64)
+    for b in batches:
+        for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+            sums[i] += unpacked(x.as_py())
+    yield packed(sums)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS unit vectors of SIZE from the texts of all docs; sums per row are made before the shuffle and after it."""
-    schema = ", ".join(["row long", *(f"c{i} long" for i in range(SIZE))])
-    sums = docs.select("text").mapInArrow(context_sums, schema).groupBy("row").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(SIZE)])
-    table = np.zeros((BUCKETS, SIZE))
-    got = sums.toArrow()  # BUCKETS rows at most
-    if got.num_rows:
-        table[got.column(0).to_numpy()] = np.stack([got.column(i + 1).to_numpy() for i in range(SIZE)], axis=1)
+    """BUCKETS unit vectors of SIZE from the texts of all docs; sums are made before the shuffle and after it."""
+    own = docs.select("text").mapInArrow(context_sums, "block int, sums binary")
+    table = np.zeros((BLOCKS, BUCKETS * SIZE // BLOCKS))
+    for r in own.repartition("block").mapInArrow(add_blocks, "block int, sums binary").collect():  # BLOCKS rows at most
+        table[r["block"]] += unpacked(r["sums"])
+    table = table.reshape(BUCKETS, SIZE)
     table = np.sign(table) * np.log1p(np.abs(table))
     table -= table.mean(axis=0)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
