@@ -24,7 +24,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Of an item's score for itself, in proportion to what the passage that lies best on it holds of it at least.
 SHARE = 0.5
 K1, B = 1.2, 0.75
-SHARD, SHARD_WORDS = 20_000, 2_000_000
+SHARD, SHARD_WORDS = 5_000, 300_000
 BLOCK = 8
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
