@@ -34,12 +34,12 @@ def repeated_words(w: Column) -> Column:
 
     def covered(s: Column) -> Column:
         again = F.filter(s, lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | (F.get(s, k + 1)["w"] == x["w"]))
-        places = F.array_sort(F.transform(again, lambda x: x["i"]))
+        places = F.sort_array(F.transform(again, lambda x: x["i"]))
         steps = let(places, lambda p: F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.get(p, k + 1) - x)))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
     windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("w"), i.alias("i")))
-    return F.when(count < WINDOW, 0).when(unique, 0).otherwise(let(F.array_sort(windows), covered))
+    return F.when(count < WINDOW, 0).when(unique, 0).otherwise(let(F.sort_array(windows), covered))
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def base_metrics(docs: DataFrame) -> DataFrame:
             "doc_id",
             "text",
             F.size("w").cast("long").alias("n_words"),
-            F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+            kept_chars(f"[^{SYMBOLS}]+").cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             let(F.col("w"), repeated_words).cast("long").alias("n_repeat_words"),
         )
