@@ -342,6 +342,13 @@ def test_classifier_on_odd_tables(spark):
     assert classifier.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_blocks_of_sums_travel_unchanged():
+    sums = np.random.default_rng(1).integers(-(2**40), 2**40, (classifier.BLOCKS, 32))
+    sums[3], sums[5, 0] = 0, -1
+    got = {i: classifier.unpacked(x) for i, x in zip(*(c.to_pylist() for c in classifier.packed(sums).columns))}
+    assert 3 not in got and all(np.array_equal(got[i], sums[i]) for i in got) and len(got) == classifier.BLOCKS - 1
+
+
 def test_pooling_takes_long_texts_piecewise(monkeypatch):
     vectors = np.random.default_rng(0).normal(size=(classifier.BUCKETS, classifier.SIZE)).astype(np.float32)
     text = " ".join(f"w{i % 77}" for i in range(1000))
