@@ -163,7 +163,9 @@ SPEC_TOKENS = [
 
 
 def d_spec(slot: str) -> str:
-    first = f"list_filter(t, lambda x: regexp_matches(x, '{extract.SLOTS[slot]}'))[1]"
+    test = extract.SLOTS[slot]
+    fits = f"regexp_matches(x, '{test}')" if isinstance(test, str) else f"lower(x) IN ({', '.join(map(repr, test))})"
+    first = f"list_filter(t, lambda x: {fits})[1]"
     if slot == "mileage":
         seats = f"list_filter(t, lambda x: regexp_matches(x, '{extract.SLOTS['seats']}'))[1]"
         first = f"list_filter(t, lambda x, i: regexp_matches(x, '{extract.SLOTS[slot]}') AND i <> coalesce(list_position(t, {seats}), 0))[1]"
@@ -172,11 +174,11 @@ def d_spec(slot: str) -> str:
 
 
 @query(rf"""
-WITH p AS (SELECT source_id, list_filter([{', '.join(SPEC_TOKENS)}], lambda x: length(x) <= 40 AND NOT contains(x, chr(10)) AND NOT regexp_matches(x, '{extract.NOT_A_SPEC}')) AS t FROM v_listing)
+WITH p AS (SELECT source_id, list_filter([{', '.join(SPEC_TOKENS)}], lambda x: length(x) <= 40 AND NOT contains(x, chr(10)) AND NOT regexp_matches(x, '(?i){'|'.join(extract.NOT_A_SPEC)}')) AS t FROM v_listing)
 SELECT source_id, {', '.join(map(d_spec, extract.SLOTS))} FROM p""")
 def spec_first_match(spark, d):
     tokens = load(spark, d, "v_listing").select("source_id", F.array_compact(F.array(*map(F.expr, SPEC_TOKENS))).alias("tokens"))
-    return tokens.select("source_id", *[c.alias(slot) for slot, c in extract.specs(F.col("tokens")).items()])
+    return extract.specs(tokens, "tokens").drop("tokens")
 
 
 @query(r"SELECT source_id, coalesce(nullif(regexp_extract(source_url, '/((?:19|20)\d{2})-', 1), ''), '.') AS year FROM v_listing")

@@ -37,7 +37,7 @@ def test_match_key_and_capitalize(spark):
 def test_specs_seats_and_mileage_share_a_token(spark):
     tokens = [["5 seats 100 km", "20 000 km"], ["20 000 km", "5 seats 100 km"], ["airbag 4x4"], None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t array<string>")
-    got = rows.select("i", *[c.alias(k) for k, c in extract.specs(F.col("t")).items()]).orderBy("i").collect()
+    got = extract.specs(rows, "t").orderBy("i").collect()
     assert [(r.seats, r.mileage) for r in got[:2]] == [("5 seats 100 km", "20 000 km"), ("5 seats 100 km", "20 000 km")]
     assert got[2].drive == "." and got[3].fuel_type == "."
 
