@@ -209,7 +209,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     features = materialize(docs.select("doc_id", "text").mapInArrow(pool, "doc_id long, x array<float>"), "features")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y")).where(~held_out)
-    chosen = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_labelled).toArrow()
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_labelled)  # so few that they are broadcast
+    chosen = features.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_labelled).toArrow()
     x = np.array(chosen.column("x").to_pylist(), float).reshape(chosen.num_rows, 2 * SIZE + 2)
     network = fit(x, (chosen.column("y").to_numpy() > 0).astype(float))
 
