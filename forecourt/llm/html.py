@@ -37,6 +37,11 @@ MARKS = set(
     " header masthead menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor"
     " sponsored subscribe widget complementary contentinfo search".split()
 )
+#: In compounds as site-header or ad-slot these leave a mark's sense; others, as in has-sidebar or search-results, don't.
+PLACES = set("site main global top bottom left right primary secondary area bar block box button buttons form items link links list posts section slot unit".split())
+#: Around an article inside a main element these list other articles.
+OTHERS = MARKS & set("ad ads advert adverts advertisement comment comments comments-area promo related sidebar sponsor sponsored".split())
+MAIN = {"article", "main"}
 #: Inside an article these are its own.
 HEADS = {"header", "masthead", "banner"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -57,20 +62,45 @@ def name(tag: str, attrs: str) -> tuple[str, set[str]]:
     if "=" not in attrs:
         return tag, set()
     words = [w.lower() for m in ATTR.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").split()]
-    return ".".join([tag, *sorted(words)]), {x for w in words for x in (w, *re.split("[-_]+", w))} & MARKS
+    marks = set()
+    for w in words:
+        parts = {w} if w in MARKS else {x for x in re.split("[-_]+", w) if x and not x[0].isdigit()}
+        if parts <= MARKS | PLACES:
+            marks |= parts & MARKS
+    return ".".join([tag, *sorted(words)]), marks
 
 
 class Node:
-    __slots__ = ("tag", "path", "id", "noise", "main", "styles")
+    __slots__ = ("tag", "path", "id", "up", "marks", "holds", "noise", "main", "styles")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.styles = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, up: Node | None = None, marks: set[str] = frozenset()):
+        self.tag, self.path, self.up, self.marks, self.styles = tag, path, up, marks, []
+        self.holds = self.noise = self.main = False
         self.id = xxhash.xxh64_intdigest(path) - (1 << 63)
 
+    def judge(self) -> None:
+        """Sets noise and main, after those of the element around it and when all inside it is known.
+
+        What is around an article or main element isn't noise by its marks, nor is that element, html or body."""
+        up, tag, marks = self.up, self.tag, self.marks
+        if tag in ("html", "body") or not up.main and (self.holds or tag in MAIN):
+            marks = set()
+        elif up.main:
+            marks = marks & OTHERS if (self.holds or tag in MAIN) and not up.within("article") else marks - HEADS
+        noisy = tag in NOISE and not (tag == "header" and up.main) and not (tag == "form" and self.holds and not up.main)
+        self.noise = up.noise or bool(marks) or noisy
+        self.main = not self.noise and (up.main or tag in MAIN)
+
+    def within(self, tag: str) -> bool:
+        n = self
+        while n and n.tag != tag:
+            n = n.up
+        return n is not None
+
 
 def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
     """(node, text) of each block of text, in page order, and all nodes. Spaces are single, ends trimmed, references decoded."""
-    root = Node("", "", False, False)
+    root = Node("", "")
     stack, nodes, blocks, held = [root], [], [], []
 
     def flush() -> None:
@@ -116,14 +146,17 @@ def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
                 stack.pop()
         up = stack[-1]
         own, marks = name(tag, m["attrs"])
-        main = up.main or tag in ("article", "main")
-        noise = up.noise or bool(marks - HEADS if up.main else marks) or (tag in NOISE and not (tag == "header" and up.main))
-        node = Node(tag, f"{up.path}/{own}", noise, main and not noise)
+        node = Node(tag, f"{up.path}/{own}", up, marks)
+        if tag in MAIN:
+            for n in stack:
+                n.holds = True
         up.styles.append(own)
         stack.append(node)
         nodes.append(node)
     held.append((html or "")[at:])
     flush()
+    for node in nodes:
+        node.judge()
     return blocks, nodes
 
 

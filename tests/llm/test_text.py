@@ -436,3 +436,26 @@ def test_pipeline(spark):
         assert sum(r.length for r in own) == len(x)
         assert all(zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in own)
     assert corpus_pipeline.unique(spark, docs.limit(0), str(DATA)).count() == 0 and PROSE
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<body class="has-sidebar">', "</body>"),
+        ('<html class="no-ad"><body class="comments-open search">', "</body></html>"),
+        ('<body><div class="layout-no-sidebar">', "</div></body>"),
+        ('<div id="search-results">', "</div>"),
+        ('<div class="widget sidebar"><div role="search">', "</div></div>"),
+        ('<form id="page">', "</form>"),
+        ('<main class="search"><div class="widget">', "</div></main>"),
+    ],
+)
+def test_marked_wrappers_keep_their_article(before, after):
+    page = f'<div class="sidebar">side</div>{before}<nav>menu</nav><article class="post widget"><p>The story.</p><div class="share">s</div><div class="ad-slot">a</div></article>{after}'
+    assert html.main_text(page, set()) == "The story."
+
+
+def test_marks_inside_articles_and_compounds():
+    page = '<main><article><p>A</p><div class="comments"><article>c</article></div></article><div class="related-posts"><article>r</article></div></main>'
+    assert html.main_text(page, set()) == "A"
+    assert html.main_text('<div class="layout-no-sidebar"><p>A</p><div class="site-footer">f</div><div class="ad-300">a</div></div>', set()) == "A"
