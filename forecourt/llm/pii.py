@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -108,21 +109,95 @@ def iban(text: str, key: bytes, back: bool) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
-def phone(text: str, key: bytes, back: bool) -> str | None:
-    """The last ten digits; a country code stays."""
-    digits = digits_of(text)
-    return refill(text, digits[:-10] + permute_digits(digits[-10:], "phone", key, back))
+#: Country codes, with the most digits that follow them; other codes have three digits and up to MOST_DIGITS.
+MOST_DIGITS = 10
+COUNTRIES = {"1|7|44": 10, "3[123469]|41": 9, "39|49": 11, "2[07]|30|4[03578]|5[1-8]|6[0-6]|8[1246]|9[0-58]": MOST_DIGITS}
+CODE = re.compile(rf"\+({'|'.join(COUNTRIES)}|[0-9]{{3}})")
 
 
-def card(text: str, key: bytes, back: bool) -> str | None:
-    digits = digits_of(text)
-    if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
-        return None
-    while True:
-        body = permute_digits(digits[:-1], "card", key, back)
-        digits = f"{body}{luhn(body)}"
-        if len(set(digits)) > 1:
-            return refill(text, digits)
+def phone(text: str, key: bytes, back: bool) -> str | None:
+    """All digits after the country code, or all of them."""
+    at = m.end() if (m := CODE.match(text)) else 0
+    return text[:at] + refill(text[at:], permute_digits(digits_of(text[at:]), "phone", key, back))
+
+
+def is_card(digits: str) -> bool:
+    return luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
+
+#: How the cards that stand beside other numbers begin; these have at most GROUPS groups, all but the last of three digits or more.
+ISSUER = re.compile("[3-6]|2[2-7]")
+GROUPS = 5
+
+
+class Run:
+    """Groups of digits between single spaces or hyphens, and which of their sequences may be a card.
+
+    These are, from the left, the most groups of up to 19 digits, and any sequence grouped as cards are. Which they are
+    depends on the lengths of the groups alone, so it is the same for a text and its pseudonyms."""
+
+    def __init__(self, text: str):
+        self.text = text
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        sizes = [b - a for a, b in groups]
+        spans: dict[tuple[int, int], bool] = {}  # True: of any issuer
+        for i in range(len(groups)):
+            n = 0
+            for j in range(i, min(i + GROUPS, len(groups))):
+                n += sizes[j]
+                if 13 <= n <= 19:
+                    spans[groups[i][0], groups[j][1]] = False
+                if n > 19 or sizes[j] < 3:
+                    break
+        i = n = 0
+        for j in range(len(groups) + 1):
+            if j == len(groups) or n + sizes[j] > 19:
+                if 13 <= n <= 19:
+                    spans[groups[i][0], groups[j - 1][1]] = True
+                i, n = j, 0
+            n += sizes[j] if j < len(groups) else 0
+        self.length = {s: len(digits_of(text[slice(*s)])) for s in spans}
+        self.spans = sorted(spans, key=lambda s: (-self.length[s], s))
+        self.any = spans
+        self.valid = {s: self.check(s) for s in self.spans}
+
+    def check(self, span: tuple[int, int]) -> bool:
+        digits = digits_of(self.text[slice(*span)])
+        return bool(self.any[span] or ISSUER.match(digits)) and is_card(digits)
+
+    def put(self, span: tuple[int, int], digits: str) -> None:
+        a, b = span
+        self.text = self.text[:a] + refill(self.text[a:b], digits) + self.text[b:]
+        for s in self.spans:
+            if s[0] < b and a < s[1]:
+                self.valid[s] = self.check(s)
+
+    def cards(self) -> list[tuple[int, int]]:
+        """The cards, of those that overlap the longest, then the first."""
+        found: list[tuple[int, int]] = []
+        for s in self.spans:
+            if self.valid[s]:
+                at = bisect_left(found, s)
+                if (at == 0 or found[at - 1][1] <= s[0]) and (at == len(found) or s[1] <= found[at][0]):
+                    found.insert(at, s)
+        return found
+
+
+def cards(text: str, key: bytes, back: bool) -> tuple[str, int]:
+    """text, a run of groups of digits, with the pseudonyms of its cards, and how many there are.
+
+    A pseudonym with which the run would be read otherwise is passed on to the next, so that all turn back."""
+    run = Run(text)
+    found = run.cards()
+    for span in reversed(found) if back else found:
+        digits = digits_of(run.text[slice(*span)])
+        while True:
+            body = permute_digits(digits[:-1], "card", key, back)
+            digits = f"{body}{luhn(body)}"
+            run.put(span, digits)
+            if run.cards() == found:
+                break
+    return run.text, len(found)
 
 
 def ip(text: str, key: bytes, back: bool) -> str | None:
@@ -179,15 +254,23 @@ def date(text: str, key: bytes, back: bool) -> str | None:
 
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+DATE = r"(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![\w/-]|\.[0-9])"
+PLAIN_PHONE = r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])"
+#: The country code, an area code or (0) in parentheses, and at least six digits.
+ABROAD = "|".join(rf"(?:{code})(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]){{6,{most}}}(?![0-9])" for code, most in [*COUNTRIES.items(), ("[0-9]{3}", MOST_DIGITS)])
 NUMBER = re.compile(
     r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-    r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9]))"
-    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![\w/-]|\.[0-9]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+    rf"|(?<![\w+])\+(?:{ABROAD})"
+    r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    rf"|(?<![\w.+-]){PLAIN_PHONE})"
+    rf"|(?P<ip>(?<![\w.]){IP})"
+    rf"|(?P<ssn>(?<![\w-]){SSN})"
+    rf"|(?P<date>(?<![\w./-]){DATE})"
+    rf"|(?P<card>(?<![\w-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9](?:[0-9]|-[0-9]| (?!{IP}|{SSN}|{DATE}|{PLAIN_PHONE})[0-9])+(?![\w-]))"
 )
-RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "phone": phone, "card": card, "ip": ip, "ssn": ssn, "date": date}
+RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "phone": phone, "ip": ip, "ssn": ssn, "date": date}
 
 
 def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -196,6 +279,11 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
 
     def put(m: re.Match, kind: str | None = None) -> str:
         kind = kind or m.lastgroup
+        if kind == "card":
+            new, n = cards(m[0], key, back)
+            if n:
+                found[kind] = found.get(kind, 0) + n
+            return new
         new = RULES[kind](m[0], key, back)
         if new is None:
             return m[0]
@@ -216,9 +304,9 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
 def pseudonymize(docs: DataFrame, key: bytes, counts: bool = False, back: bool = False) -> DataFrame:
     """docs with its text rewritten and all columns kept; with counts, also n_<kind> (int) for each kind.
 
-    Kinds: e-mail addresses (the name before the @), IBANs with right check digits, phone numbers with an area code, card
-    numbers of 13 to 19 digits with a right check digit, IPv4 addresses, US social security numbers, dates. Check
-    digits are right again afterwards and separators stay. back: the reverse, with the same key. Null text stays null
+    Kinds: e-mail addresses (the name before the @), IBANs with right check digits, phone numbers with a country code, an area
+    code in parentheses or as 555-123-4567, card numbers of 13 to 19 digits with a right check digit, also beside other
+    numbers, IPv4 addresses, US social security numbers, dates. Check digits are right again afterwards and separators stay. back: the reverse, with the same key. Null text stays null
     and counts 0; empty tables, repeated rows and null ids pass through."""
     columns = docs.columns
     added = [f"n_{k}" for k in KINDS] if counts else []

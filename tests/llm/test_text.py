@@ -459,3 +459,31 @@ def test_marks_inside_articles_and_compounds():
     page = '<main><article><p>A</p><div class="comments"><article>c</article></div></article><div class="related-posts"><article>r</article></div></main>'
     assert html.main_text(page, set()) == "A"
     assert html.main_text('<div class="layout-no-sidebar"><p>A</p><div class="site-footer">f</div><div class="ad-300">a</div></div>', set()) == "A"
+
+
+def test_cards_beside_other_numbers():
+    card, r = "4111 1111 1111 1111", random.Random(5)
+    texts = [f"card {card} 12/27", "4111111111111111 123", f"no 7 {card}", f"{card} 12/12/2027", f"12 34 56 78 {card}", f"{card} 3782 822463 10005", f"{card} 555-123-4567", "4111-1111-1111-1111 99"]
+    for text in texts:
+        new, found = pii.rewrite(text, KEY)
+        assert found["card"] >= 1 and not {card, card.replace(" ", ""), card.replace(" ", "-")} & {new[i : i + n] for n in (16, 19) for i in range(len(new))}
+        assert pii.rewrite(new, KEY, back=True)[0] == text
+    for _ in range(1500):
+        text = "".join(r.choice(["7", "12", "123", "4", "5500 0000 0000 0004", "4111111111111111", card, "1234 5678", "2024-02-29", "555-123-4567"]) + r.choice([" ", "-", " "]) for _ in range(r.randint(1, 8))) + "x"
+        assert pii.rewrite(pii.rewrite(text, KEY)[0], KEY, back=True)[0] == text
+    assert pii.rewrite("1 2 3 4 5 6 7 8 9 10 11 12 13 14 16", KEY) == ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 16", {})
+
+
+@pytest.mark.parametrize("value", ["+44 20 7946 0958", "+33 1 23 45 67 89", "555-123-4567", "+49 30 12345678", "+34 912 34 56 78", "+44 (0)20 7946 0958", "+353 87 123 4567"])
+def test_phones_of_other_groupings(value):
+    text = f"call {value}, or {value} now"
+    new, found = pii.rewrite(text, KEY)
+    assert found == {"phone": 2} and value not in new and pii.rewrite(new, KEY, back=True)[0] == text
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in text]
+
+
+def test_runs_of_digits_too_long_for_a_card_stay():
+    r = random.Random(6)
+    for _ in range(50):
+        text = "".join(r.choice("0123456789") for _ in range(r.randint(20, 40)))
+        assert pii.rewrite(text, KEY) == (text, {})
