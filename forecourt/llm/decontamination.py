@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Of an item's score for itself, in proportion to what the passage that lies best on it holds of it at least.
 SHARE = 0.5
 K1, B = 1.2, 0.75
+#: Parts of fewer words have less than 0.8 of their runs left when one word is changed, and are judged by their words too.
+SHORT = SHINGLE - 1 + 5 * SHINGLE
 SHARD, SHARD_WORDS = 5_000, 300_000
 BLOCK = 8
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -53,6 +55,44 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return [t for p in parts[:-1] for t in p], parts[-1]
 
 
+def in_order(words: list[str], places: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of words and n others, of which places has the positions as bits."""
+    full = (1 << n) - 1
+    v = full
+    for w in words:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def nearly(part: list[str], found: int) -> bool:
+    """Whether so many of its words are 0.8 of the part, or all but one."""
+    return found >= min(SIMILARITY * len(part), len(part) - 1)
+
+
+def held_by_words(parts: tuple[list[str], list[str]], whole: list[str], words: list[str]) -> bool:
+    """Whether one stretch of words has 0.8 of the item's words in order, and of each part 0.8 or all but one.
+
+    A stretch lies where neighbouring words are about as far from each other as in the item, with room for words added: with
+    a fifth of its words lost and as many added, 0.4 of its pairs are left."""
+    at = defaultdict(list)
+    for i, pair in enumerate(zip(whole, whole[1:])):
+        at[pair].append(i)
+    shifts = Counter(k - i for k, pair in enumerate(zip(words, words[1:])) for i in at.get(pair, ()))
+    room = max(2, len(whole) // 5)
+    near = Counter({s: sum(shifts[s + k] for k in range(-room, room + 1)) for s in shifts})
+    for s, n in near.most_common():
+        if n < 0.4 * len(whole) - 1:
+            break
+        own = words[max(0, s - room) : s + len(whole) + room]
+        places: dict[str, int] = defaultdict(int)
+        for k, w in enumerate(own):
+            places[w] |= 1 << k
+        if in_order(whole, places, len(own)) >= SIMILARITY * len(whole) and all(nearly(p, in_order(p, places, len(own))) for p in parts):
+            return True
+    return False
+
+
 class Index:
     """Postings of a shard. Slots number its items; of each list, every BLOCK slots keep their largest weight."""
 
@@ -191,10 +231,21 @@ class Searcher:
             for part in index.parts[slot]:
                 own = shingles(part)
                 shares.append(sum(s in held[len(s)] for s in own) / len(own))
-            if min(shares) >= SIMILARITY:
+            if min(shares) >= SIMILARITY or self.nearly_held(index.parts[slot], shares, words, held):
                 leaks.append((index.ids[slot], score, *shares))
         return leaks
 
+    def nearly_held(self, parts: tuple[list[str], list[str]], shares: list[float], words: list[str], held: dict[int, set]) -> bool:
+        """Whether the item's runs as a whole reach 0.8, or it is held but for words of short parts."""
+        question, answer = parts
+        whole = question if question is answer else question + answer
+        own = shingles(whole)
+        if sum(s in held[len(s)] for s in own) >= SIMILARITY * len(own):
+            return True
+        if any(share < SIMILARITY and len(part) >= SHORT for share, part in zip(shares, parts)):
+            return False
+        return held_by_words(tuple(p for p, share in zip(parts, shares) if share < SIMILARITY), whole, words)
+
 
 def indexes(benchmark: DataFrame) -> list:
     """Broadcast indexes of the shards of benchmark (item_id, text). One shard's items at a time come to the driver."""
@@ -210,8 +261,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     docs (doc_id, text) and benchmark (item_id, text); further columns are ignored. Words are compared without case and
-    without signs at their ends. score: the best of the document's passages. Both overlaps, shares of the item's runs of
-    five words that the document has too, are 0.8 or more. Null and empty texts hold nothing; null, empty and one-word
+    without signs at their ends. score: the best of the document's passages. The overlaps are shares of the question's
+    and answer's runs of five words that the document has too. Reported is where both are 0.8 or more, where those of the item
+    as a whole are, or where what is less is a part of under SHORT words and a stretch of the document has, in order, 0.8 of
+    the item's words and 0.8 or all but one of that part's. Null and empty texts hold nothing; null, empty and one-word
     items are in nothing. Null ids and repeated rows are reported as they come; an empty table on either side gives an empty one."""
     found = None
     for sent in indexes(benchmark):

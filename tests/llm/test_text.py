@@ -487,3 +487,25 @@ def test_runs_of_digits_too_long_for_a_card_stay():
     for _ in range(50):
         text = "".join(r.choice("0123456789") for _ in range(r.randint(20, 40)))
         assert pii.rewrite(text, KEY) == (text, {})
+
+
+def changed(words, i, how):
+    return words[:i] + {"other": ["zzz"], "gone": [], "more": [words[i], "zzz"]}[how] + words[i + 1 :]
+
+
+@pytest.mark.parametrize("n_question, n_answer", [(9, 6), (30, 2), (60, 1), (12, 8), (6, 30), (40, 5), (3, 9)])
+def test_items_with_one_word_changed_are_found(n_question, n_answer):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6)))
+    filler = lambda n: [word() for _ in range(n)]
+    items = [(k, f"{' '.join(filler(n_question))}. {' '.join(filler(n_answer))}.") for k in range(5)]
+    searcher = decontamination.Searcher(decontamination.Index(items))
+    own = decontamination.terms(items[2][1])
+    for part, size in ((n_question, n_answer), (0, n_question)):
+        for i in {part, part + size // 2, part + size - 1}:
+            for how in ("other", "gone", "more"):
+                text = " ".join(filler(90) + changed(own, i, how) + filler(90))
+                assert [x[0] for x in searcher.leaks(text)] == [2], (i, how)
+    half = " ".join(filler(50) + own[: len(own) // 2] + filler(50))
+    shuffled = " ".join(r.sample(own, len(own)))
+    assert searcher.leaks(half) == [] and searcher.leaks(shuffled) == [] and searcher.leaks(" ".join(filler(300))) == []
