@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import WORD, connected_components, materialize
 
 BITS = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -144,10 +144,31 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, cell_row
     return of.join(component, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each group the row with the smallest doc_id stays; of several rows with that id,
-    the one with the smallest text. Rows without a doc_id have no key to judge them by and pass unjudged."""
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), **options).where("component_id = doc_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    return chosen.select("doc_id", "row.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, cell_rows: int = 1024) -> DataFrame:
+    """docs without near duplicates: of each group one row stays, that with the smallest doc_id, nulls last; of several with
+    that id, the one with the smallest text, then any one of them. Rows with neither a doc_id nor a word pass unjudged."""
+    names = [c for c in ("_row", "_fp", "_text", "_n") if c not in docs.columns]
+    if len(names) < 4:
+        raise ValueError("columns in use: _row, _fp, _text or _n")
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["_row", "doc_id", "_fp"])
+
+    wordless = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    judged = numbered.where(~wordless).select("_row", "doc_id", "text")
+    of = materialize(judged.mapInArrow(run, "_row long, doc_id long, _fp long"), "fingerprints")
+    # Only ids on several rows need their texts to choose by.
+    repeated = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    texts = judged.join(repeated, "doc_id", "left_semi").unionByName(judged.where("doc_id IS NULL"))
+    texts = texts.select("_row", F.col("text").alias("_text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
+    first = materialize(of.join(texts, "_row", "left").groupBy("_fp").agg(F.min(order).alias("first")), "first")
+    labels = fingerprint_components(first.select(F.col("_fp").alias("fp")), radius, cell_rows)
+    label = F.coalesce("label", "_fp")
+    chosen = first.join(labels, F.col("_fp") == F.col("fp"), "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
+    rows = chosen.select(F.col("first._row").alias("_row"))
+    kept = numbered.where(~wordless).join(rows, "_row", "left_semi").unionByName(numbered.where(wordless))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

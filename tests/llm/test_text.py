@@ -509,3 +509,17 @@ def test_items_with_one_word_changed_are_found(n_question, n_answer):
     half = " ".join(filler(50) + own[: len(own) // 2] + filler(50))
     shuffled = " ".join(r.sample(own, len(own)))
     assert searcher.leaks(half) == [] and searcher.leaks(shuffled) == [] and searcher.leaks(" ".join(filler(300))) == []
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) for k in "abcde"]
+    a, b, c, d, e = texts
+    rows = [(1, a), (1, b), (1, c), (2, b), (3, d), (None, d), (None, e), (None, e), (None, a), (4, c), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(0), "label": F.lit(0)}).repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("1", b), ("1", c), ("3", d), ("None", e)])
+    near = spark.createDataFrame([(7, "z " + a), (7, b), (8, "z " + a), (9, c), (7, "y " + c)], "doc_id long, text string")
+    pairs = brute.components(list(enumerate(brute.simhash(t) for _, t in near.collect())))
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(near).collect()]
+    assert len(got) == len(set(pairs.values())) and (7, b) in got and (7, "z " + a) in got and (8, "z " + a) not in got
