@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import filled, match_key
 
-MAPPED = ["condition", "colour", "transmission", "fuel", "tag", "country"]
-COPIED = ["source_url", "title", "description", "price", "year"]
+MAPPED = ["condition", "transmission", "fuel", "drive_type", "colour", "country"]
+COPIED = ["title", "description", "price", "mileage", "source_url"]
 FORM = ["source_url", "title", "description", "price"]
 
 
@@ -53,6 +53,21 @@ def source_errors(values: dict[str, Column], mapped: dict[str, Column]) -> Colum
     return filled(*out)
 
 
+def source_audit(ads: DataFrame, options: DataFrame, to: str = "source_errors") -> DataFrame:
+    """ads with column `to`, the messages for MAPPED, then COPIED, in order. country is read from location.
+
+    Values of a field of which options (field, pos, label) has no row pass through."""
+    listed = {r[0] for r in options.where(F.col("field").isin(MAPPED)).select("field").distinct().collect()}  # six at most
+    values = {f: F.col("location" if f == "country" else f) for f in MAPPED + COPIED}
+    values["condition"] = schema_org_condition(values["condition"])
+    rows = ads
+    for f in MAPPED:
+        if f in listed:
+            rows = map_option(rows, options, f, values[f], f"_mapped_{f}")
+    mapped = {f: F.col(f"_mapped_{f}") for f in MAPPED if f in listed}
+    return rows.withColumn(to, source_errors(values, mapped)).drop(*[f"_mapped_{f}" for f in listed])
+
+
 def form_errors(values: dict[str, Column]) -> Column:
     return filled(*[F.when(missing(v), F.lit(f"Missing form field: {f}")) for f, v in values.items()])
 

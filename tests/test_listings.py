@@ -181,3 +181,17 @@ def test_streams_equal_batch(spark, tmp_path):
     q = ingest.running_summary(ingest.log_stream(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert tuple(spark.table("running").first()) == tuple(report.summary(spark.read.schema(POSTING_LOG).option("header", True).csv(str(tmp_path / "log"))).first())
+
+
+def test_source_audit_of_all_fields(spark):
+    raw = spark.createDataFrame([("https://schema.org/UsedCondition", "Manual", "blue", "9 km", "u"), ("Odd", None, "white", None, "u")], "condition string, transmission string, colour string, mileage string, source_url string")
+    options = spark.createDataFrame([("condition", 0, "Used"), ("colour", 0, "White"), ("transmission", 0, "Manual"), ("country", 0, "Namibia"), ("drive_type", 0, "4x4")], "field string, pos int, label string")
+    got = [r.source_errors for r in mapping.source_audit(ads.canonical(raw), options).orderBy("condition").collect()]
+    tail = ["No target option for country: South Africa"]
+    assert got == [
+        ["No target option for condition: Odd", "No target option for transmission: .", "No target option for drive_type: .", *tail],
+        ["No target option for drive_type: .", "No target option for colour: blue", *tail],
+    ]
+    bare = spark.createDataFrame([(None,) * 11], ", ".join(f"{c} string" for c in ["condition", "transmission", "fuel", "drive_type", "colour", "location", *mapping.COPIED]))
+    names = ["condition", "transmission", "fuel", "drive_type", "colour", "country", "title", "description", "price", "mileage", "source_url"]
+    assert mapping.source_audit(bare, options).first().source_errors == [f"Missing source field: {f}" for f in names]
