@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import filled, match_key
+from .filters import gram_pairs
 
 MAPPED = ["condition", "transmission", "fuel", "drive_type", "colour", "country"]
 COPIED = ["title", "description", "price", "mileage", "source_url"]
@@ -85,13 +86,15 @@ def verdict(errors: Column) -> Column:
 
 
 def loose_option(records: DataFrame, options: DataFrame, key: list[str], targets: Column, to: str = "label") -> DataFrame:
-    """key and, as `to`, the first option (pos, label) whose text holds one of targets or equals one, without case; null if none."""
-    if not few(options):
-        raise ValueError(f"more than {MOST_OPTIONS} options can't be compared with every record")
-    own = F.lower("label")
-    hit = F.exists(targets, lambda t: F.contains(own, F.lower(t)) | (own == F.lower(t)))
-    found = records.join(F.broadcast(options.select("pos", "label")), hit, "left")
-    return found.groupBy(*key).agg(F.min_by("label", "pos").alias(to))
+    """key and, as `to`, the first option (pos, label) whose text holds one of targets or equals one, without case; null if none.
+
+    Distinct targets are matched with distinct texts by a gram, so neither has to be few. An empty target is in every option."""
+    of = options.where("pos IS NOT NULL AND label IS NOT NULL").groupBy(F.lower("label").alias("h")).agg(F.min(F.struct("pos", "label")).alias("_first"))
+    wanted = records.select(*key, F.explode_outer(F.transform(targets, F.lower)).alias("_n"))
+    pairs = gram_pairs(of.select("h"), wanted.where("_n IS NOT NULL").select(F.col("_n").alias("n")).distinct())
+    best = pairs.join(of, "h").groupBy(F.col("n").alias("_n")).agg(F.min("_first").alias("_first"))
+    best = best.unionByName(of.agg(F.min("_first").alias("_first")).select(F.lit("").alias("_n"), "_first"))
+    return wanted.join(best, "_n", "left").groupBy(*key).agg(F.min("_first").alias("_first")).select(*key, F.col("_first.label").alias(to))
 
 
 # How a form may name the rand.

@@ -195,3 +195,10 @@ def test_source_audit_of_all_fields(spark):
     bare = spark.createDataFrame([(None,) * 11], ", ".join(f"{c} string" for c in ["condition", "transmission", "fuel", "drive_type", "colour", "location", *mapping.COPIED]))
     names = ["condition", "transmission", "fuel", "drive_type", "colour", "country", "title", "description", "price", "mileage", "source_url"]
     assert mapping.source_audit(bare, options).first().source_errors == [f"Missing source field: {f}" for f in names]
+
+
+def test_loose_option_over_many_options(spark):
+    options = spark.range(10_001).select(F.col("id").alias("pos"), F.concat(F.lit("Type "), F.col("id") % 50, F.lit(" STEEL")).alias("label"))
+    rows = spark.createDataFrame([(1, "7 steel"), (2, ""), (3, "none"), (4, None), (5, "e 12")], "k int, t string")
+    got = {r.k: r.label for r in mapping.loose_option(rows, options, ["k"], F.array("t")).collect()}
+    assert got == {1: "Type 7 STEEL", 2: "Type 0 STEEL", 3: None, 4: None, 5: "Type 12 STEEL"}
