@@ -1,28 +1,39 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged: elements with the same path of tags and classes are one node of the host's tree. A node's
-importance comes from entropies over the host's pages: of its presentation, the sequence of tags inside it, and of its
-content, the texts directly in it. What looks or reads the same on many pages has little. Prior knowledge weighs in where
-it is sure: the article is kept, menus, forms, adverts and the like go, whatever their statistics on a small site. Branches
-of low importance are cut from each page, and the blocks that are left are its text.
-
-Pages are read twice and parsed in place. Only node statistics, as hashes, are shuffled, aggregated before; the few
-low-importance nodes of a host join its pages by host, which Spark broadcasts or sorts and splits by their measured size.
+importance comes from two entropies over the host's pages: of its presentation, the sequences of elements inside it, and
+of its content, the texts inside it. What looks or reads the same on many pages has little. Prior knowledge counts as
+PRIOR pages: inside an article a node starts as important, beside one as unimportant, on pages without one in between; a
+site with many pages overrules it. Only what is named as menu, form, advert and the like goes whatever its statistics.
+Branches of low importance are cut from each page, and the blocks that are left are its text.
+
+Pages are read twice and parsed in place. Only node statistics, as hashes, are shuffled, summed before in each task. The
+nodes for which a site overrules the prior are few: counted, then broadcast; beyond a bound they join pages by host, of
+which those with many pages are dealt over several tasks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.3
-FEW = 8
+from .common import materialize
+
+#: Least importance of a branch, and of a node inside an article, where its content alone counts.
+THRESHOLD, INSIDE = 0.45, 0.15
+#: As many pages as prior knowledge counts for.
+PRIOR = 20
+#: Nodes that are broadcast at most, and pages of a host in one task beyond that.
+MOST_NODES, HOST_PAGES = 200_000, 20_000
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 
 # Elements by their role in HTML, and words in class, id and role that mark what isn't the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,7 +98,7 @@ class Node:
             marks = set()
         elif up.main:
             marks = marks & OTHERS if (self.holds or tag in MAIN) and not up.within("article") else marks - HEADS
-        noisy = tag in NOISE and not (tag == "header" and up.main) and not (tag == "form" and self.holds and not up.main)
+        noisy = tag in NOISE and not (tag in ("header", "dialog") and up.main) and not (tag == "form" and self.holds and not up.main)
         self.noise = up.noise or bool(marks) or noisy
         self.main = not self.noise and (up.main or tag in MAIN)
 
@@ -165,67 +176,148 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, kind, feature) once a page, for nodes with texts: kind 0 the page has the node, 1 a sequence of tags inside it, 2 a text in it."""
+def key_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def features(html: str | None, named: bool = False) -> set[tuple[int, int, int]]:
+    """(node, kind, feature), each once: kind 0 the page has the node, 1 a sequence of elements inside it, 2 a text of all its blocks.
+
+    Nodes without text and, unless named, those that names mark as noise are left out: their verdict needs no statistics."""
+    blocks, nodes = parse(html)
+    texts: dict[Node, list[str]] = {}
+    for n, text in blocks:
+        while n is not None and n.tag:
+            texts.setdefault(n, []).append(text)
+            n = n.up
+    out = set()
+    for n in nodes:
+        if n in texts and (named or not n.noise):
+            out |= {(n.id, 0, 0), (n.id, 1, key_of(" ".join(n.styles))), (n.id, 2, key_of("\n".join(texts[n])))}
+    return out
+
+
+STATISTICS = "host string, node long, kind int, feature long, n long"
+
+
+def statistics(batches: Iterator[pa.RecordBatch], named: bool = False) -> Iterator[pa.RecordBatch]:
+    """(url, html) in; (host, node, kind, feature, n) out, n the pages of this part that have the feature."""
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in counts.items()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["host", "node", "kind", "feature", "n"])
+
+    counts: Counter = Counter()
     for b in batches:
-        rows = []
         for url, page in zip(b.column(0), b.column(1)):
-            site, (blocks, _) = host(url.as_py()), parse(page.as_py())
-            own = {(n.id, 2, xxhash.xxh64_intdigest(text) - (1 << 63)) for n, text in blocks}
-            for n in {n for n, _ in blocks}:
-                runs = [x for i, x in enumerate(n.styles) if i == 0 or n.styles[i - 1] != x]
-                own |= {(n.id, 0, 0), (n.id, 1, xxhash.xxh64_intdigest(" ".join(runs)) - (1 << 63))}
-            rows += [(site, *x) for x in own]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["host", "node", "kind", "feature"])
-
-
-def importance(pages: DataFrame) -> DataFrame:
-    """Rows (host, node, importance from 0 to 1) of each host's tree over pages (url, html).
-
-    With m pages that have the node: presentation counts by the entropy of its tag sequences to the base m, content by one
-    less the mean entropy of its texts, log c / log m for a text of c pages; the greater counts. Fewer pages than
-    FEW say nothing: 1."""
-    counts = pages.select("url", "html").mapInArrow(statistics, "host string, node long, kind int, feature long")
-    counts = counts.groupBy("host", "node", "kind", "feature").count()
-    n, kind = F.col("count"), F.col("kind")
-    per_node = counts.groupBy("host", "node").agg(
-        F.max(F.when(kind == 0, n)).alias("m"),
-        F.sum(F.when(kind == 1, n * F.log(n))).alias("style_sum"),
-        F.sum(F.when(kind == 1, n)).alias("styles"),
-        F.avg(F.when(kind == 2, F.log(n))).alias("text_mean"),
+            site = host(url.as_py())
+            counts.update((site, *x) for x in features(page.as_py(), named))
+            if len(counts) >= HELD:
+                yield out(counts)
+                counts = Counter()
+    yield out(counts)
+
+
+def importance(pages: DataFrame, named: bool = False) -> DataFrame:
+    """Rows (host, node, pages, presentation, content, branch) of each host's tree over pages (url, html).
+
+    presentation and content: entropies of a node's sequences of elements and of its texts, each over the logarithm of how
+    many there are; 1 where there is only one. branch: the mean of the two over the greatest mean of the host."""
+    counts = pages.select("url", "html").mapInArrow(lambda it: statistics(it, named), STATISTICS)
+    counts = counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    n = F.col("n")
+
+    def entropy(kind: int) -> Column:
+        own, total = F.sum(F.when(F.col("kind") == kind, n * F.log(n))), F.sum(F.when(F.col("kind") == kind, n))
+        return F.when(total > 1, (F.log(total) - own / total) / F.log(total)).otherwise(1.0)
+
+    nodes = counts.groupBy("host", "node").agg(
+        F.sum(F.when(F.col("kind") == 0, n)).alias("pages"), entropy(1).alias("presentation"), entropy(2).alias("content")
+    )
+    mean = (F.col("presentation") + F.col("content")) / 2
+    best = nodes.groupBy("host").agg(F.max(mean).alias("best"))
+    return nodes.join(best, "host").select("host", "node", "pages", "presentation", "content", F.coalesce(mean / F.nullif("best", F.lit(0.0)), F.lit(1.0)).alias("branch"))
+
+
+#: What a site's statistics say against the prior: of a node inside an article, beside one, on a page without one.
+CUT_INSIDE, KEEP_BESIDE, CUT_ALONE = 1, 2, 4
+
+
+def overruled(nodes: DataFrame) -> DataFrame:
+    """Rows (host, node, bits) of importance() for which the site's pages outweigh PRIOR pages of the prior."""
+
+    def weighed(prior: float, value: str) -> Column:
+        return (prior * PRIOR + F.col("pages") * F.col(value)) / (PRIOR + F.col("pages"))
+
+    bits = (
+        F.when(weighed(1, "content") < INSIDE, CUT_INSIDE).otherwise(0)
+        + F.when(weighed(0, "branch") >= THRESHOLD, KEEP_BESIDE).otherwise(0)
+        + F.when(weighed(0.5, "branch") < THRESHOLD, CUT_ALONE).otherwise(0)
     )
-    style = (F.log("styles") - F.col("style_sum") / F.col("styles")) / F.log("m")
-    value = F.greatest(F.coalesce(style, F.lit(0.0)), F.coalesce(1 - F.col("text_mean") / F.log("m"), F.lit(0.0)))
-    return per_node.select("host", "node", F.when(F.col("m") >= FEW, value).otherwise(1.0).alias("importance"))
+    return nodes.select("host", "node", bits.alias("bits")).where("bits <> 0")
 
 
-def main_text(html: str | None, low: set[int]) -> str:
-    """The blocks that are left when noise and branches of low importance are cut.
+def main_text(html: str | None, bits: dict[int, int]) -> str:
+    """The blocks that are left when noise and branches of low importance are cut. bits: overruled() of the page's host.
 
-    Of a page with an article or main element, all but noise inside it is its text, however often the site repeats it. A
-    page of which the statistics would leave nothing, as where a site holds copies only, loses no more than noise."""
+    Inside an article a branch goes that the site overrules, beside one a block stays where the site does; of pages without
+    one, a branch of low importance goes. A page of which the statistics would leave nothing loses no more than noise and
+    what is beside its article."""
     blocks, nodes = parse(html)
     in_main = any(n.main for n in nodes)
-    kept = [(n, text) for n, text in blocks if not n.noise and (n.main or not in_main)]
-    if not in_main:
-        kept = [(n, text) for n, text in kept if n.id not in low] or kept
+
+    def low(n: Node, bit: int) -> bool:
+        while n is not None and n.main == (bit == CUT_INSIDE):
+            if bits.get(n.id, 0) & bit:
+                return True
+            n = n.up
+        return False
+
+    def stays(n: Node) -> bool:
+        if n.main:
+            return not low(n, CUT_INSIDE)
+        return not n.holds and bool(bits.get(n.id, 0) & KEEP_BESIDE) if in_main else not low(n, CUT_ALONE)
+
+    named = [(n, text) for n, text in blocks if not n.noise]
+    kept = [(n, text) for n, text in named if stays(n)]
+    if not any(n.main or not in_main for n, _ in kept):
+        kept = [(n, text) for n, text in named if n.main or not in_main]
     return "\n".join(text for _, text in kept)
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def with_bits(pages: DataFrame, nodes: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
+    """pages (host) with bits, the list of (node, bits) of its host, or null.
+
+    Up to most_nodes nodes are broadcast. More are joined by host: those of over HOST_PAGES pages are dealt over as many parts
+    as their pages need, and a part's list goes with each."""
+    found = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "bits")).alias("bits"))
+    if nodes.count() <= most_nodes:
+        return pages.join(F.broadcast(found), "host", "left")
+    counts = pages.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("parts")).where("parts > 1")
+    large = materialize(counts, "large-hosts")  # one for every HOST_PAGES pages at most
+    dealt = pages.join(F.broadcast(large), "host", "left").withColumn("part", F.floor(F.rand(3) * F.coalesce("parts", F.lit(1))).cast("int"))
+    found = found.join(F.broadcast(large), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt.drop("parts").join(found.select("host", "part", "bits"), ["host", "part"], "left").drop("part")
+
+
+def extract(pages: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """One row for each of pages (page_id, url, html; further columns are ignored): page_id, url, text, n_chars.
 
     Null html counts as empty; a page without text gives ''. Pages without a readable host form a site of their own.
     Repeated rows and null ids are kept; an empty table gives an empty one."""
-    lows = importance(pages).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("node").alias("low"))
+    nodes = materialize(overruled(importance(pages)), "overruled-nodes")
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    joined = pages.select("page_id", "url", "html", site.alias("host")).join(lows, "host", "left")
+    joined = with_bits(pages.select("page_id", "url", "html", site.alias("host")), nodes, most_nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p.as_py(), set(low.as_py() or ())) for p, low in zip(b.column("html"), b.column("low"))]
+            texts, last, bits = [], None, {}
+            for p, site, own in zip(b.column("html"), b.column("host").to_pylist(), b.column("bits")):
+                if site != last:
+                    last, bits = site, {x["node"]: x["bits"] for x in own.as_py() or ()}
+                texts.append(main_text(p.as_py(), bits))
             arrays = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "bits").mapInArrow(run, "page_id long, url string, text string, n_chars long")

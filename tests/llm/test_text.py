@@ -387,7 +387,7 @@ def test_odd_markup():
         "<ARTICLE><P>A<SCRIPT>if (a < b) {'<p>'}</SCRIPT>B</P></ARTICLE>": "AB",
     }
     for page, text in cases.items():
-        assert html.main_text(page, set()) == text, page
+        assert html.main_text(page, {}) == text, page
 
 
 def test_style_tree_cuts_what_a_site_repeats(spark):
@@ -400,6 +400,64 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
     assert {r.text for r in html.extract(pages_of(spark, copies)).collect()} == {"the same"}
 
 
+def story(i, n):
+    return "<article><h1>Title %d</h1>%s</article>" % (i, "".join(f"<p>part {k} of {i}</p>" for k in range(n)))
+
+
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    """A notice that a site repeats in its articles goes, a branch beside them that varies stays; small sites follow the prior."""
+    page = "<body><div><p>About %s</p></div>%s<div><ul><li>fixed</li></ul></div></body>"
+
+    def rows(site, n, first):
+        return [(first + i, f"https://{site}/{i}", page % (i, story(i, 1 + i % 7).replace("</h1>", "</h1><div>Read our letter</div>"))) for i in range(n)]
+
+    got = {r.page_id: r.text.split("\n") for r in html.extract(pages_of(spark, rows("large", 400, 0) + rows("small", 5, 1000))).collect()}
+    assert got[9] == ["About 9", "Title 9", "part 0 of 9", "part 1 of 9", "part 2 of 9"]
+    assert got[1002] == ["Title 2", "Read our letter", "part 0 of 2", "part 1 of 2", "part 2 of 2"]
+    copies = [(i, "https://copies/", page % (0, story(0, 3))) for i in range(300)] + [(999, "https://copies/", page % (0, story(1, 2)))]
+    got = {r.page_id: r.text for r in html.extract(pages_of(spark, copies)).collect()}
+    assert got[5] == "Title 0\npart 0 of 0\npart 1 of 0\npart 2 of 0" and got[999] == "Title 1\npart 0 of 1\npart 1 of 1"
+
+
+def test_importance_equals_brute_force(spark):
+    """Merged plainly, page by page, entropies from their definition; broadcast and dealt lists give the same texts."""
+    import math
+
+    r = random.Random(3)
+    rows = []
+    for i in range(240):
+        site = r.choice(["a.example.com", "a.example.com", "b.example.com", "c.example.org"])
+        beside = r.choice(["", f"<div class='box'><p>{r.choice('xyz')}</p></div>", "<section><p>same</p><p>again</p></section>"])
+        rows.append((i, f"https://{site}/{i}", f"<body>{beside}{story(r.randrange(90), r.randint(1, 4)) if r.random() < 0.8 else '<div><p>t%d</p></div>' % r.randrange(40)}</body>"))
+    pages = pages_of(spark, rows)
+    seen = {}
+    for _, url, page in rows:
+        for node, kind, feature in html.features(page):
+            seen.setdefault((html.host(url), node), [Counter(), Counter(), Counter()])[kind][feature] += 1
+
+    def entropy(counts):
+        total = sum(counts.values())
+        return 1.0 if total == 1 else -sum(n / total * math.log(n / total) for n in counts.values()) / math.log(total)
+
+    want = {k: (sum(c[0].values()), entropy(c[1]), entropy(c[2])) for k, c in seen.items()}
+    best = {s: max((p + c) / 2 for (site, _), (_, p, c) in want.items() if site == s) for s, _ in want}
+    got = {(x.host, x.node): (x.pages, x.presentation, x.content, x.branch) for x in html.importance(pages).collect()}
+    assert got.keys() == want.keys()
+    for k, (m, p, c) in want.items():
+        assert got[k] == pytest.approx((m, p, c, (p + c) / 2 / best[k[0]] if best[k[0]] else 1), abs=1e-9)
+    texts = [sorted(map(tuple, html.extract(pages, most_nodes=n).collect())) for n in (10**6, -1)]
+    assert texts[0] == texts[1]
+
+
+def test_large_hosts_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(html, "HOST_PAGES", 10)
+    rows = [(i, "https://hot.example.com/", f"<p>{i}</p>") for i in range(100)] + [(200, "https://x/", "<p>x</p>"), (None, None, None)]
+    pages = pages_of(spark, rows).withColumn("host", F.expr("coalesce(regexp_extract(url, '//([^/]*)', 1), '')"))
+    nodes = spark.createDataFrame([("hot.example.com", 1, 1), ("hot.example.com", 2, 4), ("x", 3, 2)], "host string, node long, bits int")
+    got = html.with_bits(pages.drop("bits"), nodes, most_nodes=0).collect()
+    assert len(got) == 102 and all(len(r.bits) == 2 for r in got if r.host == "hot.example.com") and [r.bits for r in got if r.page_id is None] == [None]
+
+
 def test_pages_table(spark):
     import re
     from html import unescape
@@ -452,13 +510,13 @@ def test_pipeline(spark):
 )
 def test_marked_wrappers_keep_their_article(before, after):
     page = f'<div class="sidebar">side</div>{before}<nav>menu</nav><article class="post widget"><p>The story.</p><div class="share">s</div><div class="ad-slot">a</div></article>{after}'
-    assert html.main_text(page, set()) == "The story."
+    assert html.main_text(page, {}) == "The story."
 
 
 def test_marks_inside_articles_and_compounds():
     page = '<main><article><p>A</p><div class="comments"><article>c</article></div></article><div class="related-posts"><article>r</article></div></main>'
-    assert html.main_text(page, set()) == "A"
-    assert html.main_text('<div class="layout-no-sidebar"><p>A</p><div class="site-footer">f</div><div class="ad-300">a</div></div>', set()) == "A"
+    assert html.main_text(page, {}) == "A"
+    assert html.main_text('<div class="layout-no-sidebar"><p>A</p><div class="site-footer">f</div><div class="ad-300">a</div></div>', {}) == "A"
 
 
 def test_cards_beside_other_numbers():
