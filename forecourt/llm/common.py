@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """(file system, path in it) for Python in a task: local or shared folders, HDFS, S3, GCS and others that Arrow opens."""
+    from pyarrow import fs
+
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where lambdas inside body use it for each of their elements."""
     return F.element_at(F.transform(F.array(value), body), 1)

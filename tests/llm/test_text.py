@@ -223,25 +223,30 @@ def test_pseudonyms_of_documents(spark):
 SIGNS = "ab é\n\t .,'s#12½ \x1c\x85ªſ日<|>\xa0"
 
 
-def plain_ids(texts):
+def library_ids(texts, plain=False):
+    """By the unmodified library; plain: names of special tokens as text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_ids_equal_the_tokenizers():
+@pytest.mark.parametrize("plain", [False, True])
+def test_ids_equal_the_tokenizers(plain):
     r = random.Random(1)
-    texts = ["".join(r.choice(SIGNS) for _ in range(r.randint(0, 16))) for _ in range(4000)] + ["a<|endoftext|>b <|endoftext|>", "don't we'll I'd", "   ", "日本 語 x", None]
-    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(tokens.default_path(), cached=100).encode(texts)]
-    assert got == plain_ids(texts)
+    signs = [*SIGNS, "<|endoftext|>"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 16))) for _ in range(4000)]
+    texts += ["hello <|endoftext|> world", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "x <|endoftext|>y", "don't we'll I'd", "   ", "日本 語 x", None]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(tokens.default_path(), plain=plain, cached=100).encode(texts)]
+    assert got == library_ids(texts, plain) and (50256 in got[4000]) != plain
 
 
 def test_packing(spark):
     docs = edge_documents(spark)
     rows = packing.pack(docs, keep_ids=True).collect()
-    want = sorted((str(i), tuple(ids + [0])) for (i, _), ids in zip(EDGES, plain_ids([t for _, t in EDGES])))
+    want = sorted((str(i), tuple(ids + [0])) for (i, _), ids in zip(EDGES, library_ids([t for _, t in EDGES])))
     assert sum(r.length for r in rows) == sum(len(ids) for _, ids in want)
     lengths = {}
     for r in rows:
@@ -289,33 +294,53 @@ def test_reduction_never_costs_a_sequence():
         assert sorted(Counter(steps[:, 0]).keys()) == sorted(set(sizes))
 
 
-def test_token_counts(spark, tmp_path):
-    docs = edge_documents(spark)
-    want = Counter(len(x) for x in plain_ids([t for _, t in EDGES]))
-    got = token_counts.document_token_counts(docs).collect()
-    assert Counter(r.n_tokens for r in got) == want and all(r.ended for r in got)
-    assert token_counts.document_token_counts(docs.limit(0)).count() == 0
+def test_token_counts(spark):
+    named = edge_documents(spark).limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit("a <|endoftext|> b")})
+    want = Counter(zip([*(str(i) for i, _ in EDGES), "77"], map(len, library_ids([*(t for _, t in EDGES), "a <|endoftext|> b"], plain=True))))
+    got = token_counts.document_token_counts(edge_documents(spark).unionByName(named)).collect()
+    assert all(r.ended for r in got) and Counter((str(r.doc_id), r.n_tokens) for r in got) == want
+    assert token_counts.document_token_counts(named.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2, 5, 1000])
-def test_separators_are_stitched_across_blocks(spark, tmp_path, block):
-    files = {"part-00000-x-c000.txt": [3, 0, 1], "part-00001-x-c000.txt": [7], "part-00001-x-c001.txt": [0, 0, 12, 1]}
+@pytest.mark.parametrize("block", [2, 4, 10, 64, 1 << 20])
+def test_separators_are_stitched_across_ranges(spark, tmp_path, block):
+    files = {"a.bin": [3, 0, 1], "b.bin": [7], "c.bin": [0, 0, 12, 1], "long.bin": [500, 3, 0, 900]}
     (tmp_path / "f").mkdir()
     for name, counts in files.items():
-        ids = [x for n in counts for x in [*range(1, n + 1), 50256]] + ([5, 6] if name.endswith("c001.txt") else [])
+        ids = [x for n in counts for x in [*range(1, n + 1), 50256]] + ([5, 6] if name == "c.bin" else [])
         (tmp_path / "f" / name).write_bytes(np.array(ids, "<u2").tobytes())
-    (tmp_path / "f" / "part-00002-x-c000.txt").write_bytes(b"")
-    got = sorted(map(tuple, token_counts.count_tokens(spark, str(tmp_path / "f"), block=block).collect()))
+    (tmp_path / "f" / "empty.bin").write_bytes(b"")
+    if block == 2 or block == 4:
+        files.pop("long.bin")
+        (tmp_path / "f" / "long.bin").unlink()
+    found = token_counts.count_tokens(spark, str(tmp_path / "f"), block=block)
+    got = sorted((r.file.rsplit("/", 1)[-1], r.doc_no, r.start, r.n_tokens, r.ended) for r in found.collect())
     want = []
     for name, counts in files.items():
-        part, file, start = int(name[5:10]), int(name[-7:-4]), 0
-        tail = [2] if name.endswith("c001.txt") else []
+        start = 0
+        tail = [2] if name == "c.bin" else []
         for k, n in enumerate(counts + tail):
-            want.append((part, file, k, start, n, k < len(counts)))
+            want.append((name, k, start, n, k < len(counts)))
             start += n + 1
     assert got == sorted(want)
 
 
+def test_files_are_bounded_by_bytes_and_ranges_read_by_several_tasks(spark, tmp_path):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 50 + cast(id % 9 as int))").alias("text")).coalesce(1)
+    index = token_counts.write_flat(docs, str(tmp_path / "f"), file_bytes=2000)
+    sizes = {p.name: p.stat().st_size for p in (tmp_path / "f").iterdir()}
+    assert len(sizes) > 8 and max(sizes.values()) < 2000 + 400
+    assert index.select("file").distinct().count() == len(sizes)
+    one = token_counts.write_flat(docs, str(tmp_path / "g"))
+    assert one.select("file").distinct().count() == 1
+    assert token_counts.ranges(spark, str(tmp_path / "g"), 1000).count() > 10
+    got = {r.doc_no: r.n_tokens for r in token_counts.count_tokens(spark, str(tmp_path / "g"), block=1000).collect()}
+    assert got == {r.doc_no: len(x) for r, x in zip(sorted(one.collect(), key=lambda r: r.doc_no), library_ids([r.text for r in docs.orderBy("doc_id").collect()]))}
+    (tmp_path / "g" / "odd.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="odd number of bytes"):
+        token_counts.count_tokens(spark, str(tmp_path / "g")).collect()
+
+
 # Classifier
 
 
@@ -488,7 +513,7 @@ def test_pipeline(spark):
         kept = common.materialize(new, "stage")
     ids = {r.doc_id: r.text for r in kept.collect()}
     assert {r.doc_id for r in rows} == set(ids) and 0 < len(ids) < docs.count()
-    want = {i: x + [0] for i, x in zip(ids, plain_ids(ids.values()))}
+    want = {i: x + [0] for i, x in zip(ids, library_ids(ids.values()))}
     for i, x in want.items():
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
         assert sum(r.length for r in own) == len(x)
