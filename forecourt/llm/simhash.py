@@ -3,19 +3,21 @@
 All pairs within the radius are found. Comparing every tile of the corpus with every other would be quadratic, so the
 tiles are laid out by the pigeonhole principle: of radius + 1 blocks of bits, two fingerprints within the radius share
 one unchanged. Fingerprints with a common block meet in a cell; inside a cell they are sorted by population count and
-cut into tiles, and tile pairs whose counts lie further apart than the radius are skipped. Cells with more than
-`cell_rows` fingerprints are split into sub-cells of which each pair is compared in a task of its own.
+cut into tiles, and tile pairs whose counts lie further apart than the radius are skipped. In a cell with more than
+`cell_rows` fingerprints the other bits are blocks again: twice as many as the radius, half of which stay unchanged, so
+that its fingerprints meet in smaller cells by a block and some of its others. What is dense even so holds copies that
+differ in few bits; its cells are dealt in parts, of which each pair is compared in a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, connected_components, materialize
@@ -106,25 +108,55 @@ def link_cells(batches: Iterator[pa.RecordBatch], radius: int, chunk: int) -> It
         yield edges(fps)
 
 
+def bits_at(lo: int, hi: int) -> Column:
+    """Bits lo to hi of fp, hi excluded."""
+    return F.shiftrightunsigned(F.shiftleft("fp", BITS - hi), BITS - hi + lo)
+
+
+def cuts(spans: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """Spans of bits as n blocks of about equal size; a block may lie in two spans."""
+    bits = [i for lo, hi in spans for i in range(lo, hi)]
+    edges = [len(bits) * i // n for i in range(n + 1)]
+    blocks = []
+    for a, b in zip(edges, edges[1:]):
+        own = bits[a:b]
+        breaks = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1] + 1), len(own)]
+        blocks.append([(own[x], own[y - 1] + 1) for x, y in zip(breaks, breaks[1:])])
+    return blocks
+
+
+def cells(nodes: DataFrame, radius: int, cell_rows: int) -> DataFrame:
+    """Rows (cell, fp): any two fingerprints of nodes (fp, distinct) within the radius have a cell in common."""
+    first = [blocks[0] for blocks in cuts([(0, BITS)], radius + 1)]
+    each = F.array(*[F.struct(F.lit(i).alias("block"), F.xxhash64(F.lit(i), bits_at(*b)).alias("cell")) for i, b in enumerate(first)])
+    keys = nodes.select("fp", F.explode(each).alias("k")).select("fp", "k.block", "k.cell")
+
+    def split(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of cells of up to cell_rows fingerprints, and of the others with their number, n."""
+        large = keys.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+        joined = keys.join(large, "cell", "left")
+        return joined.where("n IS NULL").drop("n"), joined.where("n IS NOT NULL")
+
+    small, dense = split(keys)
+    finer = []
+    for i, own in enumerate(first):
+        rest = cuts([b for b in first if b != own], 2 * radius)
+        for chosen in combinations(rest, radius):
+            values = [bits_at(*span) for block in chosen for span in block]
+            finer.append(F.when(F.col("block") == i, F.xxhash64("cell", F.lit(str(chosen)), *values)))
+    smaller = dense.select("fp", F.explode(F.array_compact(F.array(*finer))).alias("cell"))
+    fine, densest = split(smaller)
+    parts = F.ceil(F.col("n") / cell_rows).cast("int")
+    dealt = densest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+    return small.select("cell", "fp").unionByName(fine.select("cell", "fp")).unionByName(dealt)
+
+
 def fingerprint_components(nodes: DataFrame, radius: int = 2, cell_rows: int = 1024) -> DataFrame:
     """Rows (fp, label) for the fingerprints of nodes (fp long, distinct) that have a link; equal labels: linked, directly or through others."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", BITS - hi), BITS - hi + lo).alias("bits"))
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
-    ]
-    keys = nodes.select("fp", F.explode(F.array(*blocks)).alias("k")).select("fp", "k.block", "k.bits")
-    large = keys.groupBy("block", "bits").count().where(F.col("count") > cell_rows)
-    large = large.select("block", "bits", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = (
-        keys.join(large, ["block", "bits"], "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("block", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
-    )
-    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: link_cells(it, radius, 512), "a long, b long")
+    own = cells(nodes, radius, cell_rows)
+    edges = own.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: link_cells(it, radius, 512), "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "label")
 
 

@@ -38,7 +38,7 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(label.values())) and kept.where("doc_id IS NULL").count() == 2
 
 
-@pytest.mark.parametrize("cell_rows", [4, 1024])
+@pytest.mark.parametrize("cell_rows", [1, 4, 1024])
 def test_links_in_tiles_and_split_cells(spark, cell_rows):
     """Balls of near fingerprints, chains and strangers; cells far above cell_rows."""
     r = random.Random(3)
@@ -56,6 +56,21 @@ def test_links_in_tiles_and_split_cells(spark, cell_rows):
     assert group(lambda f: labels.get(f, f)) == group(want.__getitem__)
 
 
+def test_dense_cells_are_split_on_further_blocks(spark):
+    """20,000 fingerprints that share a block of bits: few rows each, no pair within the radius is lost."""
+    r = np.random.default_rng(8)
+    fps = np.unique((r.integers(0, 2**62, 20_000, dtype=np.int64) >> 21) << 21)
+    near = fps[:300] ^ (np.int64(1) << r.integers(21, 62, 300)) ^ (np.int64(1) << r.integers(21, 62, 300))
+    nodes = spark.createDataFrame([(int(x),) for x in np.unique(np.concatenate([fps, near]))], "fp long")
+    rows = simhash.cells(nodes, 2, 512)
+    n, most = rows.count(), rows.groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert n <= (2 + 6) * nodes.count() and most <= 512
+    by_fp = {}
+    for x in rows.where(F.col("fp").isin([int(v) for v in [*fps[:300], *near]])).collect():
+        by_fp.setdefault(x.fp, set()).add(x.cell)
+    assert all(by_fp[int(a)] & by_fp[int(b)] for a, b in zip(fps[:300], near))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (7, 3)]
     got = {r.node: r.label for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
