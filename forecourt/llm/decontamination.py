@@ -1,24 +1,33 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND.
 
-Index terms are pairs of neighbouring words. The index is broadcast, in shards of at most SHARD items and SHARD_WORDS
-words, so what is broadcast is bounded; a larger benchmark takes more passes. Documents are neither shuffled nor cut: a
-passage whose summed term maxima stay below the lowest threshold is skipped in numpy, the others walk the postings. What
-is retrieved is verified on word shingles.
+Index terms are pairs of neighbouring words; their frequencies and the mean length are taken over the whole benchmark. The
+index is built in shards of about SHARD items and SHARD_WORDS words. One shard is broadcast; of more, each lies in the
+shared folder and a task takes them in turn for every HELD_BYTES of documents, so that one shard is in memory
+at a time and documents are read once. They are neither shuffled nor cut: a passage whose summed term maxima stay below
+the lowest threshold is skipped in numpy, the others walk the postings. What is retrieved is verified on word shingles.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import parquet
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+from .common import file_system, materialize
+
 PASSAGE, STRIDE = 64, 32
 SHINGLE, SIMILARITY = 5, 0.8
 #: Of an item's score for itself, in proportion to what the passage that lies best on it holds of it at least.
@@ -27,6 +36,8 @@ K1, B = 1.2, 0.75
 #: Parts of fewer words have less than 0.8 of their runs left when one word is changed, and are judged by their words too.
 SHORT = SHINGLE - 1 + 5 * SHINGLE
 SHARD, SHARD_WORDS = 5_000, 300_000
+#: Documents that a task holds while it takes one shard after the other.
+HELD_BYTES = 64 << 20
 BLOCK = 8
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -93,10 +104,25 @@ def held_by_words(parts: tuple[list[str], list[str]], whole: list[str], words: l
     return False
 
 
+@dataclass
+class Statistics:
+    """Of the whole benchmark: items, their mean number of terms, and in how many items a term is."""
+
+    n: int
+    mean: float
+    frequency: dict[tuple[str, str], int]
+
+    @staticmethod
+    def of(bags: list[Counter]) -> Statistics:
+        return Statistics(len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags)), Counter(t for b in bags for t in b))
+
+
 class Index:
-    """Postings of a shard. Slots number its items; of each list, every BLOCK slots keep their largest weight."""
+    """Postings of a shard. Slots number its items; of each list, every BLOCK slots keep their largest weight.
+
+    Without statistics, those of the shard itself stand for the benchmark's."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], statistics: Statistics | None = None):
         self.ids, self.parts, bags = [], [], []
         for item_id, text in items:
             question, answer = question_and_answer(text)
@@ -105,14 +131,14 @@ class Index:
                 self.ids.append(item_id)
                 self.parts.append((question, answer))
                 bags.append(Counter(zip(own, own[1:])))
-        n = len(bags)
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
-        frequency = Counter(t for b in bags for t in b)
-        self.word_id = {w: i for i, w in enumerate(sorted({w for pair in frequency for w in pair}))}
-        code = {(a, b): self.word_id[a] * len(self.word_id) + self.word_id[b] for a, b in frequency}
+        statistics = statistics or Statistics.of(bags)
+        n, mean, frequency = statistics.n, statistics.mean, statistics.frequency
+        own = {t for b in bags for t in b}
+        self.word_id = {w: i for i, w in enumerate(sorted({w for pair in own for w in pair}))}
+        code = {(a, b): self.word_id[a] * len(self.word_id) + self.word_id[b] for a, b in own}
         self.codes = np.array(sorted(code.values()), np.int64)
         self.term_id = {pair: int(i) for pair, i in zip(code, np.searchsorted(self.codes, list(code.values())))}
-        self.postings: list[dict[int, float]] = [{} for _ in frequency]
+        self.postings: list[dict[int, float]] = [{} for _ in own]
         self.threshold = []
         for slot, bag in enumerate(bags):
             long = sum(bag.values())
@@ -132,7 +158,7 @@ class Index:
             self.blocks.append(best)
         self.most = np.array([max(p.values()) for p in self.postings] + [0.0])
         self.lowest = min(self.threshold, default=math.inf)
-        self.low_block = [min(self.threshold[i : i + BLOCK]) for i in range(0, n, BLOCK)]
+        self.low_block = [min(self.threshold[i : i + BLOCK]) for i in range(0, len(bags), BLOCK)]
 
     def retrieve(self, query: list[int]) -> Iterator[tuple[int, float]]:
         """(slot, score) of all items at or above their threshold for these distinct terms: WAND with block maxima."""
@@ -247,17 +273,106 @@ class Searcher:
         return held_by_words(tuple(p for p, share in zip(parts, shares) if share < SIMILARITY), whole, words)
 
 
-def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of the shards of benchmark (item_id, text). One shard's items at a time come to the driver."""
-    spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.count("*"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()
-    shards = max(1, math.ceil(size[0] / SHARD), math.ceil((size[1] or 0) / SHARD_WORDS))
-    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    return [spark.sparkContext.broadcast(Index(sorted(map(tuple, items.where(key == k).collect()), key=str))) for k in range(shards)]
+PAIR_COUNTS = "shard int, a string, b string, n long"
+
+
+def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, text) in; for each pair of neighbouring words the items of this part that have it. A pair of nulls counts the
+    items themselves, one of '' their terms."""
+    for b in batches:
+        counts: Counter = Counter()
+        for shard, text in zip(b.column(0).to_pylist(), b.column(1)):
+            own = terms(text.as_py())
+            if len(own) > 1:
+                counts.update((shard, *pair) for pair in set(zip(own, own[1:])))
+                counts[shard, None, None] += 1
+                counts[shard, "", ""] += len(own) - 1
+        rows = [(*k, n) for k, n in counts.items()]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["shard", "a", "b", "n"])
+
 
+def build_shards(benchmark: DataFrame) -> tuple[DataFrame, int, str]:
+    """Rows (shard, index), pickled, of benchmark (item_id, text), their number and where they lie.
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    Each shard is built by a task of its own; of the statistics it is given those of its own pairs."""
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    size = items.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    shards = max(1, math.ceil(size[0] / SHARD), math.ceil((size[1] or 0) / SHARD_WORDS))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    of_shards = materialize(items.select("shard", "text").mapInArrow(pair_counts, PAIR_COUNTS).groupBy("shard", "a", "b").agg(F.sum("n").alias("n")), "pair-counts")
+    whole = of_shards.groupBy("a", "b").agg(F.sum("n").alias("frequency"))
+    totals = {r["a"]: r["frequency"] for r in whole.where("a IS NULL OR a = ''").collect()}  # two numbers
+    n, length = totals.get(None, 0), totals.get("", 0)
+    frequencies = of_shards.where("a <> ''").join(whole, ["a", "b"]).select("shard", "a", "b", "frequency")
+
+    def build(key: tuple, items: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        frequency = dict(zip(zip(pairs["a"], pairs["b"]), pairs["frequency"].tolist()))
+        own = sorted(zip((None if pd.isna(i) else int(i) for i in items["item_id"]), items["text"]), key=str)
+        return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(Index(own, Statistics(n, length / max(1, n), frequency)))]})
+
+    built = items.groupBy("shard").cogroup(frequencies.groupBy("shard")).applyInPandas(build, "shard int, index binary")
+    path = new_path(benchmark.sparkSession, "benchmark-index")
+    built.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    return benchmark.sparkSession.read.schema("index binary, shard int").parquet(path), shards, path
+
+
+class Shards:
+    """The searchers of all shards, one at a time in memory."""
+
+    def __init__(self, load: Callable[[int], bytes | None], n: int):
+        self.load, self.n, self.at, self.searcher = load, n, -1, None
+
+    def each(self) -> Iterator[Searcher]:
+        for k in range(self.n):
+            if k != self.at:
+                self.searcher = None
+                found = self.load(k)
+                self.at, self.searcher = k, Searcher(pickle.loads(found) if found else Index([]))
+            yield self.searcher
+
+
+def indexes(benchmark: DataFrame) -> Callable[[], Shards]:
+    """What tasks call for the shards of benchmark (item_id, text)."""
+    built, shards, path = build_shards(benchmark)
+    if shards == 1:
+        found = built.first()
+        sent = benchmark.sparkSession.sparkContext.broadcast(bytes(found["index"]) if found else b"")
+        return lambda: Shards(lambda k: sent.value, 1)
+
+    def load(k: int) -> bytes | None:
+        fs, root = file_system(f"{path}/shard={k}")
+        for f in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                return parquet.read_table(f.path, columns=["index"], filesystem=fs, partitioning=None).column(0)[0].as_py()
+        return None
+
+    return lambda: Shards(load, shards)
+
+
+def searched(batches: Iterator[pa.RecordBatch], shards: Shards, held_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Each batch with what its documents leak, from all shards; batches have a column text. Up to held_bytes are held, and a batch."""
+    held, size = [], 0
+
+    def taken() -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        found: list[list[list[tuple]]] = [[[] for _ in range(b.num_rows)] for b in held]
+        for searcher in shards.each():
+            for b, own in zip(held, found):
+                for leaks, text in zip(own, b.column("text")):
+                    leaks += searcher.leaks(text.as_py())
+        yield from zip(held, found)
+
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if shards.n == 1 or size >= held_bytes:
+            yield from taken()
+            held, size = [], 0
+    if held:
+        yield from taken()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     docs (doc_id, text) and benchmark (item_id, text); further columns are ignored. Words are compared without case and
@@ -265,32 +380,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and answer's runs of five words that the document has too. Reported is where both are 0.8 or more, where those of the item
     as a whole are, or where what is less is a part of under SHORT words and a stretch of the document has, in order, 0.8 of
     the item's words and 0.8 or all but one of that part's. Null and empty texts hold nothing; null, empty and one-word
-    items are in nothing. Null ids and repeated rows are reported as they come; an empty table on either side gives an empty one."""
-    found = None
-    for sent in indexes(benchmark):
+    items are in nothing. Null ids and repeated rows are reported as they come; an empty table on either side gives an empty one.
+    Scores don't depend on the number of shards."""
+    shards = indexes(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent.value)
-            for b in batches:
-                rows = [(d.as_py(), *x) for d, t in zip(*b.columns) for x in searcher.leaks(t.as_py())]
-                kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
-                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in searched(batches, shards(), held_bytes):
+            rows = [(d, *x) for d, leaks in zip(b.column("doc_id").to_pylist(), found) for x in leaks]
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
+            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
 
-        schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("score", F.round("score", 6))
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("score", F.round("score", 6))
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """The rows of docs that hold no item of benchmark, with all their columns, judged where they are."""
-    for sent in indexes(benchmark):
+    shards = indexes(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent.value)
-            for b in batches:
-                yield b.filter(pa.array([not searcher.leaks(t.as_py()) for t in b.column("text")], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in searched(batches, shards(), held_bytes):
+            yield b.filter(pa.array([not leaks for leaks in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -141,10 +141,15 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert decontamination.contaminated(frame, bench.limit(0)).count() == 0 and decontamination.contaminated(frame.limit(0), bench).count() == 0
 
 
-def test_leaks_over_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "SHARD", 20)
+@pytest.mark.parametrize("shard, held", [(4, 1), (20, 1 << 26)])
+def test_leaks_over_many_shards(spark, monkeypatch, shard, held):
+    """Some 50 shards, taken in turn for a few documents or for many at once: the same rows and scores as from one."""
     docs, bench = documents(spark), spark.read.parquet(f"{DATA}/benchmark.parquet")
-    many = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    one = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "SHARD", shard)
+    assert decontamination.build_shards(bench)[1] == -(-bench.count() // shard)
+    many = decontamination.contaminated(docs, bench, held).collect()
+    assert sorted(map(tuple, many)) == one and len(one) == len(set(one))
     items = {r.item_id: decontamination.question_and_answer(r.text) for r in bench.collect()}
     want = set()
     for d in docs.collect():
@@ -154,7 +159,21 @@ def test_leaks_over_several_shards(spark, monkeypatch):
             shares = [sum(s in held[len(s)] for s in own) / len(own) for own in map(decontamination.shingles, parts)]
             if min(shares) >= 0.8:
                 want.add((d.doc_id, i))
-    assert many == want and want
+    assert {(r.doc_id, r.item_id) for r in many} == want and want
+    kept = decontamination.keep_uncontaminated(docs, bench, held)
+    assert kept.count() == docs.count() - len({d for d, _ in want}) and kept.columns == docs.columns
+
+
+def test_leaks_in_odd_documents(spark):
+    """Repeated rows, null ids and a very long text are reported as they come; columns of the same names don't disturb."""
+    item = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen fifteen sixteen."
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    rows = [(1, item), (1, item), (None, item), (2, f"{long} {item} {long}"), (3, long), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("item_id", "shard", "index", "a", "b", "n")})
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string").withColumns({c: F.lit(0) for c in ("doc_id", "shard", "a", "n")})
+    got = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect())
+    assert got == {(1, 7): 4, (1, None): 2, (None, 7): 2, (None, None): 1, (2, 7): 2, (2, None): 1}
+    assert sorted(str(r.doc_id) for r in decontamination.keep_uncontaminated(docs, bench).collect()) == ["3", "4"]
 
 
 def test_wand_equals_exhaustive_scores():
