@@ -57,13 +57,24 @@ SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets
     "op2_quality_rules": rf"""
 WITH {WORDS}, {repeats(5, "r, g")},
 n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
-m AS (SELECT doc_id, text, len(w) AS n_words, length(regexp_replace(text, '{BLANKS}', '', 'g')) AS word_chars,
+m AS (SELECT doc_id, text, w, len(w) AS n_words, length(regexp_replace(text, '{BLANKS}', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN n USING (r)),
 b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > len(lines) OR word_chars > 25 * n_words OR word_chars < 2 * n_words
-    OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))) AS kept FROM b""",
+    OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))
+    OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) < n_words
+    OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•‣●]'))) > 9 * len(lines)
+    OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*\z'))) > 3 * len(lines)
+    OR (n_words >= 50 AND 2 * length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) > length(text) AND len(list_filter(w, lambda x: lower(x) IN
+      ('der', 'die', 'und', 'in', 'von', 'the', 'of', 'and', 'to', 'a', 'de', 'la', 'que', 'el', 'en', 'les', 'et', 'le', 'des', 'un'))) < 2)
+    OR (n_words >= 100 AND 5 * len(list_distinct(w)) < n_words)
+    OR 2 * length(regexp_replace(text, '[^0-9]+', '', 'g')) > word_chars
+    OR regexp_matches(text, '[!-~]{{1000,}}')
+    OR (n_words >= 100 AND NOT regexp_matches(text, '[.!?…。！？؟।]'))
+    OR contains(lower(text), 'lorem ipsum')
+    OR 20 * length(regexp_replace(text, '[^{{}}\[\];=]+', '', 'g')) > length(text)) AS kept FROM b""",
     "op3_substring_dedup": rf"""
 WITH {WORDS}, {repeats(35, "g")},
 k AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN c USING (r, i) GROUP BY r)

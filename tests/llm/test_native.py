@@ -2,12 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.llm import quality, secrets
+from forecourt.llm import quality, queries, secrets
 from tests.llm import brute
-from tests.llm.cases import documents, edge_documents, python_nodes
+from tests.llm.cases import DATA, documents, edge_documents, python_nodes
 
 ENTRIES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -25,16 +26,56 @@ def test_quality_order_never_changes_the_verdict(spark, monkeypatch):
     for turn in (False, True):
         monkeypatch.setattr(quality, "ordered", lambda sample, rules, turn=turn: sorted(rules, reverse=turn))
         verdicts.append({r.doc_id: r.kept for r in quality.quality_rules(docs).collect()})
+        assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, kept in verdicts[-1].items() if kept}
     assert verdicts[0] == verdicts[1] and 0 < sum(verdicts[0].values()) < len(verdicts[0])
 
 
-def test_quality_keeps_clean_and_orders_by_rate(spark):
-    docs = edge_documents(spark)
+def test_quality_keeps_clean(spark):
+    docs = edge_documents(spark).withColumn("more", F.create_map(F.lit("a"), F.lit(1))).withColumnRenamed("x", "a.b")
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1 and kept.where("text IS NULL").count() == 0
-    assert quality.keep_good(docs.limit(0)).count() == 0
-    sample = quality.base_metrics(docs)
-    assert quality.ordered(sample, {"never": F.lit(False), "always": F.lit(True)})[0] == "always"
+    assert quality.keep_good(docs.limit(0)).count() == 0 and not python_nodes(kept)
+
+
+CLEAN = " ".join(f"the word{i} of a story{i} and so{i} on." for i in range(30))
+REJECTED = {
+    "symbols": "### word " * 40, "shouting": CLEAN.upper(), "word_length": "incomprehensibilities-and-more-of-them " * 12, "few_letters": "12 34 the 56 of " * 20,
+    "bullets": "\n".join(f"- the item {i} of a list" for i in range(20)), "ellipses": "\n".join(f"the start {i} of a story..." for i in range(20)),
+    "no_stop_words": " ".join(f"keyword{i}." for i in range(60)), "few_distinct": "the cat of a dog. " * 40, "digits": "the 12345678901234567890 of " * 9,
+    "long_run": CLEAN + " " + "x" * 1000, "no_sentence": CLEAN.replace(".", ""), "placeholder": CLEAN + " Lorem ipsum", "markup": "if (the) { of = a[b]; } " * 10,
+    "dup_lines": "\n".join(["the line of all"] * 30),
+}
+
+
+def test_each_rule_rejects_what_it_is_for(spark):
+    docs = spark.createDataFrame([*REJECTED.items(), ("clean", CLEAN)], "doc_id string, text string")
+    found = quality.rules()
+    assert found.keys() == REJECTED.keys()
+    rows = {r.doc_id: r for r in quality.base_metrics(docs).select("doc_id", *[c.alias(f"r_{k}") for k, c in found.items()]).collect()}
+    for name in found:
+        assert rows[name][f"r_{name}"] and not rows["clean"][f"r_{name}"], name
+
+
+def test_cascade_orders_by_what_the_rules_before_leave(spark):
+    rows = spark.range(100).select(F.lit("").alias("text"), "id")
+    rules = {"half": F.col("id") < 50, "same_half": F.col("id") < 49, "rest": F.col("id") >= 90, "never": F.lit(False), "cheap_never": F.lit(False)}
+    cost = {"half": 1.0, "same_half": 1.1, "rest": 5.0, "never": 2.0, "cheap_never": 1.0}
+    assert quality.ordered(rows, rules, cost) == ["half", "rest", "cheap_never", "same_half", "never"]
+    dear = {"dear": quality.repeated_words(F.split(F.lit("a b c d e f g a b c d e " * 30), " ")) < F.col("id"), "cheap": F.col("id") < 0}
+    assert (measured := quality.costs(rows, dear))["dear"] > measured["cheap"]
+
+
+def test_sql_of_this_subpackage(spark):
+    """Queries 2, 3 and 8 against DuckDB on the smallest tables."""
+    documents(spark)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        got = queries.QUERIES[name](spark, str(DATA))
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall())), name
 
 
 def test_trigram_queries():
