@@ -1,10 +1,10 @@
 """Secret scans over a trigram index, in DataFrame functions only.
 
 From each rule's regular expression follows a Boolean query of trigrams: sets, any one of which a text must hold whole for
-the rule to match. The index is partitioned like the documents, as search engines shard theirs: in each partition the
-posting list of a trigram is a bit column over its rows, built in one pass for the trigrams that the rules ask for. Queries
-intersect these bits, and only candidates are verified with the regular expression. Rules that have no mandatory trigram
-scan all texts. No text is shuffled; matches are, as numbers.
+the rule to match. The index is inverted and stored once: for the trigrams that the rules ask for, a posting list is a
+bitmap over BUCKET rows of the numbered texts. A query intersects the bitmaps of each of its sets and unites the sets;
+only texts whose bit is left are verified with the regular expression. Rules that have no mandatory trigram scan all texts.
+Bitmaps and lengths of matches are shuffled; texts only where the candidates' bitmaps are too many to be broadcast.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ RULES = (
 )
 
 Query = frozenset[frozenset[str]]
+#: Rows of a bitmap, as Spark's bitmap functions have them, and buckets of rows whose candidates are broadcast at most.
+BUCKET_BITS, MOST_BUCKETS = 15, 2_000
 #: More alternatives than this are not spelt out.
 MANY = 64
 
@@ -120,44 +122,55 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for s in trigram_query(r.regex) for t in s})
 
 
-def postings(text: Column, grams: list[str]) -> list[Column]:
-    """Bit columns: bit k of column c is set in the rows whose text holds trigram 63 * c + k, without case."""
-    low = F.lower(text)
-    words = []
-    for c in range(0, len(grams), 63):
-        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(grams[c : c + 63])]
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    return words
+def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """Rows (bucket, gram, bitmap) of texts (row, text): bit k of a bitmap is set if row BUCKET * bucket + k holds trigram `gram` of grams, without case."""
+    low = F.col("low")
+    there = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(k)) for k, t in enumerate(grams)]))
+    each = texts.select("row", F.lower("text").alias("low")).select("row", F.explode(there).alias("gram"))
+    place = F.col("row").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+    return each.groupBy(F.shiftright("row", BUCKET_BITS).alias("bucket"), "gram").agg(F.bitmap_construct_agg(place).alias("bitmap"))
 
 
-def candidate(query: Query, grams: list[str]) -> Column:
-    """Whether a row of the index satisfies the query: the bits of one set's trigrams intersect."""
+def candidates(index: DataFrame, queries: dict[int, Query], grams: list[str]) -> DataFrame:
+    """Rows (bucket, q<rank> for each query): the bitmap of the rows that satisfy it, null if there are none in the bucket."""
+    number = {t: k for k, t in enumerate(grams)}
+    wanted = [(rank, i, len(x), number[t]) for rank, q in queries.items() for i, x in enumerate(sorted(map(sorted, q))) for t in x]
+    fields = ("rank", "alternative", "size", "gram")
+    asked = F.array(*[F.struct(*[F.lit(v).alias(f) for v, f in zip(w, fields)]) for w in wanted])
+    table = index.sparkSession.range(1).select(F.inline(asked))
+    joined = index.join(F.broadcast(table), "gram")
+    whole = joined.groupBy("bucket", "rank", "alternative", "size").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("n")).where("n = size")
+    return whole.groupBy("bucket").agg(*[F.bitmap_or_agg(F.when(F.col("rank") == rank, F.col("bitmap"))).alias(f"q{rank}") for rank in queries])
 
-    def holds(wanted: frozenset[str]) -> Column:
-        tests = []
-        for c in range(0, len(grams), 63):
-            mask = sum(1 << k for k, t in enumerate(grams[c : c + 63]) if t in wanted)
-            if mask:
-                tests.append(F.col(f"postings{c // 63}").bitwiseAND(F.lit(mask)) == F.lit(mask))
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
 
-    return reduce(lambda a, b: a | b, map(holds, query))
+def is_set(bitmap: str) -> Column:
+    """Whether the bit of column row is set."""
+    place = F.col("row").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7))) == 1, F.lit(False))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def with_candidates(texts: DataFrame, rules: tuple[Rule, ...], most_buckets: int = MOST_BUCKETS) -> DataFrame:
+    """texts (row, doc_id, text) with hit<rank>, whether a rule has to be verified on the text."""
+    queries = {rank: q for rank, r in enumerate(rules) if frozenset() not in (q := trigram_query(r.regex))}
+    hits = {rank: is_set(f"q{rank}") if rank in queries else F.lit(True) for rank in range(len(rules))}
+    if queries:
+        grams = vocabulary(rules)
+        found = materialize(candidates(materialize(postings(texts, grams), "postings"), queries, grams), "candidates")
+        found = F.broadcast(found) if found.count() <= most_buckets else found
+        texts = texts.withColumn("bucket", F.shiftright("row", BUCKET_BITS)).join(found, "bucket", "left")
+    return texts.select("row", "doc_id", "text", *[hit.alias(f"hit{rank}") for rank, hit in hits.items()])
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """Rows (row, doc_id, spans), one for each of docs; spans: array of (start, end, rank), by start, then rank.
 
     rank: the rule's place in rules. Matches are leftmost and don't overlap within a rule; code points, end exclusive;
     matches whose value is too short are dropped after they have taken their place."""
-    grams = vocabulary(rules)
-    text = F.coalesce("text", F.lit(""))
-    index = docs.select("doc_id", text.alias("text"))
-    index = index.select("doc_id", "text", *[c.alias(f"postings{i}") for i, c in enumerate(postings(F.col("text"), grams))])
-    found = []
-    for rank, r in enumerate(rules):
-        hit = candidate(trigram_query(r.regex), grams)
-        found.append(F.when(hit, F.regexp_extract_all("text", F.lit(r.regex), F.lit(0))).alias(f"found{rank}"))
-    verified = index.select("doc_id", "text", *found)
+    row = F.monotonically_increasing_id().alias("row")
+    texts = materialize(docs.select(row, "doc_id", F.coalesce("text", F.lit("")).alias("text")), "numbered-texts")
+    found = [F.when(F.col(f"hit{rank}"), F.regexp_extract_all("text", F.lit(r.regex), F.lit(0))).alias(f"found{rank}") for rank, r in enumerate(rules)]
+    verified = with_candidates(texts, rules, most_buckets).select("row", "doc_id", "text", *found)
     pieces = []
     for rank, r in enumerate(rules):
         hits = F.col(f"found{rank}")
@@ -169,8 +182,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             short.alias("valid"),
         )
         pieces.append(F.when(F.size(hits) > 0, each).alias(f"at{rank}"))
-    row = F.monotonically_increasing_id().alias("row")
-    sizes = materialize(verified.select(row, "doc_id", *pieces), "matches")
+    sizes = materialize(verified.select("row", "doc_id", *pieces), "matches")
     flat = None
     for rank in range(len(rules)):
         own = sizes.where(F.col(f"at{rank}").isNotNull()).select("row", F.lit(rank).alias("rank"), F.posexplode(f"at{rank}").alias("nth", "at"))

@@ -1,6 +1,7 @@
 """Quality rules and secret scans, in DataFrame functions."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -99,6 +100,35 @@ def test_secrets_equal_brute_force(spark, seed):
         assert {k: got[i][k] for k in want} == want, (t, joined, got[i].spans)
 
 
+@pytest.mark.parametrize("most_buckets", [2000, 0])
+def test_postings_and_candidates_equal_brute_force(spark, most_buckets):
+    """Rows in several buckets; broadcast and joined bitmaps."""
+    r = random.Random(11)
+    bits = ["password", "Passwd", "secret", "tok", "en", "api", "_key", "AKIA", "ghp_", "xoxb-", "-----BEGIN", " PRIVATE KEY-----", "AIza", "eyJ", " ", "abc"]
+    texts = [(i * 9973, i, "".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for i in range(400)]
+    frame = spark.createDataFrame(texts, "row long, doc_id long, text string").repartition(3)
+    grams = secrets.vocabulary(secrets.RULES)
+    index = secrets.postings(frame, grams).collect()
+    got = {(x.bucket * 32768 + 8 * k + bit, x.gram) for x in index for k, byte in enumerate(x.bitmap) for bit in range(8) if byte >> bit & 1}
+    assert got == {(row, k) for row, _, t in texts for k, g in enumerate(grams) if g in t.lower()}
+    rows = {x.row: x for x in secrets.with_candidates(frame, secrets.RULES, most_buckets).collect()}
+    for row, _, t in texts:
+        for rank, rule in enumerate(secrets.RULES):
+            assert rows[row][f"hit{rank}"] == any(all(g in t.lower() for g in x) for x in secrets.trigram_query(rule.regex)), (t, rule.kind)
+
+
+def test_secrets_in_long_texts_and_of_added_kinds(spark):
+    """Added kinds at random places, by the rules' own expressions over the whole text; a text of a million signs."""
+    r = random.Random(12)
+    made = ["ghp_" + "a1" * 20, "xoxb-1234567890-abc", "-----BEGIN RSA PRIVATE KEY-----", "AIza" + "x" * 35, "eyJabcdefgh.eyJabcdefgh.abcdefgh", "token=abcdefghij", "AKIA" + "B" * 16, "f" * 40]
+    texts = [" ".join(r.choice([*made, "word", "é😀"]) for _ in range(r.randint(0, 9))) for _ in range(150)] + ["lorem " * 170_000 + made[0] + " ipsum" * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), k, m.end()) for k, rule in enumerate(secrets.RULES) for m in re.finditer(rule.regex, t, re.A) if m.end(rule.value) - m.start(rule.value) >= rule.least]
+        assert got[i] == ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(spans)), t[:200]
+
+
 def test_secrets_candidates_lose_no_match(spark):
     """The index's candidates against a full scan by each rule."""
     texts = ["ghp_" + "a1" * 20, "xoxb-1234567890-abc", "-----BEGIN RSA PRIVATE KEY-----", "AIza" + "x" * 35, "eyJabcdefgh.eyJabcdefgh.abcdefgh", "GHP_" + "Z" * 36, "nothing"]
