@@ -1,12 +1,15 @@
 """Removal of word runs that occur elsewhere in the corpus, by suffix automata of reference shards.
 
-Streaming every document through an automaton of every part of the corpus would be quadratic. The reference is sharded by
-content instead: each window of `window` words has a minimizer, the lowest hash of its runs of GRAM words, so equal windows
-have equal minimizers and the segments that share one are a shard of their own. Only minimizers that occur twice can hide
-a repeat. A shard's segments build a suffix automaton with occurrence counts and are streamed through it for their matching
-statistics; maximal spans in which each window occurs twice are removed. Shards are co-located by a shuffle, not broadcast.
-A minimizer of more than `shard_rows` occurrences isn't gathered in one task: its windows are counted, each by itself,
-by a digest of 128 bits, with partial sums before the shuffle. Both ways are exact, and together they cover all windows.
+Each window of `window` words has a minimizer, the lowest hash of its runs of GRAM words; equal windows have equal
+minimizers, and only minimizers that occur twice can hide a repeat. Passages that very many texts share have minimizers of
+over `shard_rows` occurrences. Their repeated windows are the reference: counted with partial sums, merged into passages,
+built into suffix automata of at most SHARD_WORDS words and broadcast, at most REFERENCE windows; what carries these
+minimizers is streamed through them for its matching statistics, and maximal spans of `window` words or more are removed.
+A reference beyond that bound is looked up window by window in a join instead.
+
+An automaton of all other parts of the corpus, broadcast to all documents, would cost documents x shards. They are sharded by
+content: the segments that share a minimizer of few occurrences are a shard, and are streamed through its automaton where
+the shuffle brings them together. All ways are exact, and together they cover all windows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from .common import materialize
 WINDOW = 35
 GRAM = 8
 KEY = ["k1", "k2"]
+#: Windows of a broadcast reference, and words of an automaton, at most.
+REFERENCE, SHARD_WORDS = 20_000, 50_000
+#: Minimizers or texts of very many occurrences that are broadcast at most, and texts that a task remembers.
+MOST_HEAVY, REMEMBERED = 500_000, 500_000
 
 
 def minimizers(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +111,51 @@ class Automaton:
         return found
 
 
+    def matching(self, sequence: list, window: int) -> list[int]:
+        """Starts of the windows of any sequence that the automaton holds: where the longest match that ends with it is as long."""
+        found, s, matched = [], 0, 0
+        for end, c in enumerate(sequence, 1):
+            while s and c not in self.next[s]:
+                s = self.link[s]
+                matched = self.length[s]
+            s, matched = (self.next[s][c], matched + 1) if c in self.next[s] else (0, 0)
+            if matched >= window:
+                found.append(end - window)
+        return found
+
+
+def passages(windows: list[list[bytes]]) -> list[list[bytes]]:
+    """Sequences of which the windows are exactly these distinct ones, each once: those that follow each other are merged."""
+    after: dict[tuple, list[int]] = {}
+    for i, w in enumerate(windows):
+        after.setdefault(tuple(w[:-1]), []).append(i)
+    ends = {tuple(w[1:]) for w in windows}
+    first = [i for i, w in enumerate(windows) if tuple(w[:-1]) not in ends]
+    used, out = [False] * len(windows), []
+    for i in [*first, *range(len(windows))]:
+        if used[i]:
+            continue
+        sequence, k = list(windows[i][:-1]), i
+        while k is not None:
+            used[k] = True
+            sequence.append(windows[k][-1])
+            k = next((x for x in after.get(tuple(sequence[len(sequence) - len(windows[i]) + 1 :]), ()) if not used[x]), None)
+        out.append(sequence)
+    return out
+
+
+def reference_shards(windows: list[list[bytes]], shard_words: int) -> list[Automaton]:
+    """Automata of the passages of windows, of about shard_words words each."""
+    shards, words = [], shard_words
+    for p in passages(windows):
+        if words >= shard_words:
+            shards.append(Automaton())
+            words = 0
+        shards[-1].add(p, 1)
+        words += len(p)
+    return shards
+
+
 def spans(starts: list[int], window: int) -> list[tuple[int, int]]:
     """Maximal (from, to) that windows with these ascending starts cover."""
     out: list[tuple[int, int]] = []
@@ -122,8 +174,10 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 OCCURRENCES = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 SEGMENTS = pa.schema([("h", pa.int64()), ("segment", pa.binary()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32())])
 WINDOWS = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32())])
+CONTENTS = pa.schema([("digest", pa.binary()), ("words", pa.binary())])
 SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 TEXTS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 DDL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
 
 
@@ -165,65 +219,135 @@ def shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     yield batch(out, SPANS)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_rows: int = 500, digest: bool = False) -> DataFrame:
+def digest_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def few_enough(counted: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Rows of counted (n) with n above a bound, least or a multiple of it, so that there are at most MOST_HEAVY; and the bound."""
+    while (heavy := counted.where(F.col("n") > least)).count() > MOST_HEAVY:
+        least *= 2
+    return heavy, least
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= size:
+            yield batch(held, schema)
+            held = []
+    yield batch(held, schema)
+
+
+def heavy_spans(segments: DataFrame, window: int, reference: int, shard_words: int) -> DataFrame:
+    """Rows of SPANS: the windows of segments (rows of SEGMENTS, of heavy minimizers) that are in them twice or more."""
+    spark = segments.sparkSession
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for segment, copies, k1, k2, first in zip(*(b.column(c).to_pylist() for c in ("segment", "copies", "k1", "k2", "first"))):
+                    words = segment.split()
+                    for s in range(len(words) - window + 1):
+                        yield digest_of(words[s : s + window]), copies, k1, k2, first + s
+
+        yield from in_batches(rows(), WINDOWS)
+
+    each = segments.mapInArrow(windows, ddl(WINDOWS))
+    again = materialize(each.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest"), "repeated-windows")
+    if again.count() > reference:
+        found = each.join(again, "digest", "left_semi")
+        return found.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
+    wanted = spark.sparkContext.broadcast({bytes(r[0]) for r in again.collect()})  # reference at most
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            left = set(wanted.value)
+            for b in batches:
+                for segment in b.column(0).to_pylist():
+                    words = segment.split() if left else []
+                    for s in range(len(words) - window + 1):
+                        own = words[s : s + window]
+                        if (digest := digest_of(own)) in left:
+                            left.remove(digest)
+                            yield digest, b" ".join(own)
+
+        yield from in_batches(rows(), CONTENTS)
+
+    held = segments.select("segment").mapInArrow(contents, ddl(CONTENTS)).groupBy("digest").agg(F.first("words").alias("words"))
+    automata = reference_shards(sorted(bytes(r["words"]).split() for r in held.collect()), shard_words)
+    sent = [spark.sparkContext.broadcast(a) for a in automata]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for segment, k1, k2, first in zip(*(b.column(c).to_pylist() for c in ("segment", "k1", "k2", "first"))):
+                    words = segment.split()
+                    for shard in sent:
+                        yield from ((k1, k2, first + a, first + b) for a, b in spans(shard.value.matching(words, window), window))
+
+        yield from in_batches(rows(), SPANS)
+
+    return segments.mapInArrow(stream, ddl(SPANS))
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, shard_rows: int = 500, digest: bool = False, reference: int = REFERENCE, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """One row for each of docs (doc_id, text; further columns are ignored): doc_id, n_words, n_removed, and kept, its words
     that no repeated window covers, joined by single spaces; with digest, kept_sha256 in place of kept.
 
     A window is `window` consecutive words; it is repeated if its words also start at any other place of any row. Windows
     are judged on the input. Null and empty texts have no words. Repeated rows repeat each other: of their windows nothing
-    stays. Null ids are kept; an empty table gives an empty one. Equal texts are looked at once, with their number."""
+    stays. Null ids are kept; an empty table gives an empty one. Equal texts are looked at once, with their number; texts
+    count as equal if 96 bits of hashes are, and windows that very many texts share if 128 bits are."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), text.alias("text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             for k1, k2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if (k1, k2) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add((k1, k2))
                 h, first, last = minimizers(words_of(t.as_py()), window)
                 if len(h):
                     own = [pa.array(h), *(pa.repeat(pa.scalar(k, f), len(h)) for k, f in ((k1, pa.int64()), (k2, pa.int32())))]
                     yield pa.RecordBatch.from_arrays([*own, pa.array(first, pa.int32()), pa.array(last, pa.int32())], schema=OCCURRENCES)
 
     found = materialize(keyed.select("k1", "k2", "text").mapInArrow(occurrences, ddl(OCCURRENCES)), "minimizers")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    places = found.join(twice, "h")
-
-    def of_texts(which: str) -> DataFrame:
-        return places.where(which).groupBy(KEY).agg(F.collect_set(F.struct("h", "first", "last")).alias("places"))
-
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated-minimizers")
+    heavy, bound = few_enough(twice, shard_rows)
+    # The occurrences of heavy minimizers never meet: these are told by a broadcast set, and the rest is joined without them.
+    heavy = F.broadcast(heavy.select("h"))
+    light = found.join(heavy, "h", "left_anti").join(twice.where(F.col("n") <= bound).select("h"), "h")
     texts = keyed.groupBy(KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k1, k2, places, t, copies in zip(*b.columns):
-                words = words_of(t.as_py())
-                for p in places.as_py():
-                    rows.append((p["h"], b" ".join(words[p["first"] : p["last"] + window]), copies.as_py(), k1.as_py(), k2.as_py(), p["first"]))
-                if len(rows) > 20_000:
-                    yield batch(rows, SEGMENTS)
-                    rows = []
-            yield batch(rows, SEGMENTS)
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for k1, k2, places, t, copies in zip(*b.columns):
+                    words = words_of(t.as_py())
+                    for p in places.as_py():
+                        yield p["h"], b" ".join(words[p["first"] : p["last"] + window]), copies.as_py(), k1.as_py(), k2.as_py(), p["first"]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k1, k2, places, t, copies in zip(*b.columns):
-                words = words_of(t.as_py())
-                for p in places.as_py():
-                    for s in range(p["first"], p["last"] + 1):
-                        rows.append((xxhash.xxh3_128_digest(b" ".join(words[s : s + window])), copies.as_py(), k1.as_py(), k2.as_py(), s))
-                if len(rows) > 20_000:
-                    yield batch(rows, WINDOWS)
-                    rows = []
-            yield batch(rows, WINDOWS)
-
-    columns = ["k1", "k2", "places", "text", "copies"]
-    few = of_texts(f"n <= {shard_rows}").join(texts, KEY).select(columns).mapInArrow(segments, ddl(SEGMENTS))
-    in_shards = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: shards(it, window), ddl(SPANS))
-    many = of_texts(f"n > {shard_rows}").join(texts, KEY).select(columns).mapInArrow(windows, ddl(WINDOWS))
-    again = many.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest")
-    counted = many.join(again, "digest", "left_semi").select("k1", "k2", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    removed = in_shards.unionByName(counted).groupBy(KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        yield from in_batches(rows(), SEGMENTS)
+
+    def of_texts(places: DataFrame) -> DataFrame:
+        own = places.groupBy(KEY).agg(F.collect_set(F.struct("h", "first", "last")).alias("places"))
+        return own.join(texts, KEY).select("k1", "k2", "places", "text", "copies").mapInArrow(segments, ddl(SEGMENTS))
+
+    in_shards = of_texts(light).repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: shards(it, window), ddl(SPANS))
+    shared = heavy_spans(materialize(of_texts(found.join(heavy, "h", "left_semi")), "heavy-segments"), window, reference, shard_words)
+    removed = in_shards.unionByName(shared).groupBy(KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+    def shown(kept: list[bytes]) -> str:
+        whole = b" ".join(kept)
+        return hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8", "surrogatepass")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,10 +363,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_rows: int = 500,
                         stay += words[at : max(at, s["start"])]
                         at = max(at, s["stop"])
                     stay += words[at:]
-                kept = b" ".join(stay)
-                rows.append((k1.as_py(), k2.as_py(), n, n - len(stay), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
+                rows.append((k1.as_py(), k2.as_py(), n, n - len(stay), shown(stay)))
             yield batch(rows, TEXTS)
 
+    def cut_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
+                words = words_of(t.as_py())
+                stay = [] if len(words) >= window else words
+                rows.append((doc_id, len(words), len(words) - len(stay), shown(stay)))
+            yield batch(rows, RESULT)
+
     done = texts.join(removed, KEY, "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(cut, ddl(TEXTS))
-    result = keyed.select("doc_id", "k1", "k2").join(done, KEY)
-    return result.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    # Rows of texts with very many copies need nothing but their own text, and stay where they are.
+    copied = materialize(keyed.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > shard_rows), "copied-texts")
+    copied = F.broadcast(few_enough(copied, shard_rows)[0].select(KEY))
+    in_place = keyed.join(copied, KEY, "left_semi").select("doc_id", "text").mapInArrow(cut_copies, ddl(RESULT))
+    result = keyed.select("doc_id", "k1", "k2").join(copied, KEY, "left_anti").join(done, KEY).select(RESULT.names).unionByName(in_place)
+    return result.withColumnRenamed("kept", "kept_sha256") if digest else result

@@ -81,17 +81,21 @@ def test_components_of_paths_and_stars(spark):
 # Substring dedup
 
 
-@pytest.mark.parametrize("shard_rows", [500, 1])
-def test_repeats_equal_brute_force(spark, shard_rows):
+WAYS = [{}, {"shard_rows": 1}, {"shard_rows": 1, "reference": 0}, {"shard_rows": 2, "shard_words": 50}]
+
+
+@pytest.mark.parametrize("ways", WAYS)
+def test_repeats_equal_brute_force(spark, ways):
+    """Shards by content, a broadcast reference, its windows in a join, a reference of several shards."""
     docs = edge_documents(spark)
-    got = substrings.remove_repeats(docs, digest=True, shard_rows=shard_rows).collect()
+    got = substrings.remove_repeats(docs, digest=True, **ways).collect()
     want = brute.removed([t for _, t in EDGES])
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *w)) for (i, _), w in zip(EDGES, want))
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [500, 2])
-def test_repeats_in_periodic_and_overlapping_texts(spark, shard_rows):
+@pytest.mark.parametrize("ways", WAYS)
+def test_repeats_in_periodic_and_overlapping_texts(spark, ways):
     r = random.Random(5)
     base = [f"w{r.randrange(40)}" for _ in range(300)]
     texts = []
@@ -99,10 +103,24 @@ def test_repeats_in_periodic_and_overlapping_texts(spark, shard_rows):
         a = r.randrange(250)
         texts.append(" ".join(["s%d" % r.randrange(9)] * r.randrange(60) + base[a : a + r.randrange(1, 90)] + [f"v{r.randrange(1000)}"] * r.randrange(3)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(docs, digest=True, shard_rows=shard_rows).collect()}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(docs, digest=True, **ways).collect()}
     assert [got[i] for i in range(40)] == brute.removed(texts)
 
 
+def test_passages_hold_their_windows_and_no_others():
+    r = random.Random(4)
+    for _ in range(200):
+        n, text = r.randint(1, 4), [r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(4, 40))]
+        windows = sorted({tuple(text[i : i + n]) for i in range(len(text) - n + 1) if r.random() < 0.8})
+        merged = substrings.passages([list(w) for w in windows])
+        assert sorted(tuple(p[i : i + n]) for p in merged for i in range(len(p) - n + 1)) == windows
+        other = [r.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+        found = set()
+        for shard in substrings.reference_shards([list(w) for w in windows], 10):
+            found.update(shard.matching(other, n))
+        assert found == {i for i in range(len(other) - n + 1) if tuple(other[i : i + n]) in set(windows)}
+
+
 def test_automaton_counts():
     r = random.Random(2)
     for _ in range(100):
