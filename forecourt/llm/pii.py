@@ -1,7 +1,10 @@
 """Format-preserving pseudonyms: validated numbers, dates and addresses are permuted within their format by a keyed Feistel network.
 
-Equal values get equal pseudonyms in every document, so links stay; the key's holder can turn them back. Nothing is
-looked up or shuffled: each text is rewritten where it is.
+Equal values get equal pseudonyms in every document, so links stay, and none stays as it is; the key's holder can turn them
+back. Days are the same in all forms of dates. Nothing is looked up or shuffled: each text is rewritten where it is.
+
+Hosts of e-mail addresses stay: they name a provider, and links to it are of use; a host that is a person's own tells of it.
+Days keep to their half of the month, to 12 or after, as only that tells 03/04 from 12/25 when it is turned back.
 """
 
 from __future__ import annotations
@@ -9,17 +12,41 @@ from __future__ import annotations
 import datetime
 import math
 import re
+import secrets
+import unicodedata
+import warnings
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROUNDS = 10
 KINDS = ("email", "iban", "phone", "card", "ip", "ssn", "date")
 
 
+#: The session setting that holds the key of pseudonyms.
+KEY_SETTING = "spark.forecourt.pii.key"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING. Where none is set, a random one is made for the session, so that its pseudonyms can't be
+    turned back by anybody who reads this code; set one to link them over sessions or to turn them back."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms of this session use a random key", stacklevel=2)
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
+    """A keyed permutation of range(size) in which nothing stays in place, but for size 1: a step of one on the circle on which feistel() lays the values."""
+    return feistel((feistel(value, size, key, kind) + (-1 if back else 1)) % size, size, key, kind, back=True)
+
+
 def feistel(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
     """A keyed permutation of range(size): rounds on the two parts of value = left * b + right, walked on until inside."""
     a = math.isqrt(max(0, size - 1)) + 1
@@ -59,30 +86,43 @@ def digits_of(text: str) -> str:
 
 
 def permute_digits(digits: str, kind: str, key: bytes, back: bool) -> str:
-    return str(feistel(int(digits), 10 ** len(digits), key, f"{kind}{len(digits)}", back)).zfill(len(digits))
+    return str(permute(int(digits), 10 ** len(digits), key, f"{kind}{len(digits)}", back)).zfill(len(digits))
+
+
+#: Signs of which the neighbours in Unicode are looked at for an alphabet.
+NEAR = 64
 
 
-#: Alphabets within which a sign of an address is replaced.
-ALPHABETS = [
-    "abcdefghijklmnopqrstuvwxyz",
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "0123456789",
-    "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0x100)])),
-    "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])),
-]
+@lru_cache(maxsize=10_000)
+def alphabet(sign: str) -> tuple[str, str]:
+    """(its name, its signs): the letters or digits of the same kind, case and script near a letter or digit; others: ''.
 
+    A letter with a case keeps to those that have the other case as one letter, so that case can be told again."""
+    kind = unicodedata.category(sign)
+    if kind not in ("Ll", "Lu", "Lo", "Lm", "Nd", "Nl"):
+        return "", ""
+    first = ord(sign) // NEAR * NEAR
 
-def permute_signs(text: str, kind: str, key: bytes, back: bool) -> str:
-    """Letters and digits as one number in a mixed radix; other signs stay."""
-    own = [next((a for a in ALPHABETS if c in a), "") for c in text]
+    def script(c: str) -> str:
+        return unicodedata.name(c, "").split(" ")[0]
+
+    near = map(chr, range(first, first + NEAR))
+    return f"{first:x}{kind}{script(sign)}", "".join(c for c in near if unicodedata.category(c) == kind and script(c) == script(sign))
+
+
+def permute_signs(text: str, kind: str, key: bytes, back: bool) -> str | None:
+    """Letters and digits as one number in a mixed radix; other signs stay. None if there is nothing to choose from."""
+    own = [alphabet(c) for c in text]
     value, size = 0, 1
-    for c, a in zip(text, own):
+    for c, (_, a) in zip(text, own):
         if a:
             value, size = value * len(a) + a.index(c), size * len(a)
-    shape = "".join(str(ALPHABETS.index(a)) if a else c for a, c in zip(own, text))
-    value = feistel(value, size, key, f"{kind}:{shape}", back)
+    if size == 1:
+        return None
+    shape = "".join(f"[{name}]" if a else c for (name, a), c in zip(own, text))
+    value = permute(value, size, key, f"{kind}:{shape}", back)
     new = []
-    for c, a in zip(reversed(text), reversed(own)):
+    for c, (_, a) in zip(reversed(text), reversed(own)):
         if a:
             value, i = divmod(value, len(a))
             c = a[i]
@@ -92,7 +132,8 @@ def permute_signs(text: str, kind: str, key: bytes, back: bool) -> str:
 
 def email(text: str, key: bytes, back: bool) -> str | None:
     name, _, host = text.rpartition("@")
-    return f"{permute_signs(name, 'email', key, back)}@{host}"
+    new = permute_signs(name, "email", key, back)
+    return None if new is None else f"{new}@{host}"
 
 
 def iban(text: str, key: bytes, back: bool) -> str | None:
@@ -204,7 +245,7 @@ def ip(text: str, key: bytes, back: bool) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or p != str(int(p)) for p in parts):
         return None
-    value = feistel(int.from_bytes(bytes(map(int, parts))), 1 << 32, key, "ip", back)
+    value = permute(int.from_bytes(bytes(map(int, parts))), 1 << 32, key, "ip", back)
     return ".".join(map(str, value.to_bytes(4)))
 
 
@@ -213,7 +254,7 @@ def ssn(text: str, key: bytes, back: bool) -> str | None:
     if not 0 < area < 900 or area == 666 or not group or not serial:
         return None
     value = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
-    value, serial = divmod(feistel(value, 898 * 99 * 9999, key, "ssn", back), 9999)
+    value, serial = divmod(permute(value, 898 * 99 * 9999, key, "ssn", back), 9999)
     area, group = divmod(value, 99)
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
@@ -221,10 +262,22 @@ def ssn(text: str, key: bytes, back: bool) -> str | None:
 FIRST, LAST = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
+@lru_cache(maxsize=2)
+def days(late: bool) -> list[int]:
+    """Days after FIRST, in order, that lie in the first twelve of their month, or after these."""
+    return [i for i in range((LAST - FIRST).days + 1) if ((FIRST + datetime.timedelta(i)).day > 12) == late]
+
+
+def other_day(day: datetime.date, key: bytes, back: bool) -> datetime.date:
+    own = days(day.day > 12)
+    place = bisect_left(own, (day - FIRST).days)
+    return FIRST + datetime.timedelta(own[permute(place, len(own), key, f"date{day.day > 12}", back)])
+
+
 def date(text: str, key: bytes, back: bool) -> str | None:
     """yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy, dd-mm-yyyy from 1900 to 2099, and mm/dd/yyyy where only that is a date.
 
-    Those keep to days above 12, so that what was read one way is read that way again."""
+    A day has the same pseudonym in all of them."""
     a, b, c = re.split("[-/.]", text)
     separators = re.findall("[-/.]", text)
     if separators[0] != separators[1]:
@@ -242,17 +295,12 @@ def date(text: str, key: bytes, back: bool) -> str | None:
         found, form = day(a, b, c), f"%Y{sep}%m{sep}%d"
     else:
         found, form = day(c, b, a), f"%d{sep}%m{sep}%Y"
-    if found:
-        return (FIRST + datetime.timedelta(feistel((found - FIRST).days, (LAST - FIRST).days + 1, key, "date", back))).strftime(form)
-    found = day(c, a, b) if len(c) == 4 and sep == "/" else None
-    while found:
-        found = FIRST + datetime.timedelta(feistel((found - FIRST).days, (LAST - FIRST).days + 1, key, "us-date", back))
-        if found.day > 12:
-            return found.strftime("%m/%d/%Y")
-    return None
+        if not found and sep == "/":
+            found, form = day(c, a, b), "%m/%d/%Y"
+    return other_day(found, key, back).strftime(form) if found else None
 
 
-EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}")
+EMAIL = re.compile(r"(?<![\w.%+'-])[\w.%+'-]{1,64}@(?:[\w-]{1,63}\.){1,8}(?:[^\W\d_]{2,63}|xn--[A-Za-z0-9-]{1,59})")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
@@ -263,7 +311,7 @@ ABROAD = "|".join(rf"(?:{code})(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]){{6,{mo
 NUMBER = re.compile(
     r"(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     rf"|(?<![\w+])\+(?:{ABROAD})"
-    r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
     rf"|(?<![\w.+-]){PLAIN_PHONE})"
     rf"|(?P<ip>(?<![\w.]){IP})"
     rf"|(?P<ssn>(?<![\w-]){SSN})"
@@ -285,7 +333,7 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
                 found[kind] = found.get(kind, 0) + n
             return new
         new = RULES[kind](m[0], key, back)
-        if new is None:
+        if new is None or new == m[0]:
             return m[0]
         found[kind] = found.get(kind, 0) + 1
         return new
@@ -307,7 +355,8 @@ def pseudonymize(docs: DataFrame, key: bytes, counts: bool = False, back: bool =
     Kinds: e-mail addresses (the name before the @), IBANs with right check digits, phone numbers with a country code, an area
     code in parentheses or as 555-123-4567, card numbers of 13 to 19 digits with a right check digit, also beside other
     numbers, IPv4 addresses, US social security numbers, dates. Check digits are right again afterwards and separators stay. back: the reverse, with the same key. Null text stays null
-    and counts 0; empty tables, repeated rows and null ids pass through."""
+    and counts 0; empty tables, repeated rows and null ids pass through. With counts, a column of the name of one of them raises
+    a ValueError. Only values that have changed are counted."""
     columns = docs.columns
     added = [f"n_{k}" for k in KINDS] if counts else []
     if clash := set(added) & set(columns):

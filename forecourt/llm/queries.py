@@ -5,11 +5,8 @@ from __future__ import annotations
 from . import classifier, decontamination, html, packing, pii, quality, secrets, simhash, substrings, token_counts
 from .common import table
 
-#: For the queries and tests; a real corpus is given a key of its own.
-KEY = b"forecourt"
-
 QUERIES = {
-    "op1_pii_pseudonyms": lambda spark, d: pii.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), KEY, counts=True),
+    "op1_pii_pseudonyms": lambda spark, d: pii.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), pii.session_key(spark), counts=True),
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents")),
     "op3_substring_dedup": lambda spark, d: substrings.remove_repeats(table(spark, d, "documents"), digest=True),
     "op4_quality_classifier": lambda spark, d: classifier.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),

@@ -212,7 +212,7 @@ def test_wand_equals_exhaustive_scores():
 # Pseudonyms
 
 VALUES = {
-    "email": ["jo.smith+x@mail.example.com", "é.90@mail2.example.com"],
+    "email": ["jo.smith+x@mail.example.com", "é.90@mail2.example.com", "иван@mail.example.com", "li.王@x.org", "ΑΒγ_9@почта.рф", "ß@x.de", "a@b.co"],
     "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
     "phone": ["+1 (017) 555-7713", "(212) 555-0199"],
     "card": ["4845168114407329", "4111 1111 1111 1111"],
@@ -243,6 +243,78 @@ def test_what_is_not_valid_stays():
         assert pii.rewrite(f"a {value} b", KEY) == (f"a {value} b", {})
 
 
+def test_nothing_stays_in_place_and_letters_keep_their_class():
+    for size in (2, 3, 26, 1000):
+        there = [pii.permute(i, size, KEY, "k") for i in range(size)]
+        assert sorted(there) == list(range(size)) and all(i != x for i, x in enumerate(there))
+        assert [pii.permute(x, size, KEY, "k", back=True) for x in there] == list(range(size))
+    import unicodedata
+
+    for name in ("иван", "王", "Ωμέγα", "ñandú", "سلام", "ㄱ한", "İı", "ﬀ"):
+        new = pii.permute_signs(name, "email", KEY, False)
+        assert new != name and [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in name]
+        assert pii.permute_signs(new, "email", KEY, True) == name
+    assert pii.rewrite("_@x.org", KEY) == ("_@x.org", {})
+
+
+def test_a_day_is_the_same_in_all_forms():
+    import datetime
+
+    for day in (datetime.date(2020, 12, 25), datetime.date(1999, 3, 4), datetime.date(2024, 2, 29)):
+        forms = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%d-%m-%Y"] + ["%m/%d/%Y"] * (day.day > 12)
+        new = {datetime.datetime.strptime(pii.rewrite(day.strftime(f), KEY)[0], f).date() for f in forms}
+        assert len(new) == 1 and new != {day}
+
+
+def planted(r):
+    """A value of each kind from its definition alone, with no pattern of the operator: what an independent finder would look for."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    letters = lambda s, n: "".join(r.choice(s) for _ in range(n))
+
+    def card():
+        body = r.choice("3456") + digits(14)
+        total = sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(map(int, reversed(body))))
+        whole = body + str(-total % 10)
+        return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, 16, 4)), "-".join(whole[i : i + 4] for i in range(0, 16, 4))])
+
+    def iban():
+        bank = digits(18)
+        return f"DE{98 - int(bank + '131400') % 97:02d}{bank}"
+
+    day = lambda: f"{r.randint(1, 28):02d}"
+    month = lambda: f"{r.randint(1, 12):02d}"
+    return {
+        "email": lambda: f"{letters('abcxyzäéжш王', r.randint(1, 9))}.{letters('qwerty', 3)}@{letters('mnop', 5)}.example.{r.choice(['com', 'org', 'co.uk'])}",
+        "iban": iban,
+        "phone": lambda: r.choice([f"+1 {r.randint(200, 999)} {digits(3)} {digits(4)}", f"({r.randint(200, 999)}) {digits(3)}-{digits(4)}", f"+44 20 {digits(4)} {digits(4)}", f"+49 30 {digits(6)}", f"{r.randint(200, 999)}-{digits(3)}-{digits(4)}"]),
+        "card": card,
+        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
+        "date": lambda: r.choice([f"{r.randint(1900, 2099)}-{month()}-{day()}", f"{day()}.{month()}.{r.randint(1900, 2099)}", f"{day()}/{month()}/{r.randint(1900, 2099)}"]),
+    }
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_recall_of_planted_values(kind):
+    """Of 400 values between words and signs all are found as their kind, none stays, and all turn back."""
+    r = random.Random(kind)
+    make = planted(r)[kind]
+    for _ in range(400):
+        value = make()
+        text = r.choice(["seen {} today", "({})", "at: {}, then", "„{}“", "{}", "end {}."]).format(value)
+        new, found = pii.rewrite(text, KEY)
+        assert found == {kind: 1} and value not in new and pii.rewrite(new, KEY, back=True)[0] == text, text
+
+
+def test_a_key_is_demanded(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    with pytest.warns(UserWarning, match="random key"):
+        key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == b"mine"
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 7, 100, 1000):
         there = [pii.feistel(i, size, KEY, "k") for i in range(size)]
