@@ -6,6 +6,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import new_path
 
@@ -38,6 +39,16 @@ def file_system(path: str):
     return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
+def map_rows(docs: DataFrame, run, more: str = "") -> DataFrame:
+    """docs.mapInArrow(run), with the columns of docs and those of the DDL `more`; for run, text is named so and the others are numbered.
+
+    Column names may hold any sign."""
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    added = T.StructType.fromDDL(more).fields if more else []
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, docs.schema.fields)] + added)
+    return docs.toDF(*inner).mapInArrow(run, schema).toDF(*docs.columns, *[f.name for f in added])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where lambdas inside body use it for each of their elements."""
     return F.element_at(F.transform(F.array(value), body), 1)

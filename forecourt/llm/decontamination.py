@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path
-from .common import file_system, materialize
+from .common import file_system, map_rows, materialize
 
 PASSAGE, STRIDE = 64, 32
 SHINGLE, SIMILARITY = 5, 0.8
@@ -403,4 +403,4 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int =
         for b, found in searched(batches, shards(), held_bytes):
             yield b.filter(pa.array([not leaks for leaks in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

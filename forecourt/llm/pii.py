@@ -23,6 +23,8 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import map_rows
+
 ROUNDS = 10
 KINDS = ("email", "iban", "phone", "card", "ip", "ssn", "date")
 
@@ -366,9 +368,9 @@ def pseudonymize(docs: DataFrame, key: bytes, counts: bool = False, back: bool =
         for b in batches:
             done = [rewrite(t, key, back) if (t := x.as_py()) is not None else (None, {}) for x in b.column("text")]
             texts = pa.array([t for t, _ in done], b.schema.field("text").type)
-            arrays = [texts if c == "text" else b.column(c) for c in columns]
+            names = b.schema.names
+            arrays = [texts if c == "text" else b.column(c) for c in names]
             arrays += [pa.array([n.get(k, 0) for _, n in done], pa.int32()) for k in KINDS if counts]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *added])
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{c} int" for c in added])
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, ", ".join(f"{c} int" for c in added))

@@ -178,29 +178,26 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, cell_row
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, cell_rows: int = 1024) -> DataFrame:
     """docs without near duplicates: of each group one row stays, that with the smallest doc_id, nulls last; of several with
-    that id, the one with the smallest text, then any one of them. Rows with neither a doc_id nor a word pass unjudged."""
-    names = [c for c in ("_row", "_fp", "_text", "_n") if c not in docs.columns]
-    if len(names) < 4:
-        raise ValueError("columns in use: _row, _fp, _text or _n")
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    that id, the one with the smallest text, then any one of them. Rows with neither a doc_id nor a word pass unjudged.
+    Rows, not ids, are judged: an id that stands on several texts loses none of them. Further columns stay, whatever they are."""
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*fields).alias("doc")), "numbered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["_row", "doc_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["row", "doc_id", "fp"])
 
-    wordless = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
-    judged = numbered.where(~wordless).select("_row", "doc_id", "text")
-    of = materialize(judged.mapInArrow(run, "_row long, doc_id long, _fp long"), "fingerprints")
+    wordless = F.col("doc.doc_id").isNull() & ~F.coalesce("doc.text", F.lit("")).rlike(WORD)
+    judged = numbered.where(~wordless).select("row", "doc.doc_id", "doc.text")
+    of = materialize(judged.mapInArrow(run, "row long, doc_id long, fp long"), "fingerprints")
     # Only ids on several rows need their texts to choose by.
-    repeated = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    texts = judged.join(repeated, "doc_id", "left_semi").unionByName(judged.where("doc_id IS NULL"))
-    texts = texts.select("_row", F.col("text").alias("_text"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
-    first = materialize(of.join(texts, "_row", "left").groupBy("_fp").agg(F.min(order).alias("first")), "first")
-    labels = fingerprint_components(first.select(F.col("_fp").alias("fp")), radius, cell_rows)
-    label = F.coalesce("label", "_fp")
-    chosen = first.join(labels, F.col("_fp") == F.col("fp"), "left").groupBy(label.alias("label")).agg(F.min("first").alias("first"))
-    rows = chosen.select(F.col("first._row").alias("_row"))
-    kept = numbered.where(~wordless).join(rows, "_row", "left_semi").unionByName(numbered.where(wordless))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    repeated = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    texts = judged.join(repeated, "doc_id", "left_semi").select("row", "text").unionByName(judged.where("doc_id IS NULL").select("row", "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "row")
+    first = materialize(of.join(texts, "row", "left").groupBy("fp").agg(F.min(order).alias("first")), "first")
+    labels = fingerprint_components(first.select("fp"), radius, cell_rows)
+    chosen = first.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    rows = chosen.select(F.col("first.row").alias("row"))
+    kept = numbered.where(~wordless).join(rows, "row", "left_semi").select("doc").unionByName(numbered.where(wordless).select("doc"))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -481,6 +481,54 @@ def test_classifier_on_held_out_labels(spark):
     assert sorted(scores.collect()) == sorted(classifier.quality_scores(docs, blind).collect())
 
 
+def auc(scores, labels):
+    pairs = sorted(zip(scores, labels))
+    rank, total = {}, 0
+    for i, (x, _) in enumerate(pairs, 1):
+        rank.setdefault(x, []).append(i)
+    total = sum(sum(rank[x]) / len(rank[x]) for x, y in pairs if y)
+    ones = sum(labels)
+    return (total - ones * (ones + 1) / 2) / (ones * (len(labels) - ones))
+
+
+def test_classifier_is_calibrated_and_beats_a_plain_baseline(spark):
+    """On held-out rows: scores are near the share of good texts that have them, and rank better than naive Bayes on words."""
+    big = DATA.parent / "sf0.1"
+    if not big.exists():
+        pytest.skip("no test tables here")
+    import math
+
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    found = {r.doc_id: (r.score, r.quality) for r in classifier.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()}
+    bins = {}
+    for score, y in found.values():
+        bins.setdefault(min(9, int(score * 10)), []).append((score, y))
+    error = sum(abs(sum(s for s, _ in b) - sum(y for _, y in b)) for b in bins.values()) / len(found)
+    counts = [Counter(), Counter()]
+    texts = {r.doc_id: (r.text or "").split() for r in docs.join(labels, "doc_id").collect()}
+    for r in labels.collect():
+        if r.doc_id in texts and r.doc_id not in found:
+            counts[int(r.quality)].update(set(texts[r.doc_id]))
+    weight = {w: math.log((counts[1][w] + 1) / (counts[0][w] + 1)) for w in counts[0] | counts[1]}
+    plain = [sum(weight.get(w, 0.0) for w in set(texts[i])) for i in found]
+    own = auc([s for s, _ in found.values()], [y for _, y in found.values()])
+    assert error < 0.05 and own > 0.97 and own > auc(plain, [y for _, y in found.values()]) - 0.005
+
+
+def test_temperature_calibrates():
+    """Labels drawn with noise: the temperature brings the mean score of confident rows to their share of ones."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 2 * classifier.SIZE + 2))
+    p = 1 / (1 + np.exp(-2 * x[:, 0]))
+    y = (r.random(4000) < p).astype(float)
+    net = classifier.fit(x, y)
+    fresh = r.normal(size=(4000, x.shape[1]))
+    truth = 1 / (1 + np.exp(-2 * fresh[:, 0]))
+    scores = net.scores(fresh)
+    cold = 1 / (1 + np.exp(-net.logits(fresh)))
+    assert net.temperature > 1 and np.abs(scores - truth).mean() < np.abs(cold - truth).mean()
+
+
 def test_classifier_on_odd_tables(spark):
     docs = edge_documents(spark)
     labels = spark.createDataFrame([(1, 1), (3, None), (10, 0), (None, 1)], "doc_id long, quality int").withColumn("x", F.lit(1))
@@ -624,10 +672,33 @@ def test_pages_table(spark):
 # The pipeline
 
 
+def brute_pipeline(docs, bench):
+    """ids of documents that stay, by plain code: DuckDB's verdicts, all pairs of fingerprints, all shingles of all items."""
+    import duckdb
+
+    from forecourt.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    good = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.ORACLES['op2_quality_rules']}) WHERE kept").fetchall()}
+    texts = {i: t for i, t in docs.items() if i in good}
+    label = brute.components(sorted((i, brute.simhash(t)) for i, t in texts.items()))
+    texts = {i: t for i, t in texts.items() if label[i] == i}
+    clean = {}
+    for i, t in texts.items():
+        w = decontamination.terms(t)
+        held = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in range(1, 6)}
+        parts = ([decontamination.shingles(p) for p in decontamination.question_and_answer(x)] for x in bench)
+        if not any(all(own and sum(s in held[len(s)] for s in own) >= 0.8 * len(own) for own in p) for p in parts):
+            clean[i] = t
+    return clean
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     documents(spark)
+    spark.conf.set(pii.KEY_SETTING, "test")
     rows = corpus_pipeline.run(spark, str(DATA)).collect()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
@@ -635,16 +706,39 @@ def test_pipeline(spark):
         new = stage(spark, kept, str(DATA))
         assert new.columns == docs.columns and new.dtypes == docs.dtypes
         kept = common.materialize(new, "stage")
-    ids = {r.doc_id: r.text for r in kept.collect()}
-    assert {r.doc_id for r in rows} == set(ids) and 0 < len(ids) < docs.count()
-    want = {i: x + [0] for i, x in zip(ids, library_ids(ids.values()))}
+    bench = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    texts = brute_pipeline({r.doc_id: r.text for r in docs.collect()}, bench)
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (x, len(x)) for i, t in texts.items() for x in [pii.rewrite(t, b"test")[0]]}
+    assert {r.doc_id for r in rows} == set(texts) and 0 < len(texts) < docs.count()
+    want = {i: x + [0] for i, x in zip(texts, library_ids(pii.rewrite(t, b"test")[0] for t in texts.values()))}
     for i, x in want.items():
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
-        assert sum(r.length for r in own) == len(x)
-        assert all(zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in own)
+        assert [k for r in own for k in r.ids] == x
+        assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.ids == x[r.start : r.start + r.length] for r in own)
+    # No packing has fewer sequences than the ids fill; best fit alone isn't better.
+    lengths = Counter(r.length for r in rows)
+    n = len({r.sequence_id for r in rows})
+    alone = sum(m for _, m in packing.best_fit(dict(lengths), 2048))
+    assert -(-sum(r.length for r in rows) // 2048) <= n <= alone
     assert corpus_pipeline.unique(spark, docs.limit(0), str(DATA)).count() == 0 and PROSE
 
 
+def test_stages_keep_odd_columns_and_rows(spark):
+    """Maps, names of inner columns and of SQL, repeated and null ids, a very long text: all but the last stage return them as they came."""
+    import corpus_pipeline
+
+    documents(spark)
+    rows = [(1, PROSE, {"a": 1}), (1, PROSE + " zeta eta theta iota kappa lambda", {"a": 2}), (None, PROSE[::-1], None), (2, None, {}), (3, "".join(f"The word{i} of story{i}. " for i in range(40_000)), {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, meta map<string, int>")
+    docs = docs.withColumns({c: F.lit(1) for c in ("row", "doc", "_row", "fp", "n", "a.b", "select", "w", "lines", "n_words")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        new = stage(spark, docs, str(DATA))
+        assert new.columns == docs.columns and new.dtypes == docs.dtypes
+        assert {r.doc_id for r in new.collect()} >= {1, 3}
+        assert stage(spark, docs.limit(0), str(DATA)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).select("doc_id").distinct().count() == 4
+
+
 @pytest.mark.parametrize(
     "before, after",
     [
