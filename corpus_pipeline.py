@@ -7,13 +7,11 @@ and read again by the next one, so that a lost executor costs no more than the s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forecourt.llm import decontamination, packing, pii, quality, simhash
 from forecourt.llm.common import materialize, table
 
-#: The session setting that holds the pseudonyms' key, and the key where it isn't set, as in tests.
-KEY_SETTING, DEFAULT_KEY = "spark.forecourt.pii.key", "forecourt"
-
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -31,14 +29,14 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts turns into pseudonyms of the same format; n_chars counts the new text."""
-    key = spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
-    return pii.pseudonymize(docs, key).selectExpr(*[f"CAST(length(text) AS {kind}) AS {c}" if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes])
+    """Personal data in the texts turns into pseudonyms of the same format; n_chars counts the new text. The session's key, or a random one."""
+    new = pii.pseudonymize(docs, pii.session_key(spark))
+    return new.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the training sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents, their ids and their places in the training sequences."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [("quality_rules", good), ("simhash", unique), ("decontamination", uncontaminated), ("pii_pseudonyms", pseudonymous), ("best_fit_packing", packed)]
