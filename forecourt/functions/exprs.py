@@ -14,10 +14,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, ENDS, "")
 
 
+#: All of a blank text or of one that is only a dot; else the white space at the ends.
+NOTHING_OR_ENDS = r"(?U)^[\s\x1c-\x1f]*\.?[\s\x1c-\x1f]*\z|^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
 def clean(c: Column, fallback: Column | str = UNKNOWN) -> Column:
     """Stripped; null, blank and "." give fallback."""
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return F.when(strip(c).isNull() | strip(c).isin("", UNKNOWN), fallback).otherwise(strip(c))
+    return F.coalesce(F.nullif(F.regexp_replace(c, NOTHING_OR_ENDS, ""), F.lit("")), fallback)
 
 
 def first_filled(*columns: Column) -> Column:

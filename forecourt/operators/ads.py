@@ -10,9 +10,10 @@ from ..functions.exprs import UNKNOWN, clean, first_filled, price_digits, strip
 # Constants of an ad, and the category it is filed under.
 CONSTANTS = {"currency": "R (Rand)", "tag": "Sale", "location": "South Africa"}
 CATEGORIES = ["Vehicles", "Cars - Parts", "Used cars in South Africa"]
+HIGHLIGHTS = ["vehicle highlights", "highlights"]
 #: Field → (its names in a feed, the fallback). Of two names, the first that is filled counts.
 FIELDS: dict[str, tuple[list[str], str]] = {
-    "source_id": (["source_id", "id"], UNKNOWN),
+    "source_id": (["id", "source_id"], UNKNOWN),
     "source_url": (["Source Link", "source_url"], UNKNOWN),
     "title": (["title"], "Used Car"),
     "condition": (["condition"], UNKNOWN),
@@ -47,19 +48,41 @@ def flatten(texts: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), strip), lambda x: x != ""), "\n")
 
 
+def as_text(c: str, kind: str) -> Column:
+    """A list as lines, a text cleaned."""
+    return flatten(F.col(f"`{c}`")) if kind.startswith("array") else clean(F.col(f"`{c}`"))
+
+
+def as_highlights(listings: DataFrame) -> Column:
+    """The first of the two columns that is filled in the row, a list or a text; of neither, the last one as it is. No such column: ''."""
+    own = [(c, kind) for c, kind in listings.dtypes if c in HIGHLIGHTS]
+    own.sort(key=lambda x: HIGHLIGHTS.index(x[0]))
+    if not own:
+        return F.lit("")
+    filled = [F.when((F.size(f"`{c}`") > 0) if kind.startswith("array") else (F.col(f"`{c}`") != ""), as_text(c, kind)) for c, kind in own]
+    return F.coalesce(*filled, as_text(*own[-1]))
+
+
 def canonical(listings: DataFrame) -> DataFrame:
-    """Raw listings under any of their field names as ads: 34 columns, all text but images."""
-    fields = {name: alias(listings, names, fallback) for name, (names, fallback) in FIELDS.items()}
+    """Raw listings under any of their field names as ads: 34 columns, all text but images. A list that no listing has is ''.
+
+    Fields are cleaned in one projection; the spellings under which they are shown again are another one on it."""
     has = dict(listings.dtypes)
+    fields = {name: alias(listings, names, fallback) for name, (names, fallback) in FIELDS.items()}
     fields["variant"] = alias(listings, ["title description", "title_description", "variant"], fields["title"])
     fields["description"] = alias(listings, ["description"], fields["title"])
     fields["price"] = price_digits(F.col("price").cast("string")) if "price" in has else F.lit("0")
-    for name, own in (("features", ["features"]), ("vehicle highlights", ["vehicle highlights", "highlights"])):
-        there = next((c for c in own if c in has), None)
-        fields[name] = F.lit(UNKNOWN) if there is None else flatten(F.col(f"`{there}`")) if has[there].startswith("array") else clean(F.col(f"`{there}`"))
-    shown = fields | {name: fields[of] for name, of in SPELLINGS.items()} | {k: F.lit(v) for k, v in CONSTANTS.items()}
+    fields["features"] = as_text("features", has["features"]) if "features" in has else F.lit("")
+    fields["vehicle highlights"] = as_highlights(listings)
     images = F.slice("images", 1, 5) if "images" in has else F.array().cast("array<string>")
-    return listings.select(*[c.alias(name) for name, c in shown.items()], images.alias("images"))
+    cleaned = listings.select(*[c.alias(name) for name, c in fields.items()], images.alias("images"))
+    names = {name: name for name in fields} | SPELLINGS
+    return cleaned.select(*[F.col(f"`{of}`").alias(name) for name, of in names.items()], *[F.lit(v).alias(k) for k, v in CONSTANTS.items()], "images")
+
+
+def with_categories(ads: DataFrame) -> DataFrame:
+    """ads with category_1 to category_3, the path under which they are filed."""
+    return ads.withColumns({f"category_{i}": F.lit(c) for i, c in enumerate(CATEGORIES, 1)})
 
 
 def typed(ads: DataFrame) -> DataFrame:
@@ -93,15 +116,27 @@ def preferred_images(sources: DataFrame, most: int = 5) -> DataFrame:
     return best.groupBy("source_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "path"))), 1, most), lambda x: x["path"]).alias("images"))
 
 
-#: The form's slots in order: fields of an ad, but for highlights, which an ad calls vehicle highlights.
+# The form's fields in order, 17 inputs, then its areas and single fields, with the column of an ad or a constant that fills each.
 SLOTS = [
-    "title", "variant", "condition", "year", "mileage", "transmission", "fuel", "drive_type", "colour", "seats", "pricing_summary", "dealer_name",
-    "address", "dealer_rating", "contact_phone", "source_url", "source_id", "features", "highlights", "price", "location", "description",
+    ("title", "title"), ("variant", "variant"), ("top_condition", None), ("year", "year"), ("km", "mileage"), ("transmission", "transmission"),
+    ("fuel", "fuel"), ("drive_type", "drive_type"), ("colour", "colour"), ("bottom_condition", "condition"), ("seats", "seats"),
+    ("pricing_summary", "pricing_summary"), ("dealer_name", "dealer_name"), ("dealer_address", "address"), ("dealer_rating", "dealer_rating"),
+    ("contact_number", "contact_phone"), ("source_link", "source_url"), ("features", "features"), ("highlights", "vehicle highlights"),
+    ("price", "price"), ("address", "address"), ("description", "description"),
 ]
+TOP_CONDITION = "Used"
 
 
 def payload(ads: DataFrame) -> DataFrame:
-    """(source_id, slot, name, value): what the form is filled with, in order; the condition slot is always Used."""
-    named = {n: F.col(n) for n in SLOTS if n != "highlights"} | {"condition": F.lit("Used"), "highlights": F.col("`vehicle highlights`")}
-    values = [F.struct(F.lit(n).alias("name"), named[n].alias("value")) for n in SLOTS]
+    """(source_id, slot, name, value): what the form is filled with, in order; what is empty is ".", but a price and a
+    description, for which the title stands in. The first condition is always Used, the second the ad's own."""
+
+    def value(name: str, c: str | None) -> Column:
+        if c is None:
+            return F.lit(TOP_CONDITION)
+        if name == "price":
+            return strip(F.regexp_replace("price", "[R ]", ""))
+        return F.coalesce(F.nullif(F.col(f"`{c}`"), F.lit("")), F.col("title") if name == "description" else F.lit(UNKNOWN))
+
+    values = [F.struct(F.lit(name).alias("name"), value(name, c).alias("value")) for name, c in SLOTS]
     return ads.select("source_id", F.posexplode(F.array(*values)).alias("slot", "at")).select("source_id", "slot", "at.name", "at.value")

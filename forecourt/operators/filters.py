@@ -36,14 +36,16 @@ def exclude_by_url(listings: DataFrame, terms: DataFrame, url: str = "source_url
     Terms keep their hyphens, so that those with one never match, unless normalize_hyphens. Null addresses stay."""
     term = normal(F.replace("term", F.lit("-"), F.lit(" ")) if normalize_hyphens else F.col("term"))
     wanted = terms.where("term IS NOT NULL").select(term.alias("n")).distinct()
-    h = F.replace(F.lower(url), F.lit("-"), F.lit(" "))
+    # The text is made before the join: in its condition it would be made again for every term.
+    rows = listings.select(F.replace(F.lower(url), F.lit("-"), F.lit(" ")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in listings.columns]).alias("row"))
     if wanted.count() <= theta_terms:
-        return listings.join(F.broadcast(wanted), F.contains(h, F.col("n")), "left_anti")
-    rows = listings.withColumn("h", h)
-    hits = gram_pairs(rows.select("h").distinct(), wanted).select("h").distinct()
-    if not wanted.where("n = ''").isEmpty():
-        return listings.where(F.col(url).isNull())
-    return rows.join(hits, "h", "left_anti").select(*listings.columns)
+        kept = rows.join(F.broadcast(wanted), F.contains("h", "n"), "left_anti")
+    elif wanted.where("n = ''").isEmpty():
+        hits = gram_pairs(rows.select("h").distinct(), wanted).select("h").distinct()
+        kept = rows.join(hits, "h", "left_anti")
+    else:
+        kept = rows.where("h IS NULL")
+    return kept.select("row.*")
 
 
 def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title", theta_terms: int = THETA_TERMS) -> DataFrame:
@@ -106,8 +108,12 @@ def violated(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))
 
 
-def content_rules(title: Column, price: Column, text: Column, images: Column, image_names: Column | None = None) -> dict[str, Column]:
-    """Thresholds of an ad's content; true for a violation."""
+#: Bytes of an image at most.
+IMAGE_BYTES = 50 << 20
+
+
+def content_rules(title: Column, price: Column, text: Column, images: Column, image_names: Column | None = None, image_bytes: Column | None = None) -> dict[str, Column]:
+    """Thresholds of an ad's content; true for a violation. image_bytes: the sizes of its images, as a manifest has them."""
 
     def empty(c: Column) -> Column:
         return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -121,4 +127,6 @@ def content_rules(title: Column, price: Column, text: Column, images: Column, im
     }
     if image_names is not None:
         rules["image_format"] = F.exists(image_names, lambda x: ~F.lower(x).rlike(r"[.](jpg|jpeg|png|webp)$"))
+    if image_bytes is not None:
+        rules["image_size"] = F.exists(image_bytes, lambda x: x > IMAGE_BYTES)
     return rules

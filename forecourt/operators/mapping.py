@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import filled, match_key
+from ..functions.exprs import filled, match_key, strip
 from .filters import gram_pairs
 
+# The fields of a vehicle in the order in which they are audited, and the messages for its images.
 MAPPED = ["condition", "transmission", "fuel", "drive_type", "colour", "country"]
 COPIED = ["title", "description", "price", "mileage", "source_url"]
 FORM = ["source_url", "title", "description", "price"]
+WRONG_NUMBER, NOT_UNIQUE = "Exactly five listing images are required", "Form requires five unique images"
 
 
 def schema_org_condition(c: Column) -> Column:
@@ -54,19 +56,28 @@ def source_errors(values: dict[str, Column], mapped: dict[str, Column]) -> Colum
     return filled(*out)
 
 
-def source_audit(ads: DataFrame, options: DataFrame, to: str = "source_errors") -> DataFrame:
-    """ads with column `to`, the messages for MAPPED, then COPIED, in order. country is read from location.
+def mapped(ads: DataFrame, options: DataFrame) -> DataFrame:
+    """ads with _value_<field> and _mapped_<field> for MAPPED: the value, and the option for it. country is read from location.
 
-    Values of a field of which options (field, pos, label) has no row pass through."""
+    A field of which options (field, pos, label) has no row passes through."""
     listed = {r[0] for r in options.where(F.col("field").isin(MAPPED)).select("field").distinct().collect()}  # six at most
-    values = {f: F.col("location" if f == "country" else f) for f in MAPPED + COPIED}
-    values["condition"] = schema_org_condition(values["condition"])
     rows = ads
     for f in MAPPED:
-        if f in listed:
-            rows = map_option(rows, options, f, values[f], f"_mapped_{f}")
-    mapped = {f: F.col(f"_mapped_{f}") for f in MAPPED if f in listed}
-    return rows.withColumn(to, source_errors(values, mapped)).drop(*[f"_mapped_{f}" for f in listed])
+        value = F.col("location" if f == "country" else f)
+        rows = rows.withColumn(f"_value_{f}", schema_org_condition(value) if f == "condition" else value)
+        rows = map_option(rows, options, f, F.col(f"_value_{f}"), f"_mapped_{f}") if f in listed else rows.withColumn(f"_mapped_{f}", F.col(f"_value_{f}"))
+    return rows
+
+
+def audit_of_mapped() -> Column:
+    """Messages for MAPPED, then COPIED, in order, on the columns of mapped()."""
+    values = {f: F.col(f"_value_{f}") for f in MAPPED} | {f: F.col(f) for f in COPIED}
+    return source_errors(values, {f: F.col(f"_mapped_{f}") for f in MAPPED})
+
+
+def source_audit(ads: DataFrame, options: DataFrame, to: str = "source_errors") -> DataFrame:
+    """ads with column `to`, the messages for MAPPED, then COPIED, in order."""
+    return mapped(ads, options).withColumn(to, audit_of_mapped()).drop(*[f"_{kind}_{f}" for kind in ("value", "mapped") for f in MAPPED])
 
 
 def form_errors(values: dict[str, Column]) -> Column:
@@ -75,36 +86,60 @@ def form_errors(values: dict[str, Column]) -> Column:
 
 def image_errors(n: Column, n_distinct: Column, wanted: int = 5) -> Column:
     """The mapper asks for five images, the validator for five different ones."""
-    return filled(
-        F.when(n != wanted, F.lit(f"Expected {wanted} images")),
-        F.when((n != wanted) | (n_distinct != wanted), F.lit(f"Expected {wanted} unique images")),
-    )
+    return filled(F.when(n != wanted, F.lit(WRONG_NUMBER)), F.when((n != wanted) | (n_distinct != wanted), F.lit(NOT_UNIQUE)))
 
 
 def verdict(errors: Column) -> Column:
     return F.when(F.size(errors) == 0, "FORM_FILLED").otherwise("BLOCKED")
 
 
-def loose_option(records: DataFrame, options: DataFrame, key: list[str], targets: Column, to: str = "label") -> DataFrame:
-    """key and, as `to`, the first option (pos, label) whose text holds one of targets or equals one, without case; null if none.
+def dry_run(ads: DataFrame, options: DataFrame) -> DataFrame:
+    """ads with status, dry_run (true), mapped, a struct of what goes into the form, and errors.
+
+    Errors are the audit's, then those for images and for the form, each once. A field without a value or an option is null
+    in mapped. Where ads have no column images, these aren't judged."""
+    rows = mapped(ads, options)
+    errors = [audit_of_mapped(), form_errors({f: F.col(f) for f in FORM})]
+    images = []
+    if "images" in ads.columns:
+        n, distinct = F.size(F.coalesce("images", F.array().cast("array<string>"))), F.size(F.array_distinct(F.coalesce("images", F.array().cast("array<string>"))))
+        found = image_errors(n, distinct)
+        errors = [errors[0], F.filter(found, lambda x: x == WRONG_NUMBER), errors[1], F.filter(found, lambda x: x == NOT_UNIQUE)]
+        images = [F.coalesce("images", F.array().cast("array<string>")).alias("images")]
+    own = [F.when(~missing(F.col(f"_value_{f}")), F.col(f"_mapped_{f}")).alias(f) for f in MAPPED] + [F.nullif(F.col(f), F.lit("")).alias(f) for f in COPIED]
+    rows = rows.withColumn("errors", F.array_distinct(F.concat(*errors))).withColumn("mapped", F.struct(*own, *images))
+    return rows.withColumns({"status": verdict(F.col("errors")), "dry_run": F.lit(True)}).drop(*[f"_{kind}_{f}" for kind in ("value", "mapped") for f in MAPPED])
 
-    Distinct targets are matched with distinct texts by a gram, so neither has to be few. An empty target is in every option."""
-    of = options.where("pos IS NOT NULL AND label IS NOT NULL").groupBy(F.lower("label").alias("h")).agg(F.min(F.struct("pos", "label")).alias("_first"))
+
+def loose_option(records: DataFrame, options: DataFrame, key: list[str], targets: Column, to: str = "label") -> DataFrame:
+    """key and, as `to`, the first option (pos, label and, if there is one, value) whose label holds one of targets or whose
+    value equals one, without case; null if none.
+
+    Distinct targets are matched with distinct labels by a gram and with values by equality, so neither has to be few. An
+    empty target is in every option."""
+    first = F.min(F.struct("pos", "label")).alias("_first")
+    known = options.where("pos IS NOT NULL AND label IS NOT NULL")
+    of = known.groupBy(F.lower("label").alias("h")).agg(first)
     wanted = records.select(*key, F.explode_outer(F.transform(targets, F.lower)).alias("_n"))
     pairs = gram_pairs(of.select("h"), wanted.where("_n IS NOT NULL").select(F.col("_n").alias("n")).distinct())
     best = pairs.join(of, "h").groupBy(F.col("n").alias("_n")).agg(F.min("_first").alias("_first"))
     best = best.unionByName(of.agg(F.min("_first").alias("_first")).select(F.lit("").alias("_n"), "_first"))
+    if "value" in options.columns:
+        best = best.unionByName(known.where("value IS NOT NULL").groupBy(F.lower("value").alias("_n")).agg(first))
+    best = best.groupBy("_n").agg(F.min("_first").alias("_first"))
     return wanted.join(best, "_n", "left").groupBy(*key).agg(F.min("_first").alias("_first")).select(*key, F.col("_first.label").alias(to))
 
 
-# How a form may name the rand.
-RAND_TEXTS, RAND_EXACT = ["rand", "zar", "r ("], ["r"]
+# How a form may name the rand, in a label or a value.
+RAND_TEXTS, RAND_EXACT, RAND_VALUES = ["rand", "zar", "r ("], ["r"], ["rand", "zar"]
 
 
-def currency_option(options: DataFrame) -> DataFrame:
-    """One row, label: the first currency option that is the rand; null if none."""
-    own = F.lower("label")
-    hit = own.isin(RAND_EXACT)
+def currency_option(options: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by and label: the first currency option (pos, label, value) of each form that is the rand, by pos; a form without one has no row."""
+    text, value = F.lower(strip(F.col("label"))), F.lower(F.coalesce("value", F.lit("")))
+    hit = text.isin(RAND_EXACT)
     for t in RAND_TEXTS:
-        hit = hit | own.contains(t)
-    return options.where(F.col("field") == "currency").where(hit).agg(F.min_by("label", "pos").alias("label"))
+        hit = hit | text.contains(t)
+    for t in RAND_VALUES:
+        hit = hit | value.contains(t)
+    return options.where(hit).groupBy(*(by or [])).agg(F.min_by("label", "pos").alias("label"))

@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import first_filled
+
 KEYLESS = ["", "."]
 
 
+def identified(queue: DataFrame) -> DataFrame:
+    """queue with queue_id, its source_id or else its id, and link, the address under either name, else "."."""
+    has = queue.columns
+    ids = [F.col(c).cast("string") for c in ("source_id", "id") if c in has]
+    links = [F.col(f"`{c}`") for c in ("Source Link", "source_url") if c in has]
+    return queue.withColumns({"queue_id": first_filled(*ids), "link": first_filled(*links, F.lit(".")) if links else F.lit(".")})
+
+
+def left(queue: DataFrame) -> DataFrame:
+    """One row: how many are left."""
+    return queue.agg(F.count("*").alias("remaining"))
+
+
 def head(queue: DataFrame, k: int, order: list) -> DataFrame:
     return queue.orderBy(*order).limit(k)
 

@@ -32,8 +32,8 @@ def summary(log: DataFrame) -> DataFrame:
     return log.agg(*status_counts(F.col("status")))
 
 
-def batch_report(rows: DataFrame, mode: str = "run") -> DataFrame:
-    """One row over tagged rows (duplicate, errors, outcome): validate stops at validity, prepare at processing, run goes through."""
+def batch_report(rows: DataFrame, mode: str = "run", runtime: float | None = None) -> DataFrame:
+    """One row, with runtime (seconds) if it is given, over tagged rows (duplicate, errors, outcome): validate stops at validity, prepare at processing, run goes through."""
     if mode not in ("validate", "prepare", "run"):
         raise ValueError(mode)
     valid = ~F.col("duplicate") & (F.col("errors") == 0)
@@ -42,7 +42,7 @@ def batch_report(rows: DataFrame, mode: str = "run") -> DataFrame:
     def upto(stage: str, c: Column) -> Column:
         return c if ["validate", "prepare", "run"].index(mode) >= ["validate", "prepare", "run"].index(stage) else zero
 
-    return rows.agg(
+    found = rows.agg(
         F.count("*").alias("total"),
         F.count_if(valid).alias("valid"),
         F.count_if(~F.col("duplicate") & (F.col("errors") > 0)).alias("invalid"),
@@ -52,6 +52,7 @@ def batch_report(rows: DataFrame, mode: str = "run") -> DataFrame:
         upto("run", F.count_if(valid & (F.col("outcome") == "failed"))).alias("failed"),
         upto("run", F.count_if(valid & (F.col("outcome") == "cancelled"))).alias("skipped"),
     )
+    return found if runtime is None else found.withColumn("runtime", F.lit(float(runtime)))
 
 
 def preview(features: Column, highlights: Column, images: Column) -> dict[str, Column]:

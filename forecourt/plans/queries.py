@@ -1,4 +1,6 @@
-"""One query for each operator of the listing engine, on the driver's tables, and its SQL for DuckDB."""
+"""One query for each operator of the listing engine, on the driver's tables, and its SQL for DuckDB.
+
+The SQL is written from the surveyed behaviour: it takes no pattern, list or constant from the code that it checks."""
 
 from __future__ import annotations
 
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import capitalize, clean, lines, price_digits
 from ..operators import ads, extract, filters, mapping, queue, report
 from ..sources import feeds, shared, sinks
+from ..streaming import ingest
 from .standins import IMAGE_ORDER, LISTING_ORDER, load, queue_order, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,10 +97,14 @@ def image_manifest(spark, d):
 
 
 PAGE_TEXT = "html"
-for _pattern, _to in ((feeds.HIDDEN, "''"), (feeds.BREAK, "chr(10)"), ("<[^>]*>", "''")):
+for _pattern, _to in (
+    ("(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "''"),
+    (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|html|li|main|nav|ol|p|section|table|td|th|title|tr|ul)(\s[^>]*)?/?>", "chr(10)"),
+    ("<[^>]*>", "''"),
+):
     PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, '{_pattern}', {_to}, 'g')"
-for _ref, _sign in feeds.REFERENCES:
-    PAGE_TEXT = "replace({}, '{}', '{}')".format(PAGE_TEXT, _ref, _sign.replace("'", "''"))
+for _name, _sign in ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&"):
+    PAGE_TEXT = f"replace({PAGE_TEXT}, '&{_name};', '{_sign}')"
 
 
 @query(f"""
@@ -116,7 +123,28 @@ e AS (SELECT page_id, url, i - 1 AS pos, found[i] AS href FROM (SELECT page_id,
 @query(f"""WITH {PAGE_LINKS}
 SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS url FROM e""")
 def page_links(spark, d):
-    return extract.listing_links(load(spark, d, "pages"), card=r'(?s)<div class="card">(.*?)</div>', pattern="/")
+    """No page of the table has a card, so all anchors count."""
+    return extract.listing_links(load(spark, d, "pages"), pattern="/", within="/")
+
+
+#: Pages whose menu items are cards: every fourth letter's are paid for, and addresses end in the number of a page or in none.
+CARD_PAGES = r'''regexp_replace(regexp_replace(html, '<li><a href="/([a-dA-D])', '<li class="sponsored"><a href="/\1', 'g'), '<a href="/([^"]*)"', concat('<a href="/for-sale/used/\1/', CASE WHEN page_id % 3 = 0 THEN 'x' ELSE CAST(page_id AS VARCHAR) END, '"'), 'g')'''
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, url, {CARD_PAGES} AS html FROM pages),
+c AS (SELECT page_id, url, i - 2 AS pos, parts[i] AS card FROM (SELECT page_id, url, string_split(html, '<li') AS parts, unnest(range(2, len(string_split(html, '<li')) + 1)) AS i FROM p)),
+f AS (SELECT page_id, url, pos, regexp_extract(card, 'href="([^"]*/for-sale/used/[^"]*)"', 1) AS href FROM c WHERE NOT starts_with(card, ' class="sponsored') AND contains(card, '/for-sale/used/')),
+own AS (SELECT * FROM f WHERE regexp_matches(href, '/\d+/?$')),
+a AS (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS found FROM p WHERE page_id NOT IN (SELECT page_id FROM own)),
+e AS (SELECT page_id, url, i - 1 AS pos, found[i] AS href FROM (SELECT page_id, url, found, unnest(range(1, len(found) + 1)) AS i FROM a)),
+u AS (SELECT * FROM own UNION ALL SELECT * FROM e WHERE contains(href, '/for-sale/used/') AND regexp_matches(href, '/\d+/?$'))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url FROM u""")
+def card_links(spark, d):
+    html = F.regexp_replace("html", '<li><a href="/([a-dA-D])', '<li class="sponsored"><a href="/$1')
+    number = F.when(F.col("page_id") % 3 == 0, "x").otherwise(F.col("page_id").cast("string"))
+    html = F.regexp_replace(html, F.lit('<a href="/([^"]*)"'), F.concat(F.lit('<a href="/for-sale/used/$1/'), number, F.lit('"')))
+    return extract.listing_links(load(spark, d, "pages").withColumn("html", html), opening=r"<li\b")
 
 
 @query(r"""
@@ -147,35 +175,39 @@ def price_from_url(spark, d):
 
 
 @query(rf"""
-WITH p AS (SELECT doc_id, list_filter({d_lines('text')}, lambda x: NOT regexp_matches(x, '{extract.PRICE_NOISE}')) AS own FROM documents),
-q AS (SELECT doc_id, own, list_filter(own, lambda x: regexp_matches(x, 'R\s*[\d\s]+') AND NOT regexp_matches(x, 'Est[.]|Summary') AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 4) AS priced FROM p)
-SELECT doc_id, coalesce(regexp_replace(priced[1], '[^0-9]', '', 'g'), '0') AS price, array_to_string(own, chr(10)) AS summary FROM q""")
+WITH p AS (SELECT doc_id, n_chars, list_filter({d_lines('text')}, lambda x: NOT regexp_matches(x, '(?i)track price|recalculate|fair deal|good deal|great deal')) AS own FROM documents),
+q AS (SELECT doc_id, n_chars, own, list_filter(own, lambda x: regexp_matches(x, 'R\s*[\d\s]+') AND NOT contains(x, 'Est.') AND NOT contains(x, 'Summary') AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 4) AS priced FROM p)
+SELECT doc_id, coalesce(regexp_replace(priced[1], '[^0-9]', '', 'g'), CASE WHEN n_chars >= 1000 THEN CAST(n_chars AS VARCHAR) END, '0') AS price,
+  coalesce(nullif(array_to_string(own, chr(10)), ''), '.') AS summary FROM q""")
 def price_block(spark, d):
-    text = F.col("text")
-    return load(spark, d, "documents").select("doc_id", extract.price_of_block(text).alias("price"), extract.price_summary(text).alias("summary"))
+    text, element = F.col("text"), F.concat(F.lit("R "), F.col("n_chars").cast("string"))
+    return load(spark, d, "documents").select("doc_id", extract.price_of_block(text, element=element).alias("price"), extract.price_summary(text).alias("summary"))
 
 
 SPEC_TOKENS = [
-    "CASE WHEN l_linenumber % 2 = 0 THEN '5 seats 100 km' ELSE 'airbag manual' END", "CAST(year(l_shipdate) AS STRING)", "mileage",
+    "CASE WHEN l_linenumber % 2 = 0 THEN '5 seats 100 km' ELSE 'airbag manual' END", "'Heated seats'", "CAST(year(l_shipdate) AS STRING)", "mileage",
     "CASE WHEN l_linenumber % 3 = 0 THEN 'AUTOMATIC' ELSE 'manual' END", "colour", "CASE WHEN l_partkey % 4 = 0 THEN '4X4' WHEN l_partkey % 4 = 1 THEN 'awd' END",
-    "CASE WHEN l_suppkey % 3 = 0 THEN 'Petrol' WHEN l_suppkey % 3 = 1 THEN 'frozen white' END", "'7 seater'", "condition",
+    "CASE WHEN l_suppkey % 3 = 0 THEN 'Petrol' WHEN l_suppkey % 3 = 1 THEN 'frozen white' END", "'7 Seater'", "condition",
+    "CASE WHEN l_linenumber = 4 THEN 'Condition report: twenty points checked' ELSE 'good condition' END",
 ]
-
-
-def d_spec(slot: str) -> str:
-    test = extract.SLOTS[slot]
-    fits = f"regexp_matches(x, '{test}')" if isinstance(test, str) else f"lower(x) IN ({', '.join(map(repr, test))})"
-    first = f"list_filter(t, lambda x: {fits})[1]"
-    if slot == "mileage":
-        seats = f"list_filter(t, lambda x: regexp_matches(x, '{extract.SLOTS['seats']}'))[1]"
-        first = f"list_filter(t, lambda x, i: regexp_matches(x, '{extract.SLOTS[slot]}') AND i <> coalesce(list_position(t, {seats}), 0))[1]"
-    shown = f"CASE WHEN starts_with(lower({first}), '4x') THEN lower({first}) ELSE {d_capitalize(first)} END" if slot == "drive" else d_capitalize(first)
-    return f"coalesce({shown}, '.') AS {slot}"
+D_SEATS = r"regexp_matches(x, '(?i)\b([1-9]|10|12)\s*(seats|seater|seat)\b')"
+D_KM = r"regexp_matches(x, '(?i)\b\d+[\d\s,]*\s*km\b')"
 
 
 @query(rf"""
-WITH p AS (SELECT source_id, list_filter([{', '.join(SPEC_TOKENS)}], lambda x: length(x) <= 40 AND NOT contains(x, chr(10)) AND NOT regexp_matches(x, '(?i){'|'.join(extract.NOT_A_SPEC)}')) AS t FROM v_listing)
-SELECT source_id, {', '.join(map(d_spec, extract.SLOTS))} FROM p""")
+WITH a AS (SELECT source_id, list_filter([{', '.join(SPEC_TOKENS)}], lambda x: x IS NOT NULL) AS every FROM v_listing),
+p AS (SELECT source_id, list_filter(every, lambda x: contains(x, 'condition') OR contains(x, 'Condition'))[1] AS stated,
+  list_filter(every, lambda x: length(x) <= 40 AND NOT contains(x, chr(10)) AND NOT regexp_matches(x, '(?i)bluetooth|aircon|airbag|steering|abs')) AS t FROM a),
+f AS (SELECT source_id, stated, t, list_filter(t, lambda x: {D_SEATS})[1] AS seats FROM p),
+g AS (SELECT source_id, stated, seats, list_filter(t, lambda x: regexp_matches(x, '^(19|20)\d{{2}}$'))[1] AS year,
+  list_filter(t, lambda x, i: {D_KM} AND i <> coalesce(list_position(t, seats), 0))[1] AS mileage,
+  list_filter(t, lambda x: lower(x) IN ('manual', 'automatic', 'auto'))[1] AS transmission,
+  list_filter(t, lambda x: lower(x) IN ('petrol', 'diesel', 'hybrid', 'electric'))[1] AS fuel,
+  list_filter(t, lambda x: lower(x) IN ('4x2', '4x4', 'awd', 'fwd', 'rwd'))[1] AS drive,
+  list_filter(t, lambda x: lower(x) IN ('white', 'black', 'silver', 'grey', 'gray', 'red', 'blue', 'brown', 'gold', 'orange', 'beige', 'green', 'yellow', 'frozen white'))[1] AS colour FROM f)
+SELECT source_id, coalesce(seats, '.') AS seats, coalesce(year, '.') AS year, coalesce(mileage, '.') AS mileage, coalesce({d_capitalize('transmission')}, '.') AS transmission,
+  coalesce({d_capitalize('fuel')}, '.') AS fuel_type, coalesce(CASE WHEN starts_with(lower(drive), '4x') THEN lower(drive) ELSE {d_capitalize('drive')} END, '.') AS drive,
+  coalesce({d_capitalize('colour')}, '.') AS colour, CASE WHEN length(stated) < 35 THEN stated ELSE '.' END AS condition FROM g""")
 def spec_first_match(spark, d):
     tokens = load(spark, d, "v_listing").select("source_id", F.array_compact(F.array(*map(F.expr, SPEC_TOKENS))).alias("tokens"))
     return extract.specs(tokens, "tokens").drop("tokens")
@@ -186,31 +218,59 @@ def year_from_url(spark, d):
     return load(spark, d, "v_listing").select("source_id", extract.year_from_url(F.col("source_url")).alias("year"))
 
 
-PROVINCES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE-EAST"]
-PLACE = rf"-({'|'.join(PROVINCES)})-([A-Za-z]+)/\d+/?$"
+@query("""
+SELECT source_id, CASE WHEN contains(u, '4x4') OR contains(t, '4x4') THEN '4x4' WHEN contains(u, '4x2') OR contains(t, '4x2') THEN '4x2' ELSE '.' END AS drive
+FROM (SELECT source_id, lower(source_url) AS u, lower(title || CASE l_partkey % 4 WHEN 0 THEN ' 4X4' WHEN 1 THEN ' 4x2' ELSE '' END) AS t FROM v_listing)""")
+def drive_from_url(spark, d):
+    title = F.concat("title", F.when(F.col("l_partkey") % 4 == 0, " 4X4").when(F.col("l_partkey") % 4 == 1, " 4x2").otherwise(""))
+    return load(spark, d, "v_listing").select("source_id", extract.drive_from(F.col("source_url"), title).alias("drive"))
 
 
-@query(f"""
-SELECT source_id, CASE WHEN regexp_matches(source_url, '{PLACE}') THEN regexp_extract(source_url, '{PLACE}', 2) || ', ' || regexp_extract(source_url, '{PLACE}', 1) ELSE '.' END AS location
-FROM v_listing""")
+@query(r"""
+SELECT source_id, CASE WHEN regexp_matches(source_url, '-(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE-EAST)-([A-Za-z]+)/\d+/?$')
+  THEN regexp_extract(source_url, '-(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE-EAST)-([A-Za-z]+)/\d+/?$', 2) || ', '
+    || replace(regexp_extract(source_url, '-(AFRICA|AMERICA|ASIA|EUROPE|MIDDLE-EAST)-([A-Za-z]+)/\d+/?$', 1), '-', ' ') ELSE '.' END AS location
+FROM (SELECT source_id, replace(source_url, 'MIDDLE EAST', 'MIDDLE-EAST') AS source_url FROM v_listing)""")
 def location_from_url(spark, d):
-    return load(spark, d, "v_listing").select("source_id", extract.location_from_url(F.col("source_url"), PROVINCES).alias("location"))
+    url = F.replace("source_url", F.lit("MIDDLE EAST"), F.lit("MIDDLE-EAST"))
+    return load(spark, d, "v_listing").select("source_id", extract.location_from_url(url, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE-EAST"]).alias("location"))
+
+
+@query(rf"""
+SELECT doc_id, CASE WHEN length({d_strip('text')}) < 100 THEN coalesce({d_lines('text')}[1], 'beside ' || source) ELSE 'beside ' || source END AS dealer,
+  CASE WHEN {d_strip("replace(replace(text, 'Distance From You', ''), 'Location', '')")} IN ('', '.') THEN 'Benoni, Gauteng' ELSE coalesce({d_strip("replace(replace(text, 'Distance From You', ''), 'Location', '')")}, 'Benoni, Gauteng') END AS address
+FROM (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN ' Location ' WHEN 1 THEN 'Distance From You ' || text WHEN 2 THEN left(text, 60) ELSE text END AS text FROM documents)""")
+def seller_fields(spark, d):
+    k, text = F.col("doc_id") % 5, F.col("text")
+    shown = F.when(k == 0, " Location ").when(k == 1, F.concat(F.lit("Distance From You "), text)).when(k == 2, F.left(text, F.lit(60))).otherwise(text)
+    rows = load(spark, d, "documents").select("doc_id", "source", shown.alias("text"))
+    found = {"dealer": extract.dealer(F.col("text"), F.concat(F.lit("beside "), F.col("source"))), "address": extract.address(F.col("text"), F.lit("https://x/a-Gauteng-Benoni/9"))}
+    return rows.select("doc_id", *[c.alias(name) for name, c in found.items()])
+
+
+D_RATED = """coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' 4.8 (630 Reviews)' WHEN 1 THEN chr(10) || '4.8 (1 630 reviews)' WHEN 2 THEN chr(10) || '3.2 litre / 4.8' || chr(10) || ' 1 630 REVIEWS'
+  WHEN 3 THEN ' 6.1 of 12 reviews' WHEN 4 THEN ' 2.5 and later 7,001 review' ELSE '' END"""
+
+
+D_PAIR = r"(?i)\b([1-5]\.\d)[\s\n]*\(?([\d\s,]+[\s\n]*reviews?)\)?"
 
 
 @query(rf"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '{extract.RATING}') THEN regexp_extract(text, '{extract.RATING}', 1) || ' (' || regexp_extract(text, '{extract.RATING}', 2) || ')'
-  WHEN regexp_matches(text, '{extract.SCORE}') AND regexp_matches(text, '{extract.REVIEWS}') THEN regexp_extract(text, '{extract.SCORE}', 1) || ' (' || regexp_extract(text, '{extract.REVIEWS}', 1) || ')'
-  ELSE '.' END AS rating FROM documents""")
+WITH t AS (SELECT doc_id, {D_RATED} AS text FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(text, '{D_PAIR}') THEN regexp_extract(text, '{D_PAIR}', 1) || ' (' || trim(regexp_extract(text, '{D_PAIR}', 2), chr(32) || chr(10) || chr(9)) || ')'
+  WHEN regexp_matches(text, '\b([1-5]\.\d)\b') AND regexp_matches(text, '(?i)\d+[\d\s,]*\s*reviews?')
+    THEN regexp_extract(text, '\b([1-5]\.\d)\b', 1) || ' (' || regexp_extract(text, '(?i)\d+[\d\s,]*\s*reviews?') || ')'
+  ELSE '.' END AS rating FROM t""")
 def rating_extract(spark, d):
-    return load(spark, d, "documents").select("doc_id", extract.rating(F.col("text")).alias("rating"))
+    return load(spark, d, "documents").select("doc_id", extract.rating(F.expr(D_RATED)).alias("rating"))
 
 
-PHONE = r"\+?\d[\d ()-]{8,}\d"
+PHONE = r"\+?\d[\d ()-]{4,}\d"
 
 
 @query(f"""
 WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}', 0)) AS found FROM documents)
-SELECT doc_id, found, left(regexp_replace(found, '[^0-9]', '', 'g'), 10) AS phone FROM p""")
+SELECT doc_id, found, CASE WHEN length(regexp_replace(found, '[^0-9]', '', 'g')) >= 10 THEN left(regexp_replace(found, '[^0-9]', '', 'g'), 10) ELSE '.' END AS phone FROM p""")
 def phone_digits(spark, d):
     found = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0))).alias("found"))
     return found.withColumn("phone", extract.phone(F.col("found")))
@@ -232,8 +292,8 @@ LINK_TEXT = "<a[^>]*>([^<]*)</a>"
 
 @query(f"""
 WITH p AS (SELECT page_id, regexp_extract_all(html, '{LINK_TEXT}', 1) AS found FROM pages),
-e AS (SELECT page_id, min(i) AS i, t FROM (SELECT page_id, i, found[i] AS t FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM p))
-      WHERE length(t) > 2 AND NOT contains(t, chr(10)) AND lower(t) NOT IN ({', '.join(repr(h) for h in extract.HEADINGS)}) GROUP BY page_id, t)
+e AS (SELECT page_id, min(i) AS i, t FROM (SELECT page_id, i, trim(found[i]) AS t FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM p))
+      WHERE length(t) > 2 AND NOT contains(t, chr(10)) AND lower(t) NOT IN ('features', 'summary', 'engine', 'economy', 'safety', 'specifications') GROUP BY page_id, t)
 SELECT page_id, coalesce((SELECT string_agg(t, '|' ORDER BY i) FROM e WHERE e.page_id = p.page_id), '') AS features FROM p""")
 def feature_set(spark, d):
     found = F.regexp_extract_all("html", F.lit(LINK_TEXT), F.lit(1))
@@ -243,12 +303,32 @@ def feature_set(spark, d):
 @query("""
 WITH p AS (SELECT source_id, image, min((pos, pos2, pos3)) AS spot FROM v_listing_image WHERE image NOT LIKE '%.svg' GROUP BY source_id, image),
 q AS (SELECT source_id, image, spot, row_number() OVER (PARTITION BY source_id ORDER BY spot) AS n FROM p)
-SELECT source_id, string_agg(image, ',' ORDER BY spot) AS images FROM q WHERE n <= 5 GROUP BY source_id""")
+SELECT source_id, coalesce((SELECT string_agg('http://i/' || image, ',' ORDER BY spot) FROM q WHERE n <= 5 AND q.source_id = o.source_id), '') AS images
+FROM (SELECT DISTINCT source_id FROM v_listing_image) o""")
 def image_pick5(spark, d):
-    rows = load(spark, d, "v_listing_image").where("image NOT LIKE '%.svg'")
-    first = rows.groupBy("source_id", "image").agg(F.min(F.struct(*IMAGE_ORDER)).alias("at"))
-    listed = first.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("at", "image"))).alias("all"))
-    return listed.select("source_id", F.array_join(F.transform(F.slice("all", 1, 5), lambda x: x["image"]), ",").alias("images"))
+    """An order's lines are its images, in order; the page field picks them from an array of addresses."""
+    at = F.struct(*IMAGE_ORDER, F.concat(F.lit("http://i/"), F.col("image")).alias("image"))
+    listed = load(spark, d, "v_listing_image").groupBy("source_id").agg(F.array_sort(F.collect_list(at)).alias("all"))
+    return listed.select("source_id", F.array_join(extract.images(F.transform("all", lambda x: x["image"])), ",").alias("images"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS found FROM pages),
+e AS (SELECT page_id, min(i) AS i, 'http://i' || found[i] AS image FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM p) WHERE i % 4 <> 0 GROUP BY page_id, found[i]),
+q AS (SELECT page_id, i, image, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM e)
+SELECT page_id, coalesce((SELECT string_agg(image, ',' ORDER BY i) FROM q WHERE n <= 5 AND q.page_id = p.page_id), '') AS images FROM p""")
+def page_images(spark, d):
+    """Links turned into img elements: by turns src, data-src, an empty src beside data-src, and a drawing."""
+    found = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))
+
+    def tag(href, i):
+        url = F.concat(F.lit('http://i'), href)
+        plain = F.concat(F.lit('<img src="'), url, F.lit('">'))
+        late = F.concat(F.lit('<img class="image" data-src="'), url, F.lit('">'))
+        both = F.concat(F.lit('<img src="" data-src="'), url, F.lit('"/>'))
+        return F.when(i % 4 == 0, plain).when(i % 4 == 1, late).when(i % 4 == 2, both).otherwise(F.concat(F.lit('<img src="'), url, F.lit('.svg">')))
+
+    return load(spark, d, "pages").select("page_id", F.array_join(extract.page_images(F.array_join(F.transform(found, tag), "\n")), ",").alias("images"))
 
 
 # Filters, joins, caps
@@ -263,11 +343,22 @@ def exclude_by_url(spark, d):
     return filters.exclude_by_url(load(spark, d, "v_listing"), load(spark, d, "v_exclusion")).select(KEPT)
 
 
+@query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT EXISTS (SELECT 1 FROM v_exclusion WHERE contains(replace(lower(source_url), '-', ' '), {D_TERM}))")
+def exclude_by_url_grams(spark, d):
+    """The way of long lists."""
+    return filters.exclude_by_url(load(spark, d, "v_listing"), load(spark, d, "v_exclusion"), theta_terms=0).select(KEPT)
+
+
 @query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT {BAD_TITLE}")
 def exclude_by_title(spark, d):
     return filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion")).select(KEPT)
 
 
+@query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT {BAD_TITLE}")
+def exclude_by_title_grams(spark, d):
+    return filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion"), theta_terms=0).select(KEPT)
+
+
 @query(f"""
 SELECT source_id, source_url, title, l_partkey, l_suppkey FROM v_listing
 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(LISTING_ORDER)}) = 1""")
@@ -297,10 +388,11 @@ def completeness_gate(spark, d):
     return orders.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT source_id, source_url FROM v_listing WHERE NOT {BAD_TITLE} ORDER BY {', '.join(LISTING_ORDER)} LIMIT 1000")
+@query(f"SELECT source_id, source_url FROM v_listing WHERE NOT {BAD_TITLE} AND l_linenumber >= 2 ORDER BY {', '.join(LISTING_ORDER)} LIMIT 1000")
 def first_n_accepted(spark, d):
-    kept = filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion"))
-    return filters.first_accepted(kept, 1000, LISTING_ORDER).select("source_id", "source_url")
+    """Lines of an order are pages; the harvest begins on the second."""
+    kept = filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion")).withColumn("page", F.col("l_linenumber"))
+    return filters.first_accepted(kept, 1000, LISTING_ORDER, start_page=2).select("source_id", "source_url")
 
 
 @query("SELECT source_id, title FROM v_queue ORDER BY enqueued_at, CAST(source_id AS BIGINT) LIMIT 50")
@@ -311,9 +403,12 @@ def batch_cap(spark, d):
 @query("""
 SELECT doc_id, concat_ws(',', CASE WHEN trim(coalesce(source, '')) = '' THEN 'title_missing' END, CASE WHEN trim(coalesce(lang, '')) = '' THEN 'price_missing' END,
   CASE WHEN trim(coalesce(text, '')) = '' THEN 'description_missing' END, CASE WHEN trim(coalesce(text, '')) <> '' AND length(text) < 50 THEN 'description_short' END,
-  CASE WHEN n_chars % 13 > 10 THEN 'too_many_images' END) AS violations FROM documents""")
+  CASE WHEN n_chars % 13 > 10 THEN 'too_many_images' END, CASE WHEN doc_id % 4 IN (1, 3) THEN 'image_format' END,
+  CASE WHEN n_chars * 100000 > 52428800 THEN 'image_size' END) AS violations FROM documents""")
 def threshold_audit(spark, d):
-    rules = filters.content_rules(F.col("source"), F.col("lang"), F.col("text"), F.col("n_chars") % 13)
+    names = F.array(F.lit("a.JPG"), F.element_at(F.array(*map(F.lit, ["b.png", "b.gif", "b.webp", "b"])), (F.col("doc_id") % 4 + 1).cast("int")))
+    sizes = F.array(F.lit(1), F.col("n_chars") * 100_000)
+    rules = filters.content_rules(F.col("source"), F.col("lang"), F.col("text"), F.col("n_chars") % 13, names, sizes)
     return load(spark, d, "documents").select("doc_id", F.array_join(filters.violated(rules), ",").alias("violations"))
 
 
@@ -349,9 +444,13 @@ def features_flatten(spark, d):
 D_AD = {
     "source_id": d_clean("source_id"), "source_url": d_clean("source_url"), "title": d_clean("title", "'Used Car'"), "variant": D_VARIANT, "condition": d_clean("condition"),
     "mileage": d_clean("mileage"), "colour": d_clean("colour"), "dealer_name": d_clean("dealer_name"), "address": d_clean("dealer_address"), "price": d_price("price"),
-    "description": d_clean("title", "'Used Car'"), "features": "'.'", "vehicle highlights": "'.'", "currency": "'R (Rand)'", "tag": "'Sale'", "location": "'South Africa'",
+    "description": d_clean("title", "'Used Car'"), "features": "''", "vehicle highlights": "''", "currency": "'R (Rand)'", "tag": "'Sale'", "location": "'South Africa'",
 } | {c: "'.'" for c in ("year", "transmission", "fuel", "drive_type", "seats", "pricing_summary", "dealer_rating", "contact_phone")}
-D_SHOWN = D_AD | {k: D_AD[v] for k, v in ads.SPELLINGS.items()}
+D_AGAIN = [
+    ("Source Link", "source_url"), ("title description", "variant"), ("Kilometers driven", "mileage"), ("4x2 / 4x4", "drive_type"), ("body colour", "colour"),
+    ("price summary", "pricing_summary"), ("dealer_address", "address"), ("Dealer average rating", "dealer_rating"), ("contact_number", "contact_phone"),
+]
+D_SHOWN = D_AD | {k: D_AD[v] for k, v in D_AGAIN}
 
 
 @query(f"SELECT {', '.join(f'{v} AS \"{k}\"' for k, v in D_SHOWN.items())}, '' AS images FROM v_listing")
@@ -359,6 +458,29 @@ def canonical_ad(spark, d):
     return ads.canonical(load(spark, d, "v_listing")).withColumn("images", F.array_join("images", ","))
 
 
+@query(f"""
+SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'id' || source_id ELSE source_id END AS source_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'h1' || chr(10) || 'h2' WHEN l_linenumber % 3 = 1 THEN {d_clean('variant')} ELSE '.' END AS highlights,
+  CASE WHEN l_linenumber % 3 = 0 THEN '.' ELSE {d_clean('variant')} END AS features,
+  'Vehicles' AS category_1, 'Cars - Parts' AS category_2, 'Used cars in South Africa' AS category_3 FROM v_listing""")
+def ad_aliases(spark, d):
+    """Both ids, highlights that stand in either column of a row, features as a text, and the category path."""
+    k = F.col("l_linenumber")
+    lists = F.when(k % 3 == 0, F.array(F.lit(" h1 "), F.lit(""), F.lit("h2"))).when(k % 3 == 1, F.array().cast("array<string>"))
+    rows = load(spark, d, "v_listing").select(
+        F.when(k % 2 == 0, F.concat(F.lit("id"), "source_id")).alias("id"), "source_id", lists.alias("vehicle highlights"),
+        F.when(k % 3 == 2, "").otherwise(F.col("variant")).alias("highlights"), F.when(k % 3 == 0, " . ").otherwise(F.col("variant")).alias("features"), "title",
+    )
+    return ads.with_categories(ads.canonical(rows)).select("source_id", F.col("vehicle highlights").alias("highlights"), "features", "category_1", "category_2", "category_3")
+
+
+@query(f"""
+SELECT source_id, TRY_CAST({d_price('price')} AS DECIMAL(12, 0)) AS price_amount, CAST(NULL AS INTEGER) AS year_num,
+  TRY_CAST(nullif(regexp_replace(mileage, '[^0-9]', '', 'g'), '') AS INTEGER) AS mileage_km FROM v_listing""")
+def typed_ad(spark, d):
+    return ads.typed(ads.canonical(load(spark, d, "v_listing"))).select("source_id", "price_amount", "year_num", "mileage_km")
+
+
 @query(f"""
 WITH listed AS (SELECT source_id, (pos, pos2, pos3) AS pos, image AS path FROM v_listing_image),
 manifest AS (SELECT DISTINCT source_id, image AS path FROM v_listing_image WHERE image LIKE '%.jpg' AND pos3 % 3 = 0),
@@ -386,8 +508,16 @@ def image_precedence(spark, d):
     return ads.preferred_images(ranked).select("source_id", F.array_join("images", ",").alias("images"))
 
 
+D_SLOTS = [
+    ("title", "title"), ("variant", "variant"), ("top_condition", "'Used'"), ("year", "year"), ("km", "mileage"), ("transmission", "transmission"), ("fuel", "fuel"),
+    ("drive_type", "drive_type"), ("colour", "colour"), ("bottom_condition", "condition"), ("seats", "seats"), ("pricing_summary", "pricing_summary"), ("dealer_name", "dealer_name"),
+    ("dealer_address", "address"), ("dealer_rating", "dealer_rating"), ("contact_number", "contact_phone"), ("source_link", "source_url"), ("features", "'.'"), ("highlights", "'.'"),
+    ("price", "price"), ("address", "address"), ("description", "description"),
+]
+
+
 @query("WITH ad AS (SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in D_AD.items()) + " FROM v_listing) " + " UNION ALL ".join(
-    f"SELECT source_id, {i} AS slot, '{n}' AS name, " + ("'Used'" if n == "condition" else '"vehicle highlights"' if n == "highlights" else n) + " AS value FROM ad" for i, n in enumerate(ads.SLOTS)))
+    f"SELECT source_id, {i} AS slot, '{name}' AS name, {value} AS value FROM ad" for i, (name, value) in enumerate(D_SLOTS)))
 def ad_payload_long(spark, d):
     return ads.payload(ads.canonical(load(spark, d, "v_listing")))
 
@@ -417,45 +547,44 @@ def d_mapped(field: str, value: str, mapped: str) -> str:
     return f"CASE WHEN coalesce({value}, '') = '' THEN 'Missing source field: {field}' WHEN {mapped} IS NULL THEN 'No target option for {field}: ' || {value} END"
 
 
-D_MAPPED = f"""{D_OPTIONS}, rec AS (
-  SELECT v.*, {d_condition('condition')} AS cond, {D_AD['title']} AS description FROM v_listing v),
-mapped AS (SELECT r.*, c.label AS m_condition, k.label AS m_colour FROM rec r
-  LEFT JOIN opt c ON c.field = 'condition' AND c.key = {d_key('cond')} LEFT JOIN opt k ON k.field = 'colour' AND k.key = {d_key('colour')})"""
+def d_option(field: str, value: str) -> str:
+    return f"LEFT JOIN opt {field}_o ON {field}_o.field = '{field}' AND {field}_o.key = {d_key(value)}"
+
+
+D_MAPPED = f"""{D_OPTIONS}, rec AS (SELECT v.*, {d_condition('condition')} AS cond FROM v_vehicle v),
+mapped AS (SELECT r.*, condition_o.label AS m_condition, transmission_o.label AS m_transmission, drive_type_o.label AS m_drive_type, colour_o.label AS m_colour, country_o.label AS m_country FROM rec r
+  {d_option('condition', 'cond')} {d_option('transmission', 'transmission')} {d_option('drive_type', 'drive_type')} {d_option('colour', 'colour')} {d_option('country', 'location')})"""
 D_SOURCE = [
-    d_mapped("condition", "cond", "m_condition"), d_mapped("colour", "colour", "m_colour"), d_missing("mileage", "mileage", "source"),
-    *[d_missing(f, f, "source") for f in ("source_url", "title", "description", "price")],
+    d_mapped("condition", "cond", "m_condition"), d_mapped("transmission", "transmission", "m_transmission"), d_missing("fuel", "fuel", "source"),
+    d_mapped("drive_type", "drive_type", "m_drive_type"), d_mapped("colour", "colour", "m_colour"), d_mapped("country", "location", "m_country"),
+    *[d_missing(f, f, "source") for f in ("title", "description", "price", "mileage", "source_url")],
 ]
-D_FORM = [d_missing(f, f, "form") for f in mapping.FORM]
+D_FORM = [d_missing(f, f, "form") for f in ("source_url", "title", "description", "price")]
 
 
 def audited(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    """rows of v_listing, all unless given, with source_errors and form_errors."""
-    rows = load(spark, d, "v_listing") if rows is None else rows
-    rows = rows.withColumn("cond", mapping.schema_org_condition(F.col("condition"))).withColumn("description", clean(F.col("title"), "Used Car"))
-    options = load(spark, d, "v_form_option")
-    rows = mapping.map_option(rows, options, "condition", F.col("cond"), "m_condition")
-    rows = mapping.map_option(rows, options, "colour", F.col("colour"), "m_colour")
-    values = {"condition": F.col("cond")} | {c: F.col(c) for c in ("colour", "mileage", "source_url", "title", "description", "price")}
-    mapped = {"condition": F.col("m_condition"), "colour": F.col("m_colour")}
-    return rows.withColumns({"source_errors": mapping.source_errors(values, mapped), "form_errors": mapping.form_errors({c: F.col(c) for c in mapping.FORM})})
+    """rows of v_vehicle, all unless given, with status, dry_run, mapped and errors."""
+    return mapping.dry_run(load(spark, d, "v_vehicle") if rows is None else rows, load(spark, d, "v_form_option"))
 
 
 @query(f"WITH {D_MAPPED} SELECT source_id, concat_ws('; ', {', '.join(D_SOURCE)}) AS errors FROM mapped")
 def source_audit(spark, d):
-    return audited(spark, d).select("source_id", F.array_join("source_errors", "; ").alias("errors"))
+    rows = mapping.source_audit(load(spark, d, "v_vehicle"), load(spark, d, "v_form_option"))
+    return rows.select("source_id", F.array_join("source_errors", "; ").alias("errors"))
 
 
 @query("""
 WITH o AS (SELECT source_id, count(*) AS n, count(DISTINCT image) AS u FROM v_listing_image GROUP BY source_id)
-SELECT source_id, concat_ws('; ', CASE WHEN n <> 5 THEN 'Expected 5 images' END, CASE WHEN n <> 5 OR u <> 5 THEN 'Expected 5 unique images' END) AS errors FROM o""")
+SELECT source_id, concat_ws('; ', CASE WHEN n <> 5 THEN 'Exactly five listing images are required' END, CASE WHEN n <> 5 OR u <> 5 THEN 'Form requires five unique images' END) AS errors FROM o""")
 def image_audit(spark, d):
     counts = load(spark, d, "v_listing_image").groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("image").alias("u"))
     return counts.select("source_id", F.array_join(mapping.image_errors(F.col("n"), F.col("u")), "; ").alias("errors"))
 
 
-@query(f"WITH {D_MAPPED} SELECT source_id, concat_ws('; ', {', '.join(D_FORM)}) AS errors FROM mapped")
+@query(f"SELECT source_id, concat_ws('; ', {', '.join(D_FORM)}) AS errors FROM v_vehicle")
 def form_audit(spark, d):
-    return audited(spark, d).select("source_id", F.array_join("form_errors", "; ").alias("errors"))
+    values = {c: F.col(c) for c in mapping.FORM}
+    return load(spark, d, "v_vehicle").select("source_id", F.array_join(mapping.form_errors(values), "; ").alias("errors"))
 
 
 @query(f"""
@@ -464,27 +593,68 @@ SELECT CASE WHEN concat_ws('; ', {', '.join(D_SOURCE + D_FORM)}) = '' THEN 'FORM
   concat_ws('; ', {', '.join(D_SOURCE + D_FORM)}) AS errors, count(*) AS n FROM kept GROUP BY ALL""")
 def ad_verdict(spark, d):
     """The flagship: exclusion and de-duplication first, then option mapping and both audits of what is left, verdict counts."""
-    kept = filters.first_seen(filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion")), "source_id", LISTING_ORDER)
-    errors = F.array_distinct(F.concat("source_errors", "form_errors"))
-    return audited(spark, d, kept).groupBy(mapping.verdict(errors).alias("status"), F.array_join(errors, "; ").alias("errors")).agg(F.count("*").alias("n"))
+    kept = filters.first_seen(filters.exclude_by_title(load(spark, d, "v_vehicle"), load(spark, d, "v_exclusion")), "source_id", LISTING_ORDER)
+    return audited(spark, d, kept).groupBy("status", F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("n"))
+
+
+D_IMAGES = ["CASE WHEN n <> 5 THEN 'Exactly five listing images are required' END"], ["CASE WHEN n <> 5 OR u <> 5 THEN 'Form requires five unique images' END"]
+
+
+@query(f"""
+WITH {D_MAPPED}, i AS (SELECT source_id AS k, count(*) AS n, count(DISTINCT image) AS u FROM v_listing_image GROUP BY 1),
+m AS (SELECT * FROM mapped JOIN i ON k = CAST(l_orderkey AS VARCHAR))
+SELECT source_id, CASE WHEN concat_ws('; ', {', '.join(D_SOURCE + D_IMAGES[0] + D_FORM + D_IMAGES[1])}) = '' THEN 'FORM_FILLED' ELSE 'BLOCKED' END AS status, true AS dry_run, source_url,
+  concat_ws('; ', {', '.join(D_SOURCE + D_IMAGES[0] + D_FORM + D_IMAGES[1])}) AS errors, m_condition AS condition, m_transmission AS transmission, nullif(fuel, '') AS fuel, m_drive_type AS drive_type,
+  m_colour AS colour, m_country AS country, nullif(title, '') AS title, nullif(description, '') AS description, nullif(price, '') AS price, nullif(mileage, '') AS mileage, n AS n_images FROM m""")
+def verdict_record(spark, d):
+    """The whole record of a dry run; an order's lines are the images of each of its ads."""
+    images = load(spark, d, "v_listing_image").groupBy(F.col("source_id").cast("long").alias("l_orderkey")).agg(F.collect_list("image").alias("images"))
+    rows = audited(spark, d, load(spark, d, "v_vehicle").join(images, "l_orderkey"))
+    shown = [F.col(f"mapped.{f}").alias(f) for f in mapping.MAPPED + mapping.COPIED[:-1]]
+    return rows.select("source_id", "status", "dry_run", "source_url", F.array_join("errors", "; ").alias("errors"), *shown, F.size("mapped.images").cast("long").alias("n_images"))
 
 
 @query("""
-WITH v AS (SELECT DISTINCT l_partkey, trim(coalesce(variant, '')) AS target FROM v_listing WHERE l_linenumber > 3),
-o AS (SELECT p_partkey AS pos, p_type AS label FROM part WHERE p_partkey <= 40)
-SELECT l_partkey, target, arg_min(label, pos) AS label FROM v LEFT JOIN o ON contains(lower(label), lower(target)) GROUP BY ALL""")
+WITH v AS (SELECT DISTINCT l_partkey, trim(coalesce(variant, '')) AS target, title_description AS other FROM v_listing),
+o AS (SELECT p_partkey AS pos, p_type AS label, p_brand AS value FROM part),
+f AS (SELECT DISTINCT target FROM v), g AS (SELECT target, min((pos, label)) AS spot FROM f JOIN o ON contains(lower(label), lower(target)) OR lower(value) = lower(target) GROUP BY 1),
+b AS (SELECT lower(value) AS other, min((pos, label)) AS spot FROM o GROUP BY 1)
+SELECT l_partkey, target, v.other, coalesce(least(g.spot, b.spot), g.spot, b.spot)[2] AS label FROM v LEFT JOIN g USING (target) LEFT JOIN b ON b.other = lower(v.other)""")
 def option_contains(spark, d):
-    rows = load(spark, d, "v_listing").where("l_linenumber > 3").select("l_partkey", F.trim(F.coalesce("variant", F.lit(""))).alias("target")).distinct()
-    options = load(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("label"))
-    return mapping.loose_option(rows, options, ["l_partkey", "target"], F.array("target"))
+    rows = load(spark, d, "v_listing").select("l_partkey", F.trim(F.coalesce("variant", F.lit(""))).alias("target"), F.col("title_description").alias("other")).distinct()
+    options = load(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("label"), F.col("p_brand").alias("value"))
+    targets = F.array_compact(F.array("target", "other"))
+    # Keys of a join don't match nulls: the brand is shown from a key that has none.
+    rows = rows.withColumn("key", F.struct("l_partkey", "target", F.coalesce("other", F.lit("")).alias("other"), F.col("other").isNull().alias("none")))
+    found = mapping.loose_option(rows, options, ["key"], targets)
+    return found.select("key.l_partkey", "key.target", F.when(~F.col("key.none"), F.col("key.other")).alias("other"), "label")
+
+
+@query("""
+SELECT form, arg_min(label, pos) AS label FROM v_currency_option
+WHERE contains(lower(label), 'rand') OR contains(lower(label), 'zar') OR trim(lower(label)) = 'r' OR contains(lower(label), 'r (') OR contains(lower(value), 'rand') OR contains(lower(value), 'zar') GROUP BY form""")
+def currency_option(spark, d):
+    return mapping.currency_option(load(spark, d, "v_currency_option"), ["form"])
 
 
 # Queue and reports
 
 
-@query("SELECT source_id, title, CAST(10 AS BIGINT) AS k FROM v_queue ORDER BY enqueued_at, CAST(source_id AS BIGINT) LIMIT 10")
+@query("""
+WITH q AS (SELECT *, CASE WHEN CAST(source_id AS BIGINT) % 4 = 0 THEN '' ELSE source_id END AS own FROM v_queue)
+SELECT coalesce(nullif(own, ''), 'id' || source_id) AS queue_id, CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN 'l' || source_id WHEN CAST(source_id AS BIGINT) % 3 = 1 THEN 'u' ELSE '.' END AS link, title
+FROM q ORDER BY enqueued_at, CAST(source_id AS BIGINT) LIMIT 10""")
 def queue_head(spark, d):
-    return queue.head(load(spark, d, "v_queue"), 10, queue_order()).select("source_id", "title", F.lit(10).cast("long").alias("k"))
+    k = F.col("source_id").cast("bigint")
+    rows = load(spark, d, "v_queue").withColumns({"at": k, "id": F.concat(F.lit("id"), "source_id"), "Source Link": F.when(k % 3 == 0, F.concat(F.lit("l"), "source_id")), "source_url": F.when(k % 3 == 1, "u")})
+    rows = queue.identified(rows.withColumn("source_id", F.when(k % 4 == 0, "").otherwise(F.col("source_id"))))
+    return queue.head(rows, 10, ["enqueued_at", "at"]).select("queue_id", "link", "title")
+
+
+@query("SELECT count(*) AS remaining FROM v_queue WHERE decision IS NULL")
+def queue_left(spark, d):
+    rows = load(spark, d, "v_queue")
+    return queue.left(queue.remaining(rows, rows.where(queue.route(F.col("decision")) != "waiting")))
 
 
 @query("""
@@ -499,6 +669,68 @@ def queue_remaining(spark, d):
     return queue.remaining(rows, rows.where(queue.route(F.col("decision")) != "waiting")).select("source_id", "title")
 
 
+@query("""
+SELECT source_id, title FROM v_queue WHERE decision IS NULL AND CAST(source_id AS BIGINT) % 5 <> 0""")
+def queue_resume(spark, d):
+    """Three runs on one queue and one table of outcomes: decisions, the same decisions again, then those of another day."""
+    rows, path = load(spark, d, "v_queue"), shared.new_path(spark, "outcomes")
+    done = rows.where("false").select("source_id")
+    later = rows.where(F.col("source_id").cast("bigint") % 5 == 0).withColumn("decision", F.lit("no"))
+    for decisions in (rows, rows, later):
+        left = queue.remaining(rows, done).select("source_id").join(decisions.select("source_id", "decision"), "source_id")
+        left.where(queue.route(F.col("decision")) != "waiting").select("source_id", "decision").write.mode("append").parquet(path)
+        done = spark.read.parquet(path)
+    return queue.remaining(rows, done).select("source_id", "title")
+
+
+D_LOG = """
+SELECT date_trunc('second', timestamp) AS timestamp, CAST(coalesce(CAST(ad_number AS VARCHAR), '') AS VARCHAR) AS ad_number, coalesce(source_id, '') AS vehicle_id, '' AS source_url,
+  '' AS year, '' AS make, '' AS model, '' AS variant, coalesce(status, '') AS status, coalesce(reason, '') AS reason FROM v_posting_log"""
+
+
+@query(D_LOG)
+def posting_log_roundtrip(spark, d):
+    """Appended as CSV by day, read back."""
+    path = shared.new_path(spark, "posting-log")
+    sinks.append_log(report.log_rows(load(spark, d, "v_posting_log").withColumn("ad_number", F.col("ad_number").cast("string"))), path)
+    return feeds.posting_log(spark, path)
+
+
+@query("""
+SELECT 'r1' AS run_id, source_id, title FROM v_listing UNION ALL SELECT 'r2', source_id, title FROM v_listing WHERE l_linenumber > 1""")
+def snapshot_sink(spark, d):
+    """Two runs, the second written twice: the first stays, the second replaces itself."""
+    path = shared.new_path(spark, "snapshots")
+    rows = load(spark, d, "v_listing").select("source_id", "title", "l_linenumber")
+    for run, kept in (("r1", rows), ("r2", rows), ("r2", rows.where("l_linenumber > 1"))):
+        sinks.write_snapshot(kept.drop("l_linenumber"), path, run)
+    return spark.read.parquet(path).select("run_id", "source_id", "title")
+
+
+@query(rf"""
+WITH f AS (SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url),
+p AS (SELECT url, {d_lines("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} AS own FROM f)
+SELECT url AS source_url, coalesce(nullif(regexp_extract(url, '/(\d+)/?$', 1), ''), md5(url)) AS source_id, coalesce(own[1], '.') AS title, coalesce(own[2], '.') AS variant FROM p""")
+def ingest_stream(spark, d):
+    """Pages as a stream of files, in two runs over the same files: the second adds nothing."""
+    source, target, at = (shared.new_path(spark, name) for name in ("pages-in", "pages-out", "pages-checkpoint"))
+    load(spark, d, "pages").repartitionByRange(8, "page_id").write.parquet(source)
+    for _ in range(2):
+        ingest.ingest_pages(spark, source, target, at, files_per_batch=100).awaitTermination()
+    return spark.read.parquet(target).select("source_url", "source_id", "title", "variant")
+
+
+@query("""
+SELECT count(*) AS total, count_if(upper(status) = 'POSTED') AS posted, count_if(upper(status) = 'SKIPPED') AS skipped, count_if(upper(status) = 'REJECTED') AS rejected,
+  count_if(upper(status) = 'FAILED') AS failed FROM v_posting_log""")
+def log_stream(spark, d):
+    """The log as a stream of files; its running summary is kept in a table."""
+    source, target, at = (shared.new_path(spark, name) for name in ("log-in", "log-out", "log-checkpoint"))
+    sinks.write_csv(report.log_rows(load(spark, d, "v_posting_log").withColumn("ad_number", F.col("ad_number").cast("string"))), source)
+    ingest.keep_summary(ingest.log_stream(spark, source), target, at).awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query("""
 SELECT date_trunc('second', timestamp) AS timestamp, CAST(coalesce(CAST(ad_number AS VARCHAR), '') AS VARCHAR) AS ad_number, coalesce(source_id, '') AS vehicle_id, '' AS source_url,
   '' AS year, '' AS make, '' AS model, '' AS variant, coalesce(status, '') AS status, coalesce(reason, '') AS reason FROM v_posting_log""")
@@ -507,27 +739,30 @@ def log_row(spark, d):
     return report.log_rows(rows.withColumn("ad_number", F.col("ad_number").cast("string")))
 
 
-D_COUNTS = "count(*) AS total, " + ", ".join(f"count_if(upper(status) = '{s}') AS {s.lower()}" for s in ("POSTED", "SKIPPED", "REJECTED", "FAILED"))
-
-
-@query(f"SELECT {D_COUNTS} FROM v_posting_log")
+@query("""
+SELECT count(*) AS total, count_if(upper(status) = 'POSTED') AS posted, count_if(upper(status) = 'SKIPPED') AS skipped, count_if(upper(status) = 'REJECTED') AS rejected,
+  count_if(upper(status) = 'FAILED') AS failed FROM v_posting_log""")
 def posting_summary(spark, d):
     return report.summary(load(spark, d, "v_posting_log"))
 
 
 @query(f"""
 WITH {D_MAPPED}, tagged AS (SELECT concat_ws('; ', {', '.join(D_SOURCE + D_FORM)}) <> '' AS bad,
-  row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(LISTING_ORDER)}) > 1 AS duplicate, l_linenumber % 3 AS k FROM mapped)
-SELECT count(*) AS total, count_if(NOT duplicate AND NOT bad) AS valid, count_if(NOT duplicate AND bad) AS invalid, count_if(duplicate) AS duplicates,
-  count_if(NOT duplicate AND NOT bad) AS processed, count_if(NOT duplicate AND NOT bad AND k = 0) AS successful, count_if(NOT duplicate AND NOT bad AND k = 1) AS failed,
-  count_if(NOT duplicate AND NOT bad AND k = 2) AS skipped FROM tagged""")
+  row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(LISTING_ORDER)}) > 1 AS duplicate, l_linenumber % 3 AS k FROM mapped),
+c AS (SELECT count(*) AS total, count_if(NOT duplicate AND NOT bad) AS valid, count_if(NOT duplicate AND bad) AS invalid, count_if(duplicate) AS duplicates,
+  count_if(NOT duplicate AND NOT bad AND k = 0) AS successful, count_if(NOT duplicate AND NOT bad AND k = 1) AS failed, count_if(NOT duplicate AND NOT bad AND k = 2) AS skipped FROM tagged)
+SELECT 'validate' AS run_id, total, valid, invalid, duplicates, 0 AS processed, 0 AS successful, 0 AS failed, 0 AS skipped FROM c
+UNION ALL SELECT 'prepare', total, valid, invalid, duplicates, valid, 0, 0, 0 FROM c UNION ALL SELECT 'run', total, valid, invalid, duplicates, valid, successful, failed, skipped FROM c""")
 def batch_report(spark, d):
+    """The reports of all three modes, as the report sink keeps them."""
     w = Window.partitionBy("source_id").orderBy(*LISTING_ORDER)
     outcome = F.when(F.col("l_linenumber") % 3 == 0, "posted").when(F.col("l_linenumber") % 3 == 1, "failed").otherwise("cancelled")
-    tagged = audited(spark, d).select(
-        (F.row_number().over(w) > 1).alias("duplicate"), F.size(F.array_distinct(F.concat("source_errors", "form_errors"))).alias("errors"), outcome.alias("outcome")
-    )
-    return report.batch_report(tagged)
+    tagged = audited(spark, d).select((F.row_number().over(w) > 1).alias("duplicate"), F.size("errors").alias("errors"), outcome.alias("outcome")).persist()
+    path = shared.new_path(spark, "reports")
+    for mode in ("validate", "prepare", "run"):
+        sinks.write_report(report.batch_report(tagged, mode), path, mode)
+    tagged.unpersist()
+    return spark.read.parquet(path)
 
 
 @query(f"""

@@ -49,7 +49,8 @@ def feed(spark: SparkSession, csv_path: str, json_path: str, schema: T.StructTyp
 
 
 def posting_log(spark: SparkSession, path: str) -> DataFrame:
-    return csv_feed(spark, path, POSTING_LOG)
+    """The log as sinks.append_log() keeps it; the folders of its days are no column of it."""
+    return csv_feed(spark, path, POSTING_LOG).select(POSTING_LOG.names)
 
 
 def image_files(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of the fields of a feed and of a log.
 TEXTS = [
     "id", "source_id", "Source Link", "source_url", "title", "title description", "variant", "condition", "year", "Kilometers driven",
     "transmission", "fuel", "4x2 / 4x4", "body colour", "seats", "price", "price summary", "dealer_name", "dealer_address",

@@ -9,9 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From the session's setting; a temporary one only where the cluster names none, as in tests."""
+    """From the session's setting. A temporary one only where driver and executors are one process, as in tests; on a cluster
+    without the setting this raises, as no machine sees what another has written to a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         at = tempfile.mkdtemp(prefix="forecourt-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -15,6 +15,11 @@ def write_snapshot(listings: DataFrame, path: str, run_id: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def write_report(report: DataFrame, path: str, run_id: str) -> None:
+    """A run's report beside those of other runs; a repeated run replaces its own."""
+    write_snapshot(report, path, run_id)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Posting-log rows as CSV with a header, a folder per day."""
     dated = rows.withColumn("day", F.to_date("timestamp"))

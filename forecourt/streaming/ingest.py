@@ -14,8 +14,8 @@ from ..sources.schemas import PAGE, POSTING_LOG
 def accepted(pages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(page_id, source_url, source_id, title, variant), excluded before the costly fields are taken out of the page."""
     rows = pages if terms is None else filters.exclude_by_url(pages, terms, url="url")
-    names = extract.title_variant(rows)
-    return rows.select("page_id", F.col("url").alias("source_url"), extract.listing_id(F.col("url")).alias("source_id")).join(names, "page_id")
+    names = [c.alias(name) for name, c in extract.heading(F.col("html")).items()]
+    return rows.select("page_id", F.col("url").alias("source_url"), extract.listing_id(F.col("url")).alias("source_id"), *names)
 
 
 def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str, terms: DataFrame | None = None, files_per_batch: int = 100) -> StreamingQuery:
@@ -43,6 +43,16 @@ def running_summary(log: DataFrame) -> DataFrame:
     return log.agg(*report.status_counts(F.col("status")))
 
 
+def keep_summary(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes running_summary() to target whenever new rows have come; a repeated batch writes the same."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    query = running_summary(log).writeStream.outputMode("complete").foreachBatch(put)
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_summary(log: DataFrame, late: str = "1 day") -> DataFrame:
     """The same for each day; a day is final when the watermark has passed it, rows that come later are left out."""
     days = log.withWatermark("timestamp", late).groupBy(F.window("timestamp", "1 day"))

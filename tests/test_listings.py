@@ -35,11 +35,12 @@ def test_match_key_and_capitalize(spark):
 
 
 def test_specs_seats_and_mileage_share_a_token(spark):
-    tokens = [["5 seats 100 km", "20 000 km"], ["20 000 km", "5 seats 100 km"], ["airbag 4x4"], None]
+    tokens = [["5 seats 100 km", "20 000 km"], ["20 000 km", "5 seats 100 km"], ["airbag 4x4"], None, ["Heated seats", " 5 seater ", "7 Seats", "FROZEN white", "Condition: good", "condition 2"], ["Condition of all that was looked at in it"]]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t array<string>")
     got = extract.specs(rows, "t").orderBy("i").collect()
     assert [(r.seats, r.mileage) for r in got[:2]] == [("5 seats 100 km", "20 000 km"), ("5 seats 100 km", "20 000 km")]
     assert got[2].drive == "." and got[3].fuel_type == "."
+    assert (got[4].seats, got[4].colour, got[4].condition, got[5].condition) == ("5 seater", "Frozen white", "Condition: good", ".")
 
 
 def test_page_fields(spark):
@@ -48,7 +49,7 @@ def test_page_fields(spark):
         "<h1>Toyota\n Corolla 1.8 </h1><script>no</script><p>One &amp;lt; <b>two</b></p></body></html>"
     )
     pages = spark.createDataFrame([(1, "https://h.example.com/a/77/", html), (2, "https://h.example.com/none", "<a href='/x'>x</a>")], "page_id long, url string, html string")
-    assert [tuple(r) for r in extract.listing_links(pages, within="/for-sale/used/").collect()] == [(1, 0, "https://h.example.com/for-sale/used/2019-R5-/77")]
+    assert [tuple(r) for r in extract.listing_links(pages, within="/for-sale/used/").collect()] == [(1, 1, "https://h.example.com/for-sale/used/2019-R5-/77")]
     assert [tuple(r) for r in extract.title_variant(pages).orderBy("page_id").collect()] == [(1, "Toyota", "Corolla 1.8"), (2, ".", ".")]
     ids = [r[0] for r in pages.orderBy("page_id").select(extract.listing_id(F.col("url"))).collect()]
     assert ids[0] == "77" and len(ids[1]) == 32
@@ -60,16 +61,26 @@ def test_url_fields(spark):
     urls = ["https://x/1998-a-R200-Gauteng-Benoni/9", "https://x/a-b/"]
     assert column(spark, urls, extract.year_from_url) == ["1998", "."]
     assert column(spark, urls, extract.price_from_url) == ["200", "0"]
-    assert column(spark, urls, lambda c: extract.location_from_url(c, ["Gauteng"])) == ["Benoni, Gauteng", "."]
+    assert column(spark, urls, extract.location_from_url) == ["Benoni, Gauteng", "."]
+    assert column(spark, ["https://x/a-Western-Cape-Bellville/7"], extract.location_from_url) == ["Bellville, Western Cape"]
+    assert column(spark, ["x 4X4 y", "4x2", "none"], lambda c: extract.drive_from(F.lit("https://x/A"), c)) == ["4x4", "4x2", "."]
+    assert column(spark, [" \n Dealer A \nline", "x" * 100, "", None], lambda c: extract.dealer(c, F.lit(" B \nb"))) == ["Dealer A", "B", "B", "B"]
+    assert column(spark, ["Location Main Road 1", " Distance From You ", "."], lambda c: extract.address(c, F.lit("https://x/a-Free-State-Bethlehem/7"))) == ["Main Road 1", "Bethlehem, Free State", "Bethlehem, Free State"]
 
 
 def test_text_fields(spark):
     assert column(spark, ["a 4.8 (630 reviews)", "x 4.8 y 630 reviews", "none", None], extract.rating) == ["4.8 (630 reviews)", "4.8 (630 reviews)", ".", "."]
-    assert column(spark, ["+27 (011) 555-12345", "12"], extract.phone) == ["2701155512", "12"]
+    rated = ["4.8 (630 Reviews)", "4.8 (1 630 reviews)", "3.2 litre / 4.8\n1 630 reviews", "4.8\n630 REVIEW", "6.1 of 12 reviews"]
+    assert column(spark, rated, extract.rating) == ["4.8 (630 Reviews)", "4.8 (1 630 reviews)", "4.8 (1 630 reviews)", "4.8 (630 REVIEW)", "."]
+    assert column(spark, ["+27 (011) 555-12345", "12"], extract.phone) == ["2701155512", "."]
+    assert column(spark, ["R 9 999", "R 12", None], lambda c: extract.price_of_block(F.lit("Track price R 5 000"), F.lit("https://x/a-R777-b/1"), c)) == ["9999", "777", "777"]
+    assert column(spark, ["Fair deal", "R 5 000\nRecalculate"], extract.price_summary) == [".", "R 5 000"]
     assert column(spark, [" a \n\nShow more\nb"], extract.description) == ["a\nb"]
     assert column(spark, ["R 12\nEst. R 90 000\nR 123 456\nfair deal R 99 999"], extract.price_of_block) == ["123456"]
     assert column(spark, [["ab", "abc", "ABS", "abc", "Safety", "x\nyz"]], extract.features, "array<string>") == [["abc", "ABS"]]
-    assert column(spark, [["http://a.SVG", "http://a", "b", "http://a", "http://c"]], extract.images, "array<string>") == [["http://a", "http://c"]]
+    assert column(spark, [["http://a.svg", "http://a.svg?x", "http://a", "b", "http://a", "http://c.SVG"]], extract.images, "array<string>") == [["http://a.svg?x", "http://a", "http://c.SVG"]]
+    tags = '<img src="http://a"><img class="x" data-src="http://b"/><img src="" data-src="http://c"><img data-src="http://d" src="http://e"><img alt="no">'
+    assert column(spark, [tags], extract.page_images) == [["http://a", "http://b", "http://c", "http://e"]]
 
 
 TERMS = ["2019 mercedes-benz glc", "2018 toyota corolla", "2017 kia", "kia"]
@@ -110,10 +121,14 @@ def test_canonical_ad(spark):
     )
     ad = ads.canonical(rows.withColumn("title", F.lit(None).cast("string"))).first().asDict()
     assert len(ad) == 34
+    both = spark.createDataFrame([("A", "B", [], "h1"), ("", "B", ["x", " y "], "h1"), (None, None, None, None)], "id string, source_id string, `vehicle highlights` array<string>, highlights string")
+    assert [(r["source_id"], r["vehicle highlights"], r["features"]) for r in ads.canonical(both).collect()] == [("A", "h1", ""), ("B", "x\ny", ""), (".", ".", "")]
     assert ad["source_id"] == "1" and ad["variant"] == "Used Car" and ad["price"] == "5000" and ad["features"] == "a\nb"
     assert ad["Source Link"] == ad["source_url"] == "u" and len(ad["images"]) == 5 and ad["currency"] == "R (Rand)"
     slots = ads.payload(ads.canonical(rows)).orderBy("slot").collect()
-    assert [s.name for s in slots][:3] == ["title", "variant", "condition"] and slots[2].value == "Used"
+    assert len(slots) == 22 and [s.name for s in slots][2::7] == ["top_condition", "bottom_condition", "source_link"] and slots[2].value == "Used" and slots[9].value == "."
+    assert [s.name for s in slots][10:17] == ["seats", "pricing_summary", "dealer_name", "dealer_address", "dealer_rating", "contact_number", "source_link"]
+    assert ads.with_categories(ads.canonical(rows)).select("category_1", "category_2", "category_3").first() == ("Vehicles", "Cars - Parts", "Used cars in South Africa")
 
 
 def test_images(spark):
@@ -124,10 +139,14 @@ def test_images(spark):
 
 def test_mapping(spark):
     options = spark.createDataFrame([("colour", 0, "WHITE"), ("colour", 1, "white "), ("currency", 0, "Rs"), ("currency", 1, "Rand (R)")], "field string, pos int, label string")
+    valued = spark.createDataFrame([("a", 0, "Rs", "x"), ("a", 1, "Other", "myZAR"), ("a", 2, "Rand", None), ("b", 0, " R ", None), ("c", 0, "Euro", "eur")], "form string, pos int, label string, value string")
+    assert sorted(map(tuple, mapping.currency_option(valued, ["form"]).collect())) == [("a", "Other"), ("b", " R ")]
+    by_value = mapping.loose_option(spark.createDataFrame([(1, "EUR"), (2, "eu")], "k int, t string"), valued.where("form = 'c'"), ["k"], F.array("t"))
+    assert {r.k: r.label for r in by_value.collect()} == {1: "Euro", 2: "Euro"}
     rows = spark.createDataFrame([(1, " White"), (2, "."), (3, None)], "k int, v string")
     got = {r.k: r.m for r in mapping.map_option(rows, options, "colour", F.col("v"), "m").collect()}
     assert got == {1: "WHITE", 2: None, 3: None}
-    assert mapping.currency_option(options).first()[0] == "Rand (R)"
+    assert mapping.currency_option(options.where("field = 'currency'").withColumn("value", F.lit(""))).first()[0] == "Rand (R)"
     errors = rows.select("k", mapping.source_errors({"colour": F.col("v")}, {"colour": F.when(F.col("k") == 1, "WHITE")}).alias("e")).orderBy("k").collect()
     assert [r.e for r in errors] == [[], ["No target option for colour: ."], ["Missing source field: colour"]]
     assert column(spark, ["https://schema.org/UsedCondition", "x"], mapping.schema_org_condition) == ["Used", "x"]
@@ -197,6 +216,44 @@ def test_source_audit_of_all_fields(spark):
     assert mapping.source_audit(bare, options).first().source_errors == [f"Missing source field: {f}" for f in names]
 
 
+def test_dry_run(spark):
+    fields = ["condition", "transmission", "fuel", "drive_type", "colour", "location", *mapping.COPIED]
+    options = spark.createDataFrame([("condition", 0, "Used"), ("colour", 0, "White")], "field string, pos int, label string")
+    good = ("https://schema.org/UsedCondition", "m", "p", "4x4", "white", "here", "t", "d", "1", "2", "u", ["1", "2", "3", "4", "5"])
+    bad = (None, "m", "p", "4x4", "blue", "here", "", "d", "1", "2", "u", ["1", "1", "3", "4", "5"])
+    few = (*good[:-1], ["1"])
+    ads_of = spark.createDataFrame([(1, *good), (2, *bad), (3, *few)], "k int, " + ", ".join(f"{c} string" for c in fields) + ", images array<string>")
+    got = {r.k: r for r in mapping.dry_run(ads_of, options).collect()}
+    assert (got[1].status, got[1].dry_run, got[1].errors) == ("FORM_FILLED", True, []) and (got[1].mapped.condition, got[1].mapped.colour, got[1].mapped.country) == ("Used", "White", "here")
+    assert got[2].errors == ["Missing source field: condition", "No target option for colour: blue", "Missing source field: title", "Missing form field: title", "Form requires five unique images"]
+    assert got[2].status == "BLOCKED" and got[2].mapped.title is None and got[2].mapped.colour is None and got[2].source_url == "u"
+    assert got[3].errors == ["Exactly five listing images are required", "Form requires five unique images"]
+
+
+def test_repeated_and_null_page_ids_keep_their_titles(spark):
+    pages = spark.createDataFrame([(1, "https://x/1", "<h1>a</h1>"), (1, "https://x/2", "<h1>b</h1>"), (None, "https://x/3", "<h1>c</h1>")], "page_id long, url string, html string")
+    assert sorted((r.source_url, r.title) for r in ingest.accepted(pages).collect()) == [("https://x/1", "a"), ("https://x/2", "b"), ("https://x/3", "c")]
+
+
+def test_thresholds_of_images_and_queue_ids(spark):
+    rows = spark.createDataFrame([(1, ["a.JPG", "b.gif"], [1, 52428801]), (2, ["c.webp"], [52428800])], "k int, names array<string>, sizes array<long>")
+    rules = filters.content_rules(F.lit("t"), F.lit("1"), F.lit("x" * 50), F.lit(2), F.col("names"), F.col("sizes"))
+    assert [r[0] for r in rows.orderBy("k").select(filters.violated(rules)).collect()] == [["image_format", "image_size"], []]
+    cars = spark.createDataFrame([("", "7", None, "u"), ("3", "8", "l", "u"), (None, "9", None, None)], "source_id string, id string, `Source Link` string, source_url string")
+    assert [(r.queue_id, r.link) for r in queue.identified(cars).collect()] == [("7", "u"), ("3", "l"), ("9", ".")] and queue.left(cars).first()[0] == 3
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    from types import SimpleNamespace
+
+    from forecourt.sources import shared
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+
+
 def test_loose_option_over_many_options(spark):
     options = spark.range(10_001).select(F.col("id").alias("pos"), F.concat(F.lit("Type "), F.col("id") % 50, F.lit(" STEEL")).alias("label"))
     rows = spark.createDataFrame([(1, "7 steel"), (2, ""), (3, "none"), (4, None), (5, "e 12")], "k int, t string")
