@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Least importance of a branch, and of a node inside an article, where its content alone counts.
-THRESHOLD, INSIDE = 0.45, 0.15
+THRESHOLD, INSIDE = 0.5, 0.15
 #: As many pages as prior knowledge counts for.
 PRIOR = 20
 #: Nodes that are broadcast at most, and pages of a host in one task beyond that.
