@@ -81,38 +81,42 @@ def name(tag: str, attrs: str) -> tuple[str, set[str]]:
     return ".".join([tag, *sorted(words)]), marks
 
 
+def key_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 class Node:
-    __slots__ = ("tag", "path", "id", "up", "marks", "holds", "noise", "main", "styles")
+    """An element of a page. id: its path of names, hashed; first, last: the blocks of text inside it."""
+
+    __slots__ = ("tag", "id", "up", "marks", "holds", "noise", "main", "article", "styles", "first", "last")
 
-    def __init__(self, tag: str, path: str, up: Node | None = None, marks: set[str] = frozenset()):
-        self.tag, self.path, self.up, self.marks, self.styles = tag, path, up, marks, []
-        self.holds = self.noise = self.main = False
-        self.id = xxhash.xxh64_intdigest(path) - (1 << 63)
+    def __init__(self, tag: str, own: str = "", up: Node | None = None, marks: set[str] = frozenset(), first: int = 0):
+        self.tag, self.up, self.marks, self.styles, self.first, self.last = tag, up, marks, [], first, first
+        self.holds = self.noise = self.main = self.article = False
+        self.id = key_of(f"{up.id}/{own}") if up else 0
 
     def judge(self) -> None:
-        """Sets noise and main, after those of the element around it and when all inside it is known.
+        """Sets noise, main and article, after those of the element around it and when all inside it is known.
 
         What is around an article or main element isn't noise by its marks, nor is that element, html or body."""
         up, tag, marks = self.up, self.tag, self.marks
+        self.article = up.article or tag == "article"
         if tag in ("html", "body") or not up.main and (self.holds or tag in MAIN):
             marks = set()
         elif up.main:
-            marks = marks & OTHERS if (self.holds or tag in MAIN) and not up.within("article") else marks - HEADS
+            marks = marks & OTHERS if (self.holds or tag in MAIN) and not up.article else marks - HEADS
         noisy = tag in NOISE and not (tag in ("header", "dialog") and up.main) and not (tag == "form" and self.holds and not up.main)
         self.noise = up.noise or bool(marks) or noisy
         self.main = not self.noise and (up.main or tag in MAIN)
 
-    def within(self, tag: str) -> bool:
-        n = self
-        while n and n.tag != tag:
-            n = n.up
-        return n is not None
-
 
 def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(node, text) of each block of text, in page order, and all nodes. Spaces are single, ends trimmed, references decoded."""
-    root = Node("", "")
+    """(node, text) of each block of text, in page order, and all nodes. Spaces are single, ends trimmed, references decoded.
+
+    The time grows with the page, not with how deep its elements lie in each other."""
+    root = Node("")
     stack, nodes, blocks, held = [root], [], [], []
+    opened: Counter = Counter([""])
 
     def flush() -> None:
         if held:
@@ -120,6 +124,12 @@ def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
                 blocks.append((stack[-1], text))
             held.clear()
 
+    def shut() -> str:
+        n = stack.pop()
+        n.last = len(blocks)
+        opened[n.tag] -= 1
+        return n.tag
+
     at = 0
     for m in TOKEN.finditer(html or ""):
         if m.start() > at:
@@ -132,13 +142,13 @@ def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
         if m["close"]:
             if tag in BLOCKS:
                 flush()
-                if any(n.tag == tag for n in stack):
-                    while stack.pop().tag != tag:
+                if opened[tag]:
+                    while shut() != tag:
                         pass
             elif tag in NOISE:
                 flush()
                 if stack[-1].tag == tag:
-                    stack.pop()
+                    shut()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -149,23 +159,28 @@ def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag not in BLOCKS and tag not in NOISE:
             continue
         flush()
-        if tag in BLOCKS and any(n.tag == "p" for n in stack):
-            while stack.pop().tag != "p":
+        if tag in BLOCKS and opened["p"]:
+            while shut() != "p":
                 pass
-        for shut in CLOSES.get(tag, ()):
-            if stack[-1].tag == shut:
-                stack.pop()
+        for other in CLOSES.get(tag, ()):
+            if stack[-1].tag == other:
+                shut()
         up = stack[-1]
         own, marks = name(tag, m["attrs"])
-        node = Node(tag, f"{up.path}/{own}", up, marks)
+        node = Node(tag, own, up, marks, len(blocks))
         if tag in MAIN:
-            for n in stack:
+            for n in reversed(stack):
+                if n.holds:
+                    break
                 n.holds = True
         up.styles.append(own)
         stack.append(node)
+        opened[tag] += 1
         nodes.append(node)
     held.append((html or "")[at:])
     flush()
+    while stack:
+        shut()
     for node in nodes:
         node.judge()
     return blocks, nodes
@@ -176,8 +191,8 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def key_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+#: The base of the rolling hash of a sequence of texts, modulo 2 ** 64.
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def features(html: str | None, named: bool = False) -> set[tuple[int, int, int]]:
@@ -185,15 +200,15 @@ def features(html: str | None, named: bool = False) -> set[tuple[int, int, int]]
 
     Nodes without text and, unless named, those that names mark as noise are left out: their verdict needs no statistics."""
     blocks, nodes = parse(html)
-    texts: dict[Node, list[str]] = {}
-    for n, text in blocks:
-        while n is not None and n.tag:
-            texts.setdefault(n, []).append(text)
-            n = n.up
+    sums, powers = [0], [1]
+    for _, text in blocks:
+        sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(text)) & MASK)
+        powers.append(powers[-1] * BASE & MASK)
     out = set()
     for n in nodes:
-        if n in texts and (named or not n.noise):
-            out |= {(n.id, 0, 0), (n.id, 1, key_of(" ".join(n.styles))), (n.id, 2, key_of("\n".join(texts[n])))}
+        if n.last > n.first and (named or not n.noise):
+            texts = (sums[n.last] - sums[n.first] * powers[n.last - n.first]) & MASK
+            out |= {(n.id, 0, 0), (n.id, 1, key_of(" ".join(n.styles))), (n.id, 2, texts - (1 << 63))}
     return out
 
 
@@ -266,18 +281,15 @@ def main_text(html: str | None, bits: dict[int, int]) -> str:
     what is beside its article."""
     blocks, nodes = parse(html)
     in_main = any(n.main for n in nodes)
-
-    def low(n: Node, bit: int) -> bool:
-        while n is not None and n.main == (bit == CUT_INSIDE):
-            if bits.get(n.id, 0) & bit:
-                return True
-            n = n.up
-        return False
+    low: set[Node] = set()
+    for n in nodes:
+        if bits.get(n.id, 0) & (CUT_INSIDE if n.main else CUT_ALONE) or n.up in low and n.up.main == n.main:
+            low.add(n)
 
     def stays(n: Node) -> bool:
-        if n.main:
-            return not low(n, CUT_INSIDE)
-        return not n.holds and bool(bits.get(n.id, 0) & KEEP_BESIDE) if in_main else not low(n, CUT_ALONE)
+        if in_main and not n.main:
+            return not n.holds and bool(bits.get(n.id, 0) & KEEP_BESIDE)
+        return n not in low
 
     named = [(n, text) for n, text in blocks if not n.noise]
     kept = [(n, text) for n, text in named if stays(n)]

@@ -646,6 +646,20 @@ def test_importance_equals_brute_force(spark):
     assert texts[0] == texts[1]
 
 
+def test_very_long_pages_and_copies_of_a_host(spark):
+    """A page of 20,000 blocks under 300 nested elements; 200 copies of one page; a page that never ends a tag."""
+    deep = "<div>" * 300 + "<article>" + "".join(f"<p>block {i} &amp; more</p>" for i in range(20_000)) + "</article>" + "</div>" * 300
+    rows = [(0, "https://a/0", deep)] + [(i, "https://a/1", story(1, 3)) for i in range(1, 201)] + [(201, "https://a/2", "<article><p>open " + "x " * 100_000)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(pages_of(spark, rows)).collect()}
+    assert got[0][0] == "\n".join(f"block {i} & more" for i in range(20_000)) and got[0][1] == len(got[0][0])
+    import time
+
+    began = time.perf_counter()
+    broken = "<div>x" * 30_000 + "<article>" + "<div>y" * 30_000
+    assert html.main_text(broken, {}) == "\n".join(["y"] * 30_000) and len(html.features(broken)) == 3 * 60_001 and time.perf_counter() - began < 20
+    assert {got[i][0] for i in range(1, 201)} == {"Title 1\npart 0 of 1\npart 1 of 1\npart 2 of 1"} and got[201][0] == "open " + ("x " * 100_000).strip()
+
+
 def test_large_hosts_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(html, "HOST_PAGES", 10)
     rows = [(i, "https://hot.example.com/", f"<p>{i}</p>") for i in range(100)] + [(200, "https://x/", "<p>x</p>"), (None, None, None)]
