@@ -174,6 +174,7 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 OCCURRENCES = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 SEGMENTS = pa.schema([("h", pa.int64()), ("segment", pa.binary()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32())])
 WINDOWS = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("first", pa.int32())])
+COUNTS = pa.schema([("digest", pa.binary()), ("copies", pa.int64())])
 CONTENTS = pa.schema([("digest", pa.binary()), ("words", pa.binary())])
 SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 TEXTS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -244,20 +245,27 @@ def heavy_spans(segments: DataFrame, window: int, reference: int, shard_words: i
     """Rows of SPANS: the windows of segments (rows of SEGMENTS, of heavy minimizers) that are in them twice or more."""
     spark = segments.sparkSession
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for segment, copies, k1, k2, first in zip(*(b.column(c).to_pylist() for c in ("segment", "copies", "k1", "k2", "first"))):
-                    words = segment.split()
-                    for s in range(len(words) - window + 1):
-                        yield digest_of(words[s : s + window]), copies, k1, k2, first + s
-
-        yield from in_batches(rows(), WINDOWS)
-
-    each = segments.mapInArrow(windows, ddl(WINDOWS))
-    again = materialize(each.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest"), "repeated-windows")
+    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for segment, copies, k1, k2, first in zip(*(b.column(c).to_pylist() for c in ("segment", "copies", "k1", "k2", "first"))):
+                words = segment.split()
+                for s in range(len(words) - window + 1):
+                    yield digest_of(words[s : s + window]), copies, k1, k2, first + s
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of this part: what very many texts share leaves a task once."""
+        held: dict[bytes, int] = {}
+        for digest, copies, *_ in each_window(batches):
+            held[digest] = held.get(digest, 0) + copies
+            if len(held) >= REMEMBERED:
+                yield from in_batches(iter(held.items()), COUNTS)
+                held = {}
+        yield from in_batches(iter(held.items()), COUNTS)
+
+    sums = segments.mapInArrow(counts, ddl(COUNTS)).groupBy("digest").agg(F.sum("copies").alias("n"))
+    again = materialize(sums.where("n > 1").select("digest"), "repeated-windows")
     if again.count() > reference:
-        found = each.join(again, "digest", "left_semi")
+        found = segments.mapInArrow(lambda it: in_batches(each_window(it), WINDOWS), ddl(WINDOWS)).join(again, "digest", "left_semi")
         return found.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
     wanted = spark.sparkContext.broadcast({bytes(r[0]) for r in again.collect()})  # reference at most
 
@@ -280,12 +288,17 @@ def heavy_spans(segments: DataFrame, window: int, reference: int, shard_words: i
     sent = [spark.sparkContext.broadcast(a) for a in automata]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def places() -> Iterator[tuple[tuple[int, int], int]]:
             for b in batches:
                 for segment, k1, k2, first in zip(*(b.column(c).to_pylist() for c in ("segment", "k1", "k2", "first"))):
                     words = segment.split()
                     for shard in sent:
-                        yield from ((k1, k2, first + a, first + b) for a, b in spans(shard.value.matching(words, window), window))
+                        yield from (((k1, k2), first + s) for s in shard.value.matching(words, window))
+
+        def rows() -> Iterator[tuple]:
+            """The segments of a text follow each other, and so their spans are made maximal here."""
+            for key, own in groupby(places(), key=lambda x: x[0]):
+                yield from ((*key, a, b) for a, b in spans(sorted({s for _, s in own}), window))
 
         yield from in_batches(rows(), SPANS)
 
