@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, connected_components, materialize
 
 BITS = 64
+#: Ids on several rows that are broadcast at most.
+MOST_REPEATED = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -192,7 +194,8 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, cell_rows: int
     judged = numbered.where(~wordless).select("row", "doc.doc_id", "doc.text")
     of = materialize(judged.mapInArrow(run, "row long, doc_id long, fp long"), "fingerprints")
     # Only ids on several rows need their texts to choose by.
-    repeated = of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = materialize(of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    repeated = F.broadcast(repeated) if repeated.count() <= MOST_REPEATED else repeated
     texts = judged.join(repeated, "doc_id", "left_semi").select("row", "text").unionByName(judged.where("doc_id IS NULL").select("row", "text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "row")
     first = materialize(of.join(texts, "row", "left").groupBy("fp").agg(F.min(order).alias("first")), "first")
