@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import default_path, encoder, groups
 
+#: Lengths of all partitions that are broadcast at most; beyond that the pieces are shuffled.
+MOST_STARTS = 500_000
 SEPARATOR = 0
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -161,6 +163,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kee
     steps = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    starts = F.broadcast(starts) if per_part.count() <= MOST_STARTS else starts
     sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
