@@ -320,6 +320,8 @@ NUMBER = re.compile(
     rf"|(?P<date>(?<![\w./-]){DATE})"
     rf"|(?P<card>(?<![\w-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9](?:[0-9]|-[0-9]| (?!{IP}|{SSN}|{DATE}|{PLAIN_PHONE})[0-9])+(?![\w-]))"
 )
+#: Without any of these a text has no value of any kind.
+NEEDED = re.compile("[0-9@]")
 RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "phone": phone, "ip": ip, "ssn": ssn, "date": date}
 
 
@@ -340,6 +342,8 @@ def rewrite(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
         found[kind] = found.get(kind, 0) + 1
         return new
 
+    if not NEEDED.search(text):
+        return text, found
     # What lies between addresses is searched for numbers; a pseudonym is never searched again.
     spans = [(m, "email") for m in EMAIL.finditer(text)] if "@" in text else []
     spans += [(m, "iban") for m in IBAN.finditer(text)]
