@@ -159,14 +159,14 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert decontamination.contaminated(frame, bench.limit(0)).count() == 0 and decontamination.contaminated(frame.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("shard, held", [(4, 1), (20, 1 << 26)])
-def test_leaks_over_many_shards(spark, monkeypatch, shard, held):
+@pytest.mark.parametrize("shard, held_bytes", [(4, 1), (20, 1 << 26)])
+def test_leaks_over_many_shards(spark, monkeypatch, shard, held_bytes):
     """Some 50 shards, taken in turn for a few documents or for many at once: the same rows and scores as from one."""
     docs, bench = documents(spark), spark.read.parquet(f"{DATA}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontamination, "SHARD", shard)
     assert decontamination.build_shards(bench)[1] == -(-bench.count() // shard)
-    many = decontamination.contaminated(docs, bench, held).collect()
+    many = decontamination.contaminated(docs, bench, held_bytes).collect()
     assert sorted(map(tuple, many)) == one and len(one) == len(set(one))
     items = {r.item_id: decontamination.question_and_answer(r.text) for r in bench.collect()}
     want = set()
@@ -178,7 +178,7 @@ def test_leaks_over_many_shards(spark, monkeypatch, shard, held):
             if min(shares) >= 0.8:
                 want.add((d.doc_id, i))
     assert {(r.doc_id, r.item_id) for r in many} == want and want
-    kept = decontamination.keep_uncontaminated(docs, bench, held)
+    kept = decontamination.keep_uncontaminated(docs, bench, held_bytes)
     assert kept.count() == docs.count() - len({d for d, _ in want}) and kept.columns == docs.columns
 
 
