@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, html, packing, pii, quality, secrets, simhash, substrings, token_counts
+from . import audit, chat, classifier, decontamination, html, packing, pii, quality, secrets, simhash, substrings, token_counts
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_secret_scan": lambda spark, d: secrets.secrets(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op10_html_extraction": lambda spark, d: html.extract(table(spark, d, "pages")),
+    "op11_chat_format": lambda spark, d: chat.chat_digests(table(spark, d, "conversations")),
+    "op12_filter_audit": lambda spark, d: audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -43,6 +45,9 @@ KINDS = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
 SPANS = f"string_agg(({KINDS})[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
 BASE = [i for i, r in enumerate(secrets.RULES) if r.base]
 
+#: The control strings of the chat template, with any number of backslashes after their first sign.
+CONTROL = r"<\\*(?:/?s>|</?SYS>>|\|role\|>|\|text\|>|\|end\|>)|\[\\*/?INST\]"
+
 ORACLES: dict[str, str] = {
     "op8_secret_scan": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -76,4 +81,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 WITH {WORDS}, {repeats(35, "g")},
 k AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN c USING (r, i) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
+    "op11_chat_format": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  length(text) + len(regexp_extract_all(text, '{CONTROL}')) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 18
+    ELSE 23 + length(role) + len(regexp_extract_all(role, '{CONTROL}')) END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id""",
+    "op12_filter_audit": rf"""
+WITH k AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANKS}+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+    + 16 * coalesce(CAST(doc_id > min(doc_id) OVER (PARTITION BY text) AS INTEGER), 0) AS mask FROM d LEFT JOIN k USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, b)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a, l b, l c, l d, l e WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT filter_order, i AS step, CAST(bits[i] AS INTEGER) AS own, CAST(coalesce(list_sum(bits[1 : i - 1]), 0) AS INTEGER) AS before FROM o, range(1, 6) r(i)),
+q AS (SELECT part, filter_order, step, own, sum(n) FILTER ((mask & (before | own)) = 0) AS kept, coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0) AS removed,
+  sum(n) FILTER ((mask & own) <> 0 AND (mask & before) <> 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+  sum(good) FILTER ((mask & own) <> 0 AND (mask & before) = 0) AS good_lost, sum(toxic) FILTER ((mask & own) <> 0 AND (mask & before) = 0) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM q""",
 }
