@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, classifier, decontamination, html, packing, pii, quality, secrets, simhash, substrings, token_counts
+from . import audit, chat, classifier, decontamination, html, packing, pii, quality, repair, secrets, simhash, substrings, token_counts
 from .common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_html_extraction": lambda spark, d: html.extract(table(spark, d, "pages")),
     "op11_chat_format": lambda spark, d: chat.chat_digests(table(spark, d, "conversations")),
     "op12_filter_audit": lambda spark, d: audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op13_conversation_repair": lambda spark, d: repair.damaged_repairs(table(spark, d, "conversations")),
 }
 
 BLANKS = r"[\x20\x09-\x0D]"
