@@ -64,12 +64,14 @@ def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title"
 
 
 def first_seen(listings: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row of each key by a total order; unlike dropDuplicates, always the same one.
+    """The first row of each key by a total order; unlike dropDuplicates, always the same one. Rows without a key all stay.
 
-    An aggregate, not a window: a key that holds a third of all rows is reduced in every task before the shuffle."""
+    An aggregate, not a window: a key that holds a third of all rows is reduced in every task before the shuffle. Rows without
+    a key get a number of their own for it, so that they are dealt evenly."""
     row = F.struct(*[F.col(f"`{c}`") for c in listings.columns])
-    first = listings.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row"))
-    return first.select("_row.*")
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = listings.select(F.col(key).alias("_key"), own.alias("_own"), row.alias("_row"), F.struct(*order).alias("_order"))
+    return rows.groupBy("_key", "_own").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def not_seen(listings: DataFrame, history: DataFrame, key: str = "source_url") -> DataFrame:

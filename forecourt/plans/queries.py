@@ -147,12 +147,75 @@ def card_links(spark, d):
     return extract.listing_links(load(spark, d, "pages").withColumn("html", html), opening=r"<li\b")
 
 
-@query(r"""
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<(?:div|li|p)(?:\s[^>]*)?>[^<]*', 0) AS found FROM pages),
-e AS (SELECT page_id, i - 1 AS pos, found[i] AS block FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM p))
-SELECT page_id, CAST(pos AS INTEGER) AS pos, block FROM e WHERE NOT regexp_matches(block, '(?i)class="[^"]*(sponsored|\bad\b)|>\s*sponsored\s*<?$')""")
+#: Menus as frames of cards: by their first letter, paid for by a span, paid for by class, without a link, or plain; all with an inner card. A mark and a link stand below.
+CARD_STEPS = [
+    ("<nav><ul>", '<div class="cards">'),
+    ("</ul></nav>", '</div><aside><span>Sponsored</span></aside>'),
+    ('<li><a href="/([a-dA-D][^"]*)">', '<div class="card"><span> sponsored </span><div class="card-body"><a href="/for-sale/used/{1}/1">'),
+    ('<li><a href="/([e-kE-K][^"]*)">', '<div class="card sponsored"><div><a href="/for-sale/used/{1}/2">'),
+    ('<li><a href="/([l-nL-N][^"]*)">', '<div class="card"><div><a href="/other/{1}/3">'),
+    ('<li><a href="/([^"]*)">', '<div class="card"><b>x</b><div class="card-foot"><a href="/for-sale/used/{1}/4">'),
+    ("</a></li>", "</a></div></div>"),
+    ("</body>", '<a href="/for-sale/used/99">all</a></body>'),
+]
+
+
+def d_steps(c: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, '{pattern}', '{to.replace('{1}', chr(92) + '1')}', 'g')"
+    return c
+
+
+def s_steps(c: str, steps: list[tuple[str, str]]):
+    column = F.col(c)
+    for pattern, to in steps:
+        column = F.regexp_replace(column, pattern, to.replace("{1}", "$1"))
+    return column
+
+
+def d_tags(html: str, names: str) -> str:
+    """CTEs t: the tags of these names in order, i; d: with their depth among those of their name."""
+    shown = rf"regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
+    return rf"""x AS (SELECT page_id, url, regexp_extract_all({shown}, '</?(?:{names})(?:\s[^>]*)?>[^<]*', 0) AS found FROM pages),
+t AS (SELECT page_id, url, i, found[i] AS tag, regexp_extract(found[i], '^</?([a-z]+)', 1) AS name, starts_with(found[i], '</') AS closing
+  FROM (SELECT page_id, url, found, unnest(range(1, len(found) + 1)) AS i FROM x)),
+d AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) AS d FROM t)"""
+
+
+D_INSIDE = "EXISTS (SELECT 1 FROM s WHERE s.page_id = {0}.page_id AND s.a < {0}.{1} AND {0}.{1} < s.z)"
+
+
+@query(rf"""
+WITH {d_tags(d_steps('html', CARD_STEPS), 'div|span|a')},
+c AS (SELECT o.page_id, o.i AS a, o.tag, min(k.i) AS z FROM d o JOIN d k ON k.page_id = o.page_id AND k.name = 'div' AND k.closing AND k.i > o.i AND k.d = o.d - 1
+  WHERE NOT o.closing AND o.name = 'div' AND contains(regexp_extract(o.tag, '\sclass="([^"]*)"', 1), 'card') GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS no FROM c),
+m AS (SELECT t.page_id, t.i, max(n.a) AS owner FROM t LEFT JOIN n ON n.page_id = t.page_id AND n.a < t.i AND t.i < n.z WHERE name = 'span' AND NOT closing AND contains(lower(t.tag), 'sponsored') GROUP BY ALL),
+s AS (SELECT * FROM n WHERE contains(regexp_extract(tag, '\sclass="([^"]*)"', 1), 'sponsored') OR EXISTS (SELECT 1 FROM m WHERE m.page_id = n.page_id AND m.owner = n.a)),
+l AS (SELECT page_id, url, i, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS no, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM t WHERE name = 'a' AND NOT closing),
+w AS (SELECT n.page_id, n.no AS pos, any_value(l.url) AS url, arg_min(l.href, l.i) AS href FROM n JOIN l ON l.page_id = n.page_id AND n.a < l.i AND l.i < n.z
+  WHERE contains(l.href, '/for-sale/used/') AND NOT {D_INSIDE.format('l', 'i')} AND NOT {D_INSIDE.format('n', 'a')} AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = n.page_id AND s.a = n.a)
+    AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = n.page_id AND n.a < m.i AND m.i < n.z) GROUP BY ALL),
+g AS (SELECT * FROM w WHERE regexp_matches(href, '/\d+/?$')),
+u AS (SELECT page_id, pos, url, href FROM g UNION ALL SELECT page_id, no, url, href FROM l WHERE page_id NOT IN (SELECT page_id FROM g) AND contains(href, '/for-sale/used/') AND regexp_matches(href, '/\d+/?$'))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url FROM u""")
+def card_extents(spark, d):
+    """Cards in a frame and in each other, marks and links inside and outside of them."""
+    return extract.listing_links(load(spark, d, "pages").withColumn("html", s_steps("html", CARD_STEPS)))
+
+
+#: Adverts that hold a block of their own, and a paragraph that only says that it is paid for, with one inside.
+AD_STEPS = [('<div class="ad">', '<div class="ad"><div><p>paid for</p></div>'), ("<article>", "<div>Sponsored <p>by</p></div><p> sponsored</p><article>")]
+
+
+@query(rf"""
+WITH {d_tags(d_steps('html', AD_STEPS), 'div|li|p')},
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS no, lower(regexp_extract(tag, '\sclass="([^"]*)"', 1)) AS class FROM d WHERE NOT closing),
+b AS (SELECT *, contains(class, 'sponsored') OR list_contains(regexp_split_to_array(class, '[^a-z0-9_]+'), 'ad') OR trim(lower(regexp_extract(tag, '>([^<]*)$', 1)), chr(32) || chr(10)) = 'sponsored' AS paid FROM n),
+s AS (SELECT b.page_id, b.i AS a, min(k.i) AS z FROM b JOIN d k ON k.page_id = b.page_id AND k.name = b.name AND k.closing AND k.i > b.i AND k.d = b.d - 1 WHERE paid GROUP BY ALL)
+SELECT page_id, CAST(no AS INTEGER) AS pos, tag AS block FROM b WHERE NOT paid AND NOT {D_INSIDE.format('b', 'i')}""")
 def drop_ad_blocks(spark, d):
-    return extract.blocks(load(spark, d, "pages"))
+    return extract.blocks(load(spark, d, "pages").withColumn("html", s_steps("html", AD_STEPS)))
 
 
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '/(\d+)/?$', 1), ''), md5(url)) AS listing_id FROM pages")
@@ -366,6 +429,15 @@ def dedupe_first_seen(spark, d):
     return filters.first_seen(load(spark, d, "v_listing"), "source_id", LISTING_ORDER).select("source_id", "source_url", "title", "l_partkey", "l_suppkey")
 
 
+@query(f"""
+WITH k AS (SELECT CASE WHEN l_linenumber = 3 THEN NULL ELSE source_id END AS id, title, {', '.join(LISTING_ORDER)} FROM v_listing)
+SELECT id, title, l_partkey FROM k QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY {', '.join(LISTING_ORDER)}) = 1""")
+def dedupe_null_keys(spark, d):
+    """Rows without a key are nobody's repeats."""
+    rows = load(spark, d, "v_listing").withColumn("id", F.when(F.col("l_linenumber") != 3, F.col("source_id")))
+    return filters.first_seen(rows, "id", LISTING_ORDER).select("id", "title", "l_partkey")
+
+
 @query("""
 SELECT source_id, source_url FROM v_listing WHERE source_url NOT IN (SELECT source_url FROM v_listing WHERE l_orderkey % 3 = 0)
   AND source_url NOT IN (SELECT source_url || '/' FROM v_listing WHERE l_linenumber = 2)""")
@@ -731,6 +803,79 @@ def log_stream(spark, d):
     return spark.read.parquet(target)
 
 
+#: Hosts with a hyphen, as terms that exclude addresses.
+D_HOST_TERMS = r"SELECT DISTINCT replace(regexp_extract(url, '^https?://(?:m\.|www\.)?([a-z]+-[a-z]+)\.', 1), '-', ' ') AS term FROM pages WHERE regexp_matches(url, '^https?://(m\.|www\.)?[a-z]+-[a-z]+\.')"
+
+
+@query(rf"""
+WITH terms AS ({D_HOST_TERMS}),
+every AS (SELECT url, html, page_id FROM pages UNION ALL SELECT url || '/again', html, page_id FROM pages),
+f AS (SELECT url, arg_min(html, page_id) AS html FROM every GROUP BY url),
+p AS (SELECT url, {d_lines("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} AS own FROM f)
+SELECT url AS source_url, coalesce(nullif(regexp_extract(url, '/(\d+)/?$', 1), ''), md5(url)) AS source_id, coalesce(own[1], '.') AS title, coalesce(own[2], '.') AS variant FROM p
+WHERE NOT EXISTS (SELECT 1 FROM terms WHERE contains(replace(lower(url), '-', ' '), term))""")
+def ingest_history(spark, d):
+    """Two runs with exclusion terms: the pages, then the pages again beside as many new addresses; old ones are known from the history."""
+    pages, target = load(spark, d, "pages"), shared.new_path(spark, "pages-out")
+    host = F.regexp_extract("url", r"^https?://(?:m\.|www\.)?([a-z]+-[a-z]+)\.", 1)
+    terms = pages.select(F.replace(host, F.lit("-"), F.lit(" ")).alias("term")).where("term <> ''").distinct()
+    again = pages.withColumn("url", F.concat("url", F.lit("/again")))
+    for run, rows in (("first", pages), ("second", pages.unionByName(again))):
+        source, at = shared.new_path(spark, "pages-in"), shared.new_path(spark, "pages-checkpoint")
+        rows.repartitionByRange(4, "page_id").write.parquet(source)
+        ingest.ingest_pages(spark, source, target, at, terms, run=run).awaitTermination()
+    return spark.read.parquet(target).select("source_url", "source_id", "title", "variant")
+
+
+@query(r"""
+SELECT DISTINCT url AS source_url, coalesce(nullif(regexp_extract(url, '/(\d+)/?$', 1), ''), md5(url)) AS source_id, (SELECT count(DISTINCT url) FROM pages) AS state_rows FROM pages WHERE url IS NOT NULL""")
+def ingest_recent(spark, d):
+    """Every page delivered twice, de-duplicated within a bounded time, with the rows that the state held at most."""
+    source, target, at = (shared.new_path(spark, name) for name in ("pages-in", "pages-out", "pages-checkpoint"))
+    for _ in range(2):
+        load(spark, d, "pages").repartition(4).write.mode("append").parquet(source)
+    running = ingest.keep(ingest.recent_pages(spark, source, files_per_batch=3), target, at)
+    running.awaitTermination()
+    held = max(s["state_rows"] for s in ingest.state_sizes(running))
+    return spark.read.parquet(target).select("source_url", "source_id", F.lit(held).cast("long").alias("state_rows"))
+
+
+#: When log rows arrive: five days at a time, one row in ten two deliveries late.
+D_ARRIVED = """r AS (SELECT date_trunc('second', timestamp) AS seen, CAST(ad_number AS VARCHAR) AS ad_number, upper(coalesce(status, '')) AS status,
+  (day(timestamp) - 1) // 5 + CASE WHEN ad_number % 10 = 0 THEN 2 ELSE 0 END AS g FROM v_posting_log),
+h AS (SELECT g, max(seen) AS high FROM r GROUP BY g),
+e AS (SELECT r.*, date_trunc('day', seen) AS began, coalesce(date_trunc('day', seen) + INTERVAL 1 DAY <= (SELECT max(high) FROM h WHERE h.g <= r.g - 2) - INTERVAL 1 DAY, false) AS late FROM r)"""
+
+
+def delivered(spark: SparkSession, d: str) -> str:
+    """The log as a folder of files, one for each delivery, in their order."""
+    rows, source = load(spark, d, "v_posting_log"), shared.new_path(spark, "log-in")
+    late = F.when(F.col("ad_number") % 10 == 0, 2).otherwise(0)
+    rows = rows.withColumn("g", F.floor((F.day("timestamp") - 1) / 5) + late).withColumn("ad_number", F.col("ad_number").cast("string"))
+    for g in range(8):
+        sinks.csv_writer(report.log_rows(rows.where(F.col("g") == g)).coalesce(1)).mode("append").csv(source)
+    return source
+
+
+@query(f"""
+WITH {D_ARRIVED}
+SELECT CAST(began AS TIMESTAMP) AS day, count(*) AS total, {', '.join(f"count_if(status = '{s.upper()}') AS {s}" for s in ('posted', 'skipped', 'rejected', 'failed'))} FROM e
+WHERE NOT late AND began + INTERVAL 1 DAY <= (SELECT max(seen) FROM r) - INTERVAL 1 DAY GROUP BY began""")
+def log_daily(spark, d):
+    """The log replayed out of order: days that the watermark has passed, each once and final."""
+    target, at = shared.new_path(spark, "days"), shared.new_path(spark, "days-checkpoint")
+    ingest.keep(ingest.daily_summary(ingest.log_stream(spark, delivered(spark, d), 1)), target, at).awaitTermination()
+    return spark.read.parquet(target)
+
+
+@query(f"WITH {D_ARRIVED} SELECT ad_number, seen AS timestamp, status, CAST(g AS BIGINT) AS batch FROM e WHERE late")
+def log_late(spark, d):
+    """The rows of the same replay that came after their day was closed."""
+    target, at = shared.new_path(spark, "late"), shared.new_path(spark, "late-checkpoint")
+    ingest.keep_late(ingest.log_stream(spark, delivered(spark, d), 1), target, at).awaitTermination()
+    return ingest.late_rows(spark, target).select("ad_number", "timestamp", F.upper("status").alias("status"), "batch")
+
+
 @query("""
 SELECT date_trunc('second', timestamp) AS timestamp, CAST(coalesce(CAST(ad_number AS VARCHAR), '') AS VARCHAR) AS ad_number, coalesce(source_id, '') AS vehicle_id, '' AS source_url,
   '' AS year, '' AS make, '' AS model, '' AS variant, coalesce(status, '') AS status, coalesce(reason, '') AS reason FROM v_posting_log""")

@@ -101,6 +101,8 @@ def test_exclusions_agree_by_theta_and_grams(spark, limit):
 def test_first_seen_history_gate_caps(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), (None, 4)], "source_url string, pos int")
     assert sorted(str(tuple(r)) for r in filters.first_seen(rows, "source_url", ["pos"]).collect()) == ["('a', 1)", "('b', 3)", "(None, 4)"]
+    keyless = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("a", 2)], "source_url string, pos int")
+    assert sorted(str(tuple(r)) for r in filters.first_seen(keyless, "source_url", ["pos"]).collect()) == ["('a', 2)", "(None, 1)", "(None, 1)"]
     history = spark.createDataFrame([("a", None)], "link string, source_url string")
     assert {r.source_url for r in filters.not_seen(rows, history).collect()} == {"b", None}
     gate = spark.createDataFrame(
