@@ -96,6 +96,28 @@ def image_manifest(spark, d):
     return feeds.image_manifest(load(spark, d, "v_listing_image").withColumnRenamed("image", "path"))
 
 
+#: Titles with braces, quotes and backslashes, so that records can't be told apart by these signs alone.
+ODD_TITLE = "concat(title, CASE l_linenumber % 4 WHEN 0 THEN ' }, {' WHEN 1 THEN ' \"}{\"' WHEN 2 THEN ' \\\\' ELSE '' END)"
+D_ODD_TITLE = ODD_TITLE.replace("\\\\", "\\")
+
+
+def write_arrays(rows: DataFrame, path: str, of: str, record) -> None:
+    """rows as JSON arrays, a folder with one file for each value of column `of`, in LISTING_ORDER."""
+    own = Window.partitionBy(of).orderBy(*LISTING_ORDER)
+    opens, closes = F.row_number().over(own) == 1, F.lead("l_orderkey").over(own).isNull()
+    line = F.concat(F.when(opens, "[").otherwise(","), record, F.when(closes, "]").otherwise(""))
+    rows.select(of, *LISTING_ORDER, line.alias("value")).repartition(of).sortWithinPartitions(of, *LISTING_ORDER).select(of, "value").write.partitionBy(of).text(path)
+
+
+@query(f"""
+SELECT source_id, {D_ODD_TITLE} AS title, row_number() OVER (PARTITION BY l_orderkey // 5000 ORDER BY {', '.join(LISTING_ORDER)}) - 1 AS pos FROM v_listing""")
+def feed_json_array(spark, d):
+    """An array for the listings of every 5,000 orders, read in splits and put together."""
+    rows, path = load(spark, d, "v_listing").withColumn("array", F.floor(F.col("l_orderkey") / 5000)), shared.new_path(spark, "arrays")
+    write_arrays(rows, path, "array", F.to_json(F.struct("source_id", F.expr(ODD_TITLE).alias("title"))))
+    return feeds.json_array_feed(spark, f"{path}/*", texts(["source_id", "title"])).select("source_id", "title", "pos")
+
+
 PAGE_TEXT = "html"
 for _pattern, _to in (
     ("(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "''"),
@@ -328,6 +350,17 @@ def rating_extract(spark, d):
     return load(spark, d, "documents").select("doc_id", extract.rating(F.expr(D_RATED)).alias("rating"))
 
 
+@query(rf"""
+WITH t AS (SELECT doc_id, {D_RATED} AS text FROM documents),
+p AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{D_PAIR}') THEN [regexp_extract(text, '{D_PAIR}', 1), regexp_extract(text, '{D_PAIR}', 2)]
+  WHEN regexp_matches(text, '\b([1-5]\.\d)\b') AND regexp_matches(text, '(?i)\d+[\d\s,]*\s*reviews?')
+    THEN [regexp_extract(text, '\b([1-5]\.\d)\b', 1), regexp_extract(text, '(?i)\d+[\d\s,]*\s*reviews?')] END AS found FROM t)
+SELECT doc_id, CAST(found[1] AS DOUBLE) AS rating, TRY_CAST(regexp_replace(found[2], '[^0-9]', '', 'g') AS BIGINT) AS review_count FROM p""")
+def rating_numbers(spark, d):
+    shown = load(spark, d, "documents").select("doc_id", extract.rating(F.expr(D_RATED)).alias("shown"))
+    return shown.select("doc_id", *[c.alias(name) for name, c in extract.rating_numbers(F.col("shown")).items()])
+
+
 PHONE = r"\+?\d[\d ()-]{4,}\d"
 
 
@@ -448,6 +481,24 @@ def anti_join_seen(spark, d):
     return filters.not_seen(rows, old).select("source_id", "source_url")
 
 
+@query("""
+SELECT source_id, source_url, 'kept' AS what FROM v_listing WHERE source_url NOT IN (SELECT source_url FROM v_listing WHERE l_linenumber = 1) AND source_url NOT IN (SELECT source_url FROM v_listing WHERE l_linenumber = 2)
+UNION ALL SELECT NULL, file, problem FROM (VALUES ('cut', 'not closed'), ('none', 'empty'), ('object', 'not an array'), ('odd', 'not a record')) v(file, problem)""")
+def seen_in_stores(spark, d):
+    """Addresses of earlier runs in two stores, either field; a store that was cut off, an empty one, one that isn't a list and a record that isn't
+    one are set aside, and what they name counts as new."""
+    rows, path = load(spark, d, "v_listing").withColumn("array", F.floor(F.col("l_orderkey") / 5000)), shared.new_path(spark, "stores")
+    write_arrays(rows.where("l_linenumber = 1"), f"{path}/cars", "array", F.to_json(F.struct(F.col("source_url").alias("Source Link"))))
+    write_arrays(rows.where("l_linenumber = 2"), f"{path}/inventory", "array", F.to_json(F.struct("source_url")))
+    third = rows.where("l_linenumber = 3").agg(F.min("source_url").alias("url")).select(F.to_json(F.struct(F.col("url").alias("source_url"))).alias("record"))
+    for name, form in ("cut", '[%s, {"source_url": "x'), ("none", "[]"), ("object", "%s"), ("odd", '[{"source_url" "z"}]'):
+        third.select(F.format_string(form, "record").alias("value")).write.text(f"{path}/{name}")
+    names = ["cars/*", "inventory/*", "cut", "none", "object", "odd"]
+    history, quarantine = feeds.seen_links(spark, [f"{path}/{n}" for n in [*names, "missing"]])
+    kept = filters.not_seen(rows, history).select("source_id", "source_url", F.lit("kept").alias("what"))
+    return kept.unionByName(quarantine.select(F.lit(None).cast("string").alias("source_id"), F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("source_url"), F.col("problem").alias("what")))
+
+
 @query("""
 WITH o AS (SELECT source_id, count(*) AS n, count_if(image LIKE '%.jpg') AS jpgs, min(pos3) % 10 AS m FROM v_listing_image GROUP BY source_id)
 SELECT CASE WHEN n <> 5 THEN 'images' WHEN jpgs = 0 THEN 'features' WHEN m = 0 THEN 'highlights' ELSE 'accepted' END AS reason, count(*) AS n FROM o GROUP BY 1""")
@@ -779,6 +830,16 @@ def snapshot_sink(spark, d):
     return spark.read.parquet(path).select("run_id", "source_id", "title")
 
 
+@query("""
+SELECT 'r1' AS run_id, source_id, variant FROM v_listing UNION ALL SELECT 'r2', source_id, variant FROM v_listing WHERE l_linenumber > 2""")
+def snapshot_json(spark, d):
+    """The same as JSON lines; a field without a value comes back as null."""
+    path, rows = shared.new_path(spark, "snapshots-json"), load(spark, d, "v_listing").select("source_id", "variant", "l_linenumber")
+    for run, kept in (("r1", rows), ("r2", rows), ("r2", rows.where("l_linenumber > 2"))):
+        sinks.write_json(kept.drop("l_linenumber"), path, run)
+    return feeds.json_lines_feed(spark, path, texts(["source_id", "variant", "run_id"])).select("run_id", "source_id", "variant")
+
+
 @query(rf"""
 WITH f AS (SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url),
 p AS (SELECT url, {d_lines("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} AS own FROM f)

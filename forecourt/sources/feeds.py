@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import strip
+from . import arrays
 from .schemas import FEED, POSTING_LOG
 
 
 def json_array_feed(spark: SparkSession, path: str, schema: T.StructType = FEED) -> DataFrame:
-    """Files that hold one JSON array each, as rows with file and pos, the place in the array.
+    """See arrays.json_array_feed()."""
+    return arrays.json_array_feed(spark, path, schema)
 
-    An array can't be split: land it once and read the landed table. A file that isn't a filled array of objects raises."""
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", T.ArrayType(schema)).alias("records"))
-    each = read.select("file", F.posexplode_outer("records").alias("pos", "record"))
-    valid = F.when(F.col("record").isNull(), F.raise_error(F.concat(F.lit("not a filled array of records: "), "file"))).otherwise(F.col("record"))
-    return each.select("file", "pos", valid.alias("record")).select("file", "pos", "record.*")
+
+def seen_links(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(history, quarantine): the addresses (link, source_url) in stores of earlier runs, JSON arrays of listings, and what of them can't be
+    read and doesn't count: see arrays.tolerant_feed(). Stores that aren't there have no addresses."""
+    names = T.StructType([T.StructField(c, T.StringType()) for c in ("Source Link", "source_url")])
+    rows, quarantine = arrays.tolerant_feed(spark, paths, names)
+    return rows.select(F.col("Source Link").alias("link"), "source_url"), quarantine
 
 
 def json_lines_feed(spark: SparkSession, path: str, schema: T.StructType = FEED) -> DataFrame:

@@ -15,6 +15,12 @@ def write_snapshot(listings: DataFrame, path: str, run_id: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def write_json(listings: DataFrame, path: str, run_id: str) -> None:
+    """The run's listings as JSON lines beside those of other runs, fields without a value included; a repeated run replaces its own."""
+    writer = listings.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("ignoreNullFields", False).partitionBy("run_id").json(path)
+
+
 def write_report(report: DataFrame, path: str, run_id: str) -> None:
     """A run's report beside those of other runs; a repeated run replaces its own."""
     write_snapshot(report, path, run_id)
