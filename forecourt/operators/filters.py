@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import landed, new_path
+
 #: Up to so many terms are broadcast and compared with every text; more are found by a gram of each.
 THETA_TERMS = 1000
 GRAM = 6
+#: Texts with a gram above which it is dealt in so many parts by text.
+HOT = 100_000
+PARTS = 32
 
 
-def gram_pairs(haystacks: DataFrame, needles: DataFrame, k: int = GRAM) -> DataFrame:
-    """(h, n) of haystacks (h) and needles (n) where h contains n, by an equi-join on the last k signs of each needle.
-
-    Shorter needles are joined on all of their signs; an empty needle is in every haystack but isn't paired here."""
-    ends = needles.where("n <> ''").distinct().withColumn("gram", F.right("n", F.lit(k)))
-    sizes = [r[0] for r in ends.select(F.length("gram")).distinct().collect()]  # k numbers at most
+def text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """texts (h and further columns) with gram: each of the different pieces of h of these sizes."""
     grams = None
     for size in sizes:
         at = F.transform(F.sequence(F.lit(1), F.length("h") - size + 1), lambda i: F.substring("h", i, size))
-        own = haystacks.where(F.length("h") >= size).select("h", F.explode(F.array_distinct(at)).alias("gram"))
+        own = texts.where(F.length("h") >= size).select("*", F.explode(F.array_distinct(at)).alias("gram"))
         grams = own if grams is None else grams.unionByName(own)
-    if grams is None:
-        return haystacks.select("h", F.lit("").alias("n")).where("false")
-    return grams.join(ends, "gram").where(F.contains("h", "n")).select("h", "n").distinct()
+    return grams
+
+
+def signatures(haystacks: DataFrame, needles: DataFrame, k: int, sizes: list[int]) -> DataFrame:
+    """(n, gram, df): for each needle that may be in a haystack its rarest gram of k signs, or all of it if it is shorter, and in how many haystacks that is.
+
+    A needle one of whose grams no haystack has is in none of them."""
+    size = F.least(F.length("n"), F.lit(k))
+    at = F.transform(F.sequence(F.lit(1), F.length("n") - size + 1), lambda i: F.substring("n", i, size))
+    own = needles.select("n", F.array_distinct(at).alias("grams")).select("n", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    seen = text_grams(haystacks.select("h"), sizes).groupBy("gram").agg(F.count("*").alias("df"))
+    best = own.join(seen, "gram").groupBy("n").agg(F.min(F.struct("df", "gram")).alias("rarest"), F.count("*").alias("met"), F.first("all").alias("all"))
+    return best.where("met = all").select("n", "rarest.gram", "rarest.df")
+
+
+def gram_pairs(haystacks: DataFrame, needles: DataFrame, k: int = GRAM, hot: int = HOT) -> DataFrame:
+    """haystacks (h and further columns) with n, for each of needles (n) that h contains, by an equi-join on the rarest gram of each needle.
+
+    Needles whose rarest gram is in over `hot` haystacks are repeated for each of PARTS parts of these, so that no task gets all
+    of them. An empty needle is in every haystack but isn't paired here."""
+    wanted = needles.where("n <> ''").distinct()
+    sizes = sorted({min(r[0], k) for r in wanted.select(F.least(F.length("n"), F.lit(k))).distinct().collect()})  # k numbers at most
+    if not sizes:
+        return haystacks.select("*", F.lit("").alias("n")).where("false")
+    chosen = landed(signatures(haystacks, wanted, k, sizes), "signatures")
+    grams = text_grams(haystacks, sizes)
+    pairs = grams.join(chosen.where(F.col("df") <= hot).select("n", "gram"), "gram")
+    frequent = chosen.where(F.col("df") > hot)
+    if not frequent.isEmpty():
+        parts = frequent.select("n", "gram", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+        dealt = grams.withColumn("_part", F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")).join(parts, ["gram", "_part"]).drop("_part")
+        pairs = pairs.unionByName(dealt)
+    return pairs.where(F.contains("h", "n")).drop("gram")
 
 
 def normal(c: Column) -> Column:
@@ -41,22 +75,22 @@ def exclude_by_url(listings: DataFrame, terms: DataFrame, url: str = "source_url
     if wanted.count() <= theta_terms:
         kept = rows.join(F.broadcast(wanted), F.contains("h", "n"), "left_anti")
     elif wanted.where("n = ''").isEmpty():
-        hits = gram_pairs(rows.select("h").distinct(), wanted).select("h").distinct()
+        hits = gram_pairs(rows.where("h IS NOT NULL").select("h").distinct(), wanted).select("h").distinct()
         kept = rows.join(hits, "h", "left_anti")
     else:
         kept = rows.where("h IS NULL")
     return kept.select("row.*")
 
 
-def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title", theta_terms: int = THETA_TERMS) -> DataFrame:
+def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title", theta_terms: int = THETA_TERMS, hot: int = HOT) -> DataFrame:
     """Listings whose title neither holds a term nor is held by one; an empty title is held by any. Decided once per title."""
     wanted = terms.where("term IS NOT NULL").select(normal(F.col("term")).alias("n")).distinct()
     titles = listings.select(F.col(title).alias("title")).distinct().withColumn("h", normal(F.coalesce("title", F.lit(""))))
     if wanted.count() <= theta_terms:
         bad = titles.join(F.broadcast(wanted), F.contains("h", "n") | F.contains("n", "h"), "left_semi")
     else:
-        there = gram_pairs(titles.select("h"), wanted).select("h")
-        back = gram_pairs(wanted.select(F.col("n").alias("h")), titles.select(F.col("h").alias("n"))).select(F.col("n").alias("h"))
+        there = gram_pairs(titles.select("h").distinct(), wanted, hot=hot).select("h")
+        back = gram_pairs(wanted.select(F.col("n").alias("h")), titles.select(F.col("h").alias("n")), hot=hot).select(F.col("n").alias("h"))
         hits = there.unionByName(back).distinct()
         bad = titles.where("h = ''").unionByName(titles.where("h <> ''").join(hits, "h", "left_semi"))
     gone = bad.select(F.coalesce("title", F.lit("")).alias("gone")).distinct()
@@ -98,6 +132,49 @@ def first_accepted(listings: DataFrame, n: int, order: list, start_page: int | N
     return rows.orderBy(*order).limit(n)
 
 
+@dataclass
+class Harvest:
+    """rows: the first accepted ones, in no order. ranges: first and last page of each range that was read, its rows and how many were accepted."""
+
+    rows: DataFrame
+    ranges: list[dict] = field(default_factory=list)
+
+
+def harvest(listings: DataFrame, accept: Callable[[DataFrame], DataFrame], n: int, order: list, key: str, start_page: int = 0) -> Harvest:
+    """The first n rows that accept() keeps of listings, by page and order, but only so many pages are looked at as it takes.
+
+    Pages are taken in ranges, by how many rows each has: the first range has n rows, the next ones what should be missing at the
+    rate of acceptance so far, and twice the rows before at most. accept() sees a range at a time; a key that an earlier range has
+    accepted isn't accepted again, and of a range accept() should leave each key once. What a range gives is written before the next."""
+    if n < 0:
+        raise ValueError("a cap can't be negative")
+    spark, path = listings.sparkSession, new_path(listings.sparkSession, "harvest")
+    sizes = landed(listings.where(F.col("page") >= start_page).groupBy("page").agg(F.count("*").alias("n")), "pages")
+    accept(listings.where("false")).write.mode("append").parquet(path)
+    ranges, last, got, want = [], None, 0, n
+    while got < n:
+        left = sizes if last is None else sizes.where(F.col("page") > last)
+        head = left.orderBy("page").limit(want).collect()  # a page has a row at least: no more pages than rows asked for
+        if not head:
+            break
+        rows, pages = 0, []
+        for p in head:
+            pages.append(p.page)
+            rows += p.n
+            if rows >= want:
+                break
+        own = accept(listings.where(F.col("page").between(pages[0], pages[-1])))
+        before = spark.read.parquet(path)
+        own.join(before.select(key).where(F.col(key).isNotNull()), key, "left_anti").select(own.columns).write.mode("append").parquet(path)
+        now = spark.read.parquet(path).count()
+        ranges.append({"first": pages[0], "last": pages[-1], "rows": rows, "accepted": now - got})
+        last, got = pages[-1], now
+        seen = sum(r["rows"] for r in ranges)
+        want = min(2 * seen, max(1, round((n - got) * seen / max(got, 1)))) if got < n else 0
+    kept = spark.read.parquet(path).orderBy("page", *order).limit(n)
+    return Harvest(kept, ranges)
+
+
 def batch_cap(records: DataFrame, n: int, order: list) -> DataFrame:
     """The first n records; 0 stands for all of them."""
     if n < 0:

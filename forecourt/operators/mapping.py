@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import filled, match_key, strip
-from .filters import gram_pairs
+from .filters import GRAM, gram_pairs, text_grams
 
 # The fields of a vehicle in the order in which they are audited, and the messages for its images.
 MAPPED = ["condition", "transmission", "fuel", "drive_type", "colour", "country"]
@@ -56,15 +58,35 @@ def source_errors(values: dict[str, Column], mapped: dict[str, Column]) -> Colum
     return filled(*out)
 
 
+#: Options of a form that are looked up in a map, whose keys are compared one by one.
+MOST_IN_MAP = 300
+
+
+def option_map(options: DataFrame) -> dict[str, dict[str, str]] | None:
+    """field → key → label of options (field, pos, label), for MAPPED; None if they are over MOST_IN_MAP."""
+    rows = option_keys(options.where(F.col("field").isin(MAPPED))).limit(MOST_IN_MAP + 1).collect()
+    if len(rows) > MOST_IN_MAP:
+        return None
+    found: dict[str, dict[str, str]] = {}
+    for r in rows:
+        found.setdefault(r["field"], {})[r["key"]] = r["label"]
+    return found
+
+
 def mapped(ads: DataFrame, options: DataFrame) -> DataFrame:
     """ads with _value_<field> and _mapped_<field> for MAPPED: the value, and the option for it. country is read from location.
 
-    A field of which options (field, pos, label) has no row passes through."""
+    A field of which options (field, pos, label) has no row passes through. Few options are a constant of one projection
+    over all fields; more are joined field by field."""
+    values = {f: schema_org_condition(F.col(f)) if f == "condition" else F.col("location" if f == "country" else f) for f in MAPPED}
+    rows = ads.withColumns({f"_value_{f}": c for f, c in values.items()})
+    known = option_map(options)
+    if known is not None:
+        table = F.from_json(F.lit(json.dumps(known)), "map<string,map<string,string>>")
+        found = {f: F.try_element_at(F.element_at(table, F.lit(f)), match_key(F.col(f"_value_{f}"))) if f in known else F.col(f"_value_{f}") for f in MAPPED}
+        return rows.withColumns({f"_mapped_{f}": c for f, c in found.items()})
     listed = {r[0] for r in options.where(F.col("field").isin(MAPPED)).select("field").distinct().collect()}  # six at most
-    rows = ads
     for f in MAPPED:
-        value = F.col("location" if f == "country" else f)
-        rows = rows.withColumn(f"_value_{f}", schema_org_condition(value) if f == "condition" else value)
         rows = map_option(rows, options, f, F.col(f"_value_{f}"), f"_mapped_{f}") if f in listed else rows.withColumn(f"_mapped_{f}", F.col(f"_value_{f}"))
     return rows
 
@@ -115,14 +137,20 @@ def loose_option(records: DataFrame, options: DataFrame, key: list[str], targets
     """key and, as `to`, the first option (pos, label and, if there is one, value) whose label holds one of targets or whose
     value equals one, without case; null if none.
 
-    Distinct targets are matched with distinct labels by a gram and with values by equality, so neither has to be few. An
+    Distinct targets are matched with distinct labels by a gram and with values by equality, so neither has to be few. Targets
+    shorter than a gram are grams of labels themselves: the first option of each gram is theirs, without a pair being made. An
     empty target is in every option."""
     first = F.min(F.struct("pos", "label")).alias("_first")
     known = options.where("pos IS NOT NULL AND label IS NOT NULL")
     of = known.groupBy(F.lower("label").alias("h")).agg(first)
     wanted = records.select(*key, F.explode_outer(F.transform(targets, F.lower)).alias("_n"))
-    pairs = gram_pairs(of.select("h"), wanted.where("_n IS NOT NULL").select(F.col("_n").alias("n")).distinct())
-    best = pairs.join(of, "h").groupBy(F.col("n").alias("_n")).agg(F.min("_first").alias("_first"))
+    needles = wanted.where("_n IS NOT NULL").select(F.col("_n").alias("n")).distinct()
+    best = gram_pairs(of, needles.where(F.length("n") >= GRAM)).groupBy(F.col("n").alias("_n")).agg(F.min("_first").alias("_first"))
+    short = needles.where((F.length("n") < GRAM) & (F.col("n") != ""))
+    sizes = sorted(r[0] for r in short.select(F.length("n")).distinct().collect())  # GRAM numbers at most
+    if sizes:
+        grams = text_grams(of, sizes).groupBy("gram").agg(F.min("_first").alias("_first"))
+        best = best.unionByName(grams.join(short, F.col("gram") == F.col("n")).select(F.col("n").alias("_n"), "_first"))
     best = best.unionByName(of.agg(F.min("_first").alias("_first")).select(F.lit("").alias("_n"), "_first"))
     if "value" in options.columns:
         best = best.unionByName(known.where("value IS NOT NULL").groupBy(F.lower("value").alias("_n")).agg(first))

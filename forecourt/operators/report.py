@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_filled
@@ -32,29 +35,46 @@ def summary(log: DataFrame) -> DataFrame:
     return log.agg(*status_counts(F.col("status")))
 
 
+MODES = ["validate", "prepare", "run"]
+#: Counters of a report and the first mode that gets as far as them.
+COUNTERS = {"total": "validate", "valid": "validate", "invalid": "validate", "duplicates": "validate", "processed": "prepare", "successful": "run", "failed": "run", "skipped": "run"}
+
+
+def counters() -> list[Column]:
+    """The counters of tagged rows (duplicate, errors, outcome) that have gone through all stages."""
+    duplicate, errors, outcome = F.col("duplicate"), F.col("errors"), F.col("outcome")
+    valid = ~duplicate & (errors == 0)
+    found = {
+        "total": F.count("*"), "valid": F.count_if(valid), "invalid": F.count_if(~duplicate & (errors > 0)), "duplicates": F.count_if(duplicate), "processed": F.count_if(valid),
+        "successful": F.count_if(valid & (outcome == "posted")), "failed": F.count_if(valid & (outcome == "failed")), "skipped": F.count_if(valid & (outcome == "cancelled")),
+    }
+    return [c.alias(name) for name, c in found.items()]
+
+
+def reached(name: str, mode: str) -> bool:
+    if mode not in MODES:
+        raise ValueError(mode)
+    return MODES.index(mode) >= MODES.index(COUNTERS[name])
+
+
 def batch_report(rows: DataFrame, mode: str = "run", runtime: float | None = None) -> DataFrame:
     """One row, with runtime (seconds) if it is given, over tagged rows (duplicate, errors, outcome): validate stops at validity, prepare at processing, run goes through."""
-    if mode not in ("validate", "prepare", "run"):
-        raise ValueError(mode)
-    valid = ~F.col("duplicate") & (F.col("errors") == 0)
-    zero = F.lit(0).cast("long")
-
-    def upto(stage: str, c: Column) -> Column:
-        return c if ["validate", "prepare", "run"].index(mode) >= ["validate", "prepare", "run"].index(stage) else zero
-
-    found = rows.agg(
-        F.count("*").alias("total"),
-        F.count_if(valid).alias("valid"),
-        F.count_if(~F.col("duplicate") & (F.col("errors") > 0)).alias("invalid"),
-        F.count_if("duplicate").alias("duplicates"),
-        upto("prepare", F.count_if(valid)).alias("processed"),
-        upto("run", F.count_if(valid & (F.col("outcome") == "posted"))).alias("successful"),
-        upto("run", F.count_if(valid & (F.col("outcome") == "failed"))).alias("failed"),
-        upto("run", F.count_if(valid & (F.col("outcome") == "cancelled"))).alias("skipped"),
-    )
+    kept = [name for name in COUNTERS if reached(name, mode)]
+    found = rows.agg(*counters()).select(*[F.col(c) if c in kept else F.lit(0).cast("long").alias(c) for c in COUNTERS])
     return found if runtime is None else found.withColumn("runtime", F.lit(float(runtime)))
 
 
+def observed_reports(rows: DataFrame, write: Callable[[DataFrame], None], modes: list[str] = MODES) -> DataFrame:
+    """The reports of several modes (run_id, counters, runtime in seconds) of one pass: rows are counted while write() takes them to their sink."""
+    for mode in modes:
+        reached("total", mode)
+    seen, began = Observation(), time.monotonic()
+    write(rows.observe(seen, *counters()))
+    took, found = time.monotonic() - began, seen.get
+    reports = [(mode, *[found[c] if reached(c, mode) else 0 for c in COUNTERS], took) for mode in modes]
+    return rows.sparkSession.createDataFrame(reports, "run_id string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", runtime double")
+
+
 def preview(features: Column, highlights: Column, images: Column) -> dict[str, Column]:
     return {
         "first_features": F.array_join(F.slice(features, 1, 3), ", "),

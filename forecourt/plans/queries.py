@@ -455,6 +455,17 @@ def exclude_by_title_grams(spark, d):
     return filters.exclude_by_title(load(spark, d, "v_listing"), load(spark, d, "v_exclusion"), theta_terms=0).select(KEPT)
 
 
+D_SERIES = "EXISTS (SELECT 1 FROM v_exclusion WHERE contains(lower(title) || ' series', trim(lower(term)) || ' series') OR contains(trim(lower(term)) || ' series', lower(title) || ' series'))"
+
+
+@query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT {D_SERIES}")
+def exclude_common_endings(spark, d):
+    """The way of long lists where all titles and all terms end alike, and some grams are dealt in parts."""
+    rows = load(spark, d, "v_listing").withColumn("shown", F.concat("title", F.lit(" series")))
+    terms = load(spark, d, "v_exclusion").select(F.concat("term", F.lit(" series")).alias("term"))
+    return filters.exclude_by_title(rows, terms, title="shown", theta_terms=0, hot=20).select(KEPT)
+
+
 @query(f"""
 SELECT source_id, source_url, title, l_partkey, l_suppkey FROM v_listing
 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(LISTING_ORDER)}) = 1""")
@@ -518,6 +529,20 @@ def first_n_accepted(spark, d):
     return filters.first_accepted(kept, 1000, LISTING_ORDER, start_page=2).select("source_id", "source_url")
 
 
+@query(f"""
+WITH k AS (SELECT source_id, source_url, title, l_orderkey // 100 AS page, {', '.join(LISTING_ORDER)} FROM v_listing WHERE NOT {BAD_TITLE} AND l_orderkey // 100 >= 2),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(LISTING_ORDER)}) = 1)
+SELECT source_id, source_url FROM f ORDER BY {', '.join(LISTING_ORDER)} LIMIT 1000""")
+def harvest_pages(spark, d):
+    """The first thousand listings that are neither excluded nor repeated; pages after those aren't looked at."""
+    rows, terms = load(spark, d, "v_listing").withColumn("page", F.floor(F.col("l_orderkey") / 100)), load(spark, d, "v_exclusion")
+
+    def accept(part: DataFrame) -> DataFrame:
+        return filters.first_seen(filters.exclude_by_title(part, terms), "source_id", LISTING_ORDER)
+
+    return filters.harvest(rows, accept, 1000, LISTING_ORDER, "source_id", start_page=2).rows.select("source_id", "source_url")
+
+
 @query("SELECT source_id, title FROM v_queue ORDER BY enqueued_at, CAST(source_id AS BIGINT) LIMIT 50")
 def batch_cap(spark, d):
     return filters.batch_cap(load(spark, d, "v_queue"), 50, queue_order()).select("source_id", "title")
@@ -774,6 +799,18 @@ def queue_head(spark, d):
     return queue.head(rows, 10, ["enqueued_at", "at"]).select("queue_id", "link", "title")
 
 
+@query("SELECT row_number() OVER (ORDER BY enqueued_at, CAST(source_id AS BIGINT)) AS pos, source_id, title FROM v_queue")
+def queue_positions(spark, d):
+    return queue.with_position(load(spark, d, "v_queue"), queue_order()).select("pos", "source_id", "title")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY enqueued_at) AS pos, enqueued_at FROM v_queue""")
+def queue_positions_of_ties(spark, d):
+    """Many rows of a day: their places are the day's, in any order."""
+    return queue.with_position(load(spark, d, "v_queue").select("enqueued_at"), ["enqueued_at"]).select("pos", "enqueued_at")
+
+
 @query("SELECT count(*) AS remaining FROM v_queue WHERE decision IS NULL")
 def queue_left(spark, d):
     rows = load(spark, d, "v_queue")
@@ -960,15 +997,15 @@ c AS (SELECT count(*) AS total, count_if(NOT duplicate AND NOT bad) AS valid, co
 SELECT 'validate' AS run_id, total, valid, invalid, duplicates, 0 AS processed, 0 AS successful, 0 AS failed, 0 AS skipped FROM c
 UNION ALL SELECT 'prepare', total, valid, invalid, duplicates, valid, 0, 0, 0 FROM c UNION ALL SELECT 'run', total, valid, invalid, duplicates, valid, successful, failed, skipped FROM c""")
 def batch_report(spark, d):
-    """The reports of all three modes, as the report sink keeps them."""
+    """The reports of all three modes, counted while the outcomes are written, as the report sink keeps them."""
     w = Window.partitionBy("source_id").orderBy(*LISTING_ORDER)
     outcome = F.when(F.col("l_linenumber") % 3 == 0, "posted").when(F.col("l_linenumber") % 3 == 1, "failed").otherwise("cancelled")
-    tagged = audited(spark, d).select((F.row_number().over(w) > 1).alias("duplicate"), F.size("errors").alias("errors"), outcome.alias("outcome")).persist()
+    tagged = audited(spark, d).select("source_id", (F.row_number().over(w) > 1).alias("duplicate"), F.size("errors").alias("errors"), outcome.alias("outcome"))
     path = shared.new_path(spark, "reports")
-    for mode in ("validate", "prepare", "run"):
-        sinks.write_report(report.batch_report(tagged, mode), path, mode)
-    tagged.unpersist()
-    return spark.read.parquet(path)
+    reports = report.observed_reports(tagged, lambda rows: rows.write.parquet(shared.new_path(spark, "outcomes")))
+    for mode in report.MODES:
+        sinks.write_report(reports.where(F.col("run_id") == mode).drop("run_id"), path, mode)
+    return spark.read.parquet(path).where("runtime >= 0").drop("runtime")
 
 
 @query(f"""
