@@ -171,36 +171,45 @@ def is_card(digits: str) -> bool:
 #: How the cards that stand beside other numbers begin; these have at most GROUPS groups, all but the last of three digits or more.
 ISSUER = re.compile("[3-6]|2[2-7]")
 GROUPS = 5
+#: How cards are grouped; of sequences that overlap, one grouped as an earlier of these is the card, then the longest. One group comes first.
+GROUPED = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3)]
+
+
+def other_card(digits: str, key: bytes, back: bool) -> str:
+    """The card that stands for a card, wherever it stands: of the same length, with an issuer that ISSUER knows if it has one, else without."""
+    known = bool(ISSUER.match(digits))
+    while True:
+        body = permute_digits(digits[:-1], "card", key, back)
+        digits = f"{body}{luhn(body)}"
+        if bool(ISSUER.match(digits)) == known and is_card(digits):
+            return digits
 
 
 class Run:
     """Groups of digits between single spaces or hyphens, and which of their sequences may be a card.
 
-    These are, from the left, the most groups of up to 19 digits, and any sequence grouped as cards are. Which they are
-    depends on the lengths of the groups alone, so it is the same for a text and its pseudonyms."""
+    These are all groups together, of any issuer, and any sequence grouped as cards are. Which they are, and which of two that overlap goes first, depends on the lengths of the groups alone, so it is the same for a text and its pseudonyms."""
 
     def __init__(self, text: str):
         self.text = text
         groups = [m.span() for m in re.finditer("[0-9]+", text)]
         sizes = [b - a for a, b in groups]
         spans: dict[tuple[int, int], bool] = {}  # True: of any issuer
+        form: dict[tuple[int, int], int] = {}
         for i in range(len(groups)):
             n = 0
             for j in range(i, min(i + GROUPS, len(groups))):
                 n += sizes[j]
                 if 13 <= n <= 19:
-                    spans[groups[i][0], groups[j][1]] = False
+                    span, own = (groups[i][0], groups[j][1]), tuple(sizes[i : j + 1])
+                    spans[span] = False
+                    form[span] = -1 if i == j else GROUPED.index(own) if own in GROUPED else len(GROUPED)
                 if n > 19 or sizes[j] < 3:
                     break
-        i = n = 0
-        for j in range(len(groups) + 1):
-            if j == len(groups) or n + sizes[j] > 19:
-                if 13 <= n <= 19:
-                    spans[groups[i][0], groups[j - 1][1]] = True
-                i, n = j, 0
-            n += sizes[j] if j < len(groups) else 0
+        if 13 <= sum(sizes) <= 19:
+            spans[groups[0][0], groups[-1][1]] = True
         self.length = {s: len(digits_of(text[slice(*s)])) for s in spans}
-        self.spans = sorted(spans, key=lambda s: (-self.length[s], s))
+        self.spans = sorted(spans, key=lambda s: (form.get(s, len(GROUPED)), -self.length[s], s))
         self.any = spans
         self.valid = {s: self.check(s) for s in self.spans}
 
@@ -216,7 +225,7 @@ class Run:
                 self.valid[s] = self.check(s)
 
     def cards(self) -> list[tuple[int, int]]:
-        """The cards, of those that overlap the longest, then the first."""
+        """The cards, of those that overlap the one of the commonest form, then the longest, then the first."""
         found: list[tuple[int, int]] = []
         for s in self.spans:
             if self.valid[s]:
@@ -229,14 +238,14 @@ class Run:
 def cards(text: str, key: bytes, back: bool) -> tuple[str, int]:
     """text, a run of groups of digits, with the pseudonyms of its cards, and how many there are.
 
-    A pseudonym with which the run would be read otherwise is passed on to the next, so that all turn back."""
+    A card has the same pseudonym in every run. Only where the run would be read otherwise with it, as groups beside the card would
+    make a card with a part of it, is it passed on to the next one, so that all turn back."""
     run = Run(text)
     found = run.cards()
     for span in reversed(found) if back else found:
         digits = digits_of(run.text[slice(*span)])
         while True:
-            body = permute_digits(digits[:-1], "card", key, back)
-            digits = f"{body}{luhn(body)}"
+            digits = other_card(digits, key, back)
             run.put(span, digits)
             if run.cards() == found:
                 break
@@ -306,7 +315,8 @@ EMAIL = re.compile(r"(?<![\w.%+'-])[\w.%+'-]{1,64}@(?:[\w-]{1,63}\.){1,8}(?:[^\W
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
-DATE = r"(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![\w/-]|\.[0-9])"
+#: A time may follow the day of a timestamp.
+DATE = r"(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?=T[0-9]{2}:[0-9]{2})|(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![\w/-]|\.[0-9]))"
 PLAIN_PHONE = r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])"
 #: The country code, an area code or (0) in parentheses, and at least six digits.
 ABROAD = "|".join(rf"(?:{code})(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]){{6,{most}}}(?![0-9])" for code, most in [*COUNTRIES.items(), ("[0-9]{3}", MOST_DIGITS)])
