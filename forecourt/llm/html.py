@@ -146,9 +146,11 @@ def parse(html: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
                     while shut() != tag:
                         pass
             elif tag in NOISE:
+                # What is still open inside it ends with it: end tags of options and paragraphs may be left out.
                 flush()
-                if stack[-1].tag == tag:
-                    shut()
+                if opened[tag]:
+                    while shut() != tag:
+                        pass
             continue
         if tag in VOID:
             if tag == "hr":
