@@ -28,7 +28,7 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int =
     """Writes the ids of docs (doc_id, text; null: empty) as flat files into folder and returns rows (doc_id, file, doc_no).
 
     Tasks write files of names of their own, and a file counts once the rows that name it are written: a task that is lost
-    or run twice leaves a file that none of them names, and flat_files() knows it by that."""
+    or run twice leaves a file that none of them names, whole or cut off anywhere. Give the rows to count_tokens(), which reads no other."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,15 +59,18 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end: int =
     return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, file string, doc_no long"), "flat-index")
 
 
-def ranges(spark: SparkSession, folder: str, block: int = BLOCK) -> DataFrame:
-    """Rows (file, block, size) of the files in folder: ranges of block bytes, the last of a file shorter. Contents aren't read."""
+def ranges(spark: SparkSession, folder: str, block: int = BLOCK, index: DataFrame | None = None) -> DataFrame:
+    """Rows (file, block, size) of the files in folder, those that index (file) names if it is given: ranges of block bytes, the last of a file
+    shorter. Contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).where("length > 0").select(F.col("path").alias("file"), "length")
+    if index is not None:
+        files = files.withColumn("name", F.regexp_extract("file", "[^/]*$", 0)).join(index.select(F.col("file").alias("name")).distinct(), "name", "left_semi").drop("name")
     each = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))))
     return each.select("file", "block", F.least(F.lit(block), F.col("length") - F.col("block") * block).cast("long").alias("size"))
 
 
-def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
-    """A row for each document in the flat files of folder (*.bin): file, doc_no (from 0 in its file), start (ids before it in
+def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK, tasks: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """A row for each document in the flat files of folder (*.bin), those that index (file) names if it is given: file, doc_no (from 0 in its file), start (ids before it in
     its file), n_tokens (without the end id), ended (false: the file ends without its end id).
 
     Empty files have no rows; an empty folder gives an empty table; a file of an odd number of bytes raises. block: bytes,
@@ -88,7 +91,7 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
                     [pa.array([file]), pa.array([k], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "size", "ends"]
                 )
 
-    parts = ranges(spark, folder, block)
+    parts = ranges(spark, folder, block, index)
     own = parts.repartition(tasks or max(1, min(10_000, parts.count())), F.xxhash64("file", "block"))
     blocks = materialize(own.mapInArrow(run, "file string, block long, size long, ends array<long>"), "separators")
     # Only four numbers of each range are put in order; the separators stay where they are found.
@@ -122,5 +125,5 @@ def document_token_counts(docs: DataFrame) -> DataFrame:
     index = write_flat(docs, folder)
     if index.isEmpty():
         return index.select("doc_id", "file", "doc_no", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("ended"))
-    found = count_tokens(docs.sparkSession, folder).withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+    found = count_tokens(docs.sparkSession, folder, index=index).withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
     return index.join(found, ["file", "doc_no"]).select("doc_id", "file", "doc_no", "start", "n_tokens", "ended")
