@@ -32,19 +32,33 @@ def repeats(n: int, per: str) -> str:
 c AS (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY {per}) AS n FROM g) WHERE n > 1)"""
 
 
-def matches(rank: int, r: secrets.Rule) -> str:
-    """(r, rank, start, stop) of a rule's matches, from the lengths of what it matches and of what lies between."""
-    regex = r.regex.replace("'", "''").replace("(?<![0-9a-f])", "")
+#: Kinds of secrets as the contract and their issuers describe them: pattern, group of the value, its least length, whether it is one of the contract's.
+SECRETS = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 16, True),
+    ("hex", "[0-9a-f]+", 0, 32, True),
+    ("private_key", "-----BEGIN ([A-Z]+ )?PRIVATE KEY-----", 0, 1, False),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False),
+    ("google", "AIza[0-9A-Za-z_-]{35}", 0, 1, False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False),
+]
+
+
+def matches(rank: int) -> str:
+    """(r, rank, start, stop) of the matches of a kind, from the lengths of what it matches and of what lies between."""
+    _, pattern, value, least, _ = SECRETS[rank]
+    regex = pattern.replace("'", "''")
     return f"""SELECT r, {rank} AS rank, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (
   SELECT r, hit, sum(length(hit) + length(gap)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
     SELECT r, i, hits[i] AS hit, gaps[i] AS gap FROM (SELECT r, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
       SELECT r, regexp_extract_all(text, '{regex}', 0) AS hits, regexp_split_to_array(text, '{regex}') AS gaps FROM d))))
-WHERE length(regexp_extract(hit, '{regex}', {r.value})) >= {r.least}"""
+WHERE length(regexp_extract(hit, '{regex}', {value})) >= {least}"""
 
 
-KINDS = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+KINDS = "[" + ", ".join(f"'{k}'" for k, *_ in SECRETS) + "]"
 SPANS = f"string_agg(({KINDS})[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
-BASE = [i for i, r in enumerate(secrets.RULES) if r.base]
+BASE = {i: k for i, (k, *_, base) in enumerate(SECRETS) if base}
 
 #: The control strings of the chat template, with any number of backslashes after their first sign.
 CONTROL = r"<\\*(?:/?s>|</?SYS>>|\|role\|>|\|text\|>|\|end\|>)|\[\\*/?INST\]"
@@ -52,10 +66,10 @@ CONTROL = r"<\\*(?:/?s>|</?SYS>>|\|role\|>|\|text\|>|\|end\|>)|\[\\*/?INST\]"
 ORACLES: dict[str, str] = {
     "op8_secret_scan": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-s AS ({" UNION ALL ".join(matches(i, r) for i, r in enumerate(secrets.RULES))}),
+s AS ({" UNION ALL ".join(matches(i) for i in range(len(SECRETS)))}),
 a AS (SELECT r, {SPANS} AS spans, {SPANS} FILTER (rank IN ({", ".join(map(str, BASE))})) AS base,
-  {", ".join(f"count(*) FILTER (rank = {i}) AS n_{secrets.RULES[i].kind}" for i in BASE)} FROM s GROUP BY r)
-SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in BASE)},
+  {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in BASE.items())} FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE.values())},
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)""",
     "op2_quality_rules": rf"""
 WITH {WORDS}, {repeats(5, "r, g")},
