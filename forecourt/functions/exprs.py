@@ -9,9 +9,14 @@ UNKNOWN = "."
 ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def solid(c: Column) -> Column:
+    """Whether the text begins and ends with a visible ASCII sign, as most do: then nothing is to be stripped, and no pattern is needed to see it."""
+    return F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at the ends (trim() takes only U+0020)."""
-    return F.regexp_replace(c, ENDS, "")
+    return F.when(solid(c), c).otherwise(F.regexp_replace(c, ENDS, ""))
 
 
 #: All of a blank text or of one that is only a dot; else the white space at the ends.
@@ -21,7 +26,8 @@ NOTHING_OR_ENDS = r"(?U)^[\s\x1c-\x1f]*\.?[\s\x1c-\x1f]*\z|^[\s\x1c-\x1f]+|[\s\x
 def clean(c: Column, fallback: Column | str = UNKNOWN) -> Column:
     """Stripped; null, blank and "." give fallback."""
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return F.coalesce(F.nullif(F.regexp_replace(c, NOTHING_OR_ENDS, ""), F.lit("")), fallback)
+    stripped = F.coalesce(F.nullif(F.regexp_replace(c, NOTHING_OR_ENDS, ""), F.lit("")), fallback)
+    return F.when(solid(c) & (c != UNKNOWN), c).otherwise(stripped)
 
 
 def first_filled(*columns: Column) -> Column:

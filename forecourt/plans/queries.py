@@ -207,8 +207,7 @@ d AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY pag
 D_INSIDE = "EXISTS (SELECT 1 FROM s WHERE s.page_id = {0}.page_id AND s.a < {0}.{1} AND {0}.{1} < s.z)"
 
 
-@query(rf"""
-WITH {d_tags(d_steps('html', CARD_STEPS), 'div|span|a')},
+D_CARDS = rf"""{d_tags(d_steps('html', CARD_STEPS), 'div|span|a')},
 c AS (SELECT o.page_id, o.i AS a, o.tag, min(k.i) AS z FROM d o JOIN d k ON k.page_id = o.page_id AND k.name = 'div' AND k.closing AND k.i > o.i AND k.d = o.d - 1
   WHERE NOT o.closing AND o.name = 'div' AND contains(regexp_extract(o.tag, '\sclass="([^"]*)"', 1), 'card') GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS no FROM c),
@@ -218,14 +217,33 @@ l AS (SELECT page_id, url, i, row_number() OVER (PARTITION BY page_id ORDER BY i
 w AS (SELECT n.page_id, n.no AS pos, any_value(l.url) AS url, arg_min(l.href, l.i) AS href FROM n JOIN l ON l.page_id = n.page_id AND n.a < l.i AND l.i < n.z
   WHERE contains(l.href, '/for-sale/used/') AND NOT {D_INSIDE.format('l', 'i')} AND NOT {D_INSIDE.format('n', 'a')} AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = n.page_id AND s.a = n.a)
     AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = n.page_id AND n.a < m.i AND m.i < n.z) GROUP BY ALL),
-g AS (SELECT * FROM w WHERE regexp_matches(href, '/\d+/?$')),
-u AS (SELECT page_id, pos, url, href FROM g UNION ALL SELECT page_id, no, url, href FROM l WHERE page_id NOT IN (SELECT page_id FROM g) AND contains(href, '/for-sale/used/') AND regexp_matches(href, '/\d+/?$'))
-SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url FROM u""")
+g AS (SELECT page_id, pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url FROM w WHERE regexp_matches(href, '/\d+/?$')),
+h AS (SELECT page_id, no AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url FROM l WHERE contains(href, '/for-sale/used/') AND regexp_matches(href, '/\d+/?$'))"""
+
+
+@query(f"""
+WITH {D_CARDS}
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url FROM g UNION ALL SELECT page_id, CAST(pos AS INTEGER), url FROM h WHERE page_id NOT IN (SELECT page_id FROM g)""")
 def card_extents(spark, d):
     """Cards in a frame and in each other, marks and links inside and outside of them."""
     return extract.listing_links(load(spark, d, "pages").withColumn("html", s_steps("html", CARD_STEPS)))
 
 
+@query(f"""
+WITH {D_CARDS}, old AS (SELECT DISTINCT url FROM g WHERE regexp_matches(url, '^https?://[^/]*-')),
+gone AS (SELECT DISTINCT lower(substr(href, 16)) AS term FROM l WHERE contains(href, '/for-sale/used/') AND regexp_matches(lower(href), '^/for-sale/used/(the|und|les)/')),
+kept AS (SELECT *, 1 AS card FROM g UNION ALL SELECT *, 0 FROM h),
+fresh AS (SELECT * FROM kept WHERE url NOT IN (SELECT url FROM old) AND NOT EXISTS (SELECT 1 FROM gone WHERE contains(replace(lower(url), '-', ' '), term)))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url FROM fresh WHERE card = (SELECT max(f.card) FROM fresh f WHERE f.page_id = fresh.page_id)""")
+def fresh_card_links(spark, d):
+    """The same pages with terms that exclude some links and a history that has those of some hosts: where no card is left, anchors are."""
+    pages = load(spark, d, "pages").withColumn("html", s_steps("html", CARD_STEPS))
+    history = extract.link_candidates(pages).where("of_card").where(F.col("url").rlike("^https?://[^/]*-")).select(F.col("url").alias("link"), F.lit(None).cast("string").alias("source_url"))
+    hrefs = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="(/for-sale/used/[^"]*)"'), F.lit(1))).alias("href"))
+    terms = hrefs.where(F.lower("href").rlike("^/for-sale/used/(the|und|les)/")).select(F.lower(F.substring("href", 16, 1000)).alias("term")).distinct()
+    return extract.fresh_links(pages, history, terms)
+
+
 #: Adverts that hold a block of their own, and a paragraph that only says that it is paid for, with one inside.
 AD_STEPS = [('<div class="ad">', '<div class="ad"><div><p>paid for</p></div>'), ("<article>", "<div>Sponsored <p>by</p></div><p> sponsored</p><article>")]
 
@@ -682,6 +700,19 @@ def option_lookup(spark, d):
     return mapping.map_option(rows, load(spark, d, "v_form_option"), "colour", F.col("colour"), "mapped")
 
 
+@query(f"""
+WITH opt AS (SELECT {d_key("title || ' ' || l_orderkey")} AS key, arg_min(title || ' ' || l_orderkey, l_orderkey * 10 + l_linenumber) AS label FROM v_listing GROUP BY 1),
+v AS (SELECT source_id, upper(title) || '  ' || (l_orderkey + l_linenumber % 2) AS named FROM v_listing)
+SELECT source_id, named, o.label AS mapped FROM v LEFT JOIN opt o ON o.key = {d_key('named')}""")
+def option_lookup_many(spark, d):
+    """As many options as listings: too many to be broadcast."""
+    rows = load(spark, d, "v_listing")
+    label = F.concat_ws(" ", "title", "l_orderkey")
+    options = rows.select(F.lit("title").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), label.alias("label"))
+    named = F.concat_ws("  ", F.upper("title"), F.col("l_orderkey") + F.col("l_linenumber") % 2)
+    return mapping.map_option(rows.select("source_id", named.alias("named")), options, "title", F.col("named"), "mapped")
+
+
 @query(f"SELECT source_id, {d_condition('condition')} AS condition FROM v_listing")
 def schema_org_condition(spark, d):
     return load(spark, d, "v_listing").select("source_id", mapping.schema_org_condition(F.col("condition")).alias("condition"))

@@ -23,7 +23,7 @@ class History:
     """Rows at `path`, partitioned by bucket, run and batch; their index at `path`-index.
 
     buckets: folders, and rows that are broadcast at most. blocks: bitmaps of a bucket; with 16 bits for each address, one in
-    twenty new addresses reads a bucket for nothing. Both have to stay as they are once the history has rows."""
+    sixteen new addresses reads a bucket for nothing. Both have to stay as they are once the history has rows."""
 
     spark: SparkSession
     path: str

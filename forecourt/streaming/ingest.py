@@ -46,7 +46,7 @@ def recent_pages(spark: SparkSession, source: str, within: str = "7 days", files
     """The stream of pages by their first address in `within`, by the time of their files; an address that comes again later passes again.
 
     The state holds an address for that long only, whatever the length of the stream. Which of several pages of an address stays is
-    left open: (source_url, source_id, arrived) don't depend on it but for the time."""
+    left open: (source_url, source_id, arrived) don't depend on it but for the time. Pages without an address aren't in it."""
     pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     rows = pages.select("url", F.col("_metadata.file_modification_time").alias("arrived")).where("url IS NOT NULL")
     first = rows.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["url"])

@@ -1,6 +1,8 @@
 """Hand-written cases for the rules of the listing engine."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,36 @@ def test_specs_seats_and_mileage_share_a_token(spark):
     assert (got[4].seats, got[4].colour, got[4].condition, got[5].condition) == ("5 seater", "Frozen white", "Condition: good", ".")
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_specs_equal_plain_code(spark, seed):
+    """Random tokens, token by token, with the patterns of the survey."""
+    r = random.Random(seed)
+    words = ["5 seats", "12 Seater", "11 seats", "Heated seats", "seat 4 seats 9 km", "100 km", "20 000\xa0KM", "5 seats 100 km", "1998", "2020 ", " 19999", "Manual", "AUTO", "auto matic", "petrol", "4X4", "awd", "Frozen White",
+             "blue", "condition: ok", "Condition report of all that was seen in it", "a\ncondition", "airbag 7 seats", "x" * 40 + " 5 seats", "9 seats\n", "ABS 10 km", "", " \t ", None, "4x2\x1c", "7km", "km", "\u20035 seat\u2003"]
+    lists = [[r.choice(words) for _ in range(r.randint(0, 9))] for _ in range(300)] + [None, [], [None]]
+    space = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+    def plain(tokens):
+        every = [t.strip(space) for t in tokens or [] if t is not None]
+        usable = [t for t in every if t and len(t) <= 40 and "\n" not in t and not re.search("bluetooth|aircon|airbag|steering|abs", t, re.I)]
+        first = lambda test, skip=-1: next((i for i, t in enumerate(usable) if i != skip and test(t)), -1)
+        seats = first(lambda t: re.search(r"\b([1-9]|10|12)\s*(seats|seater|seat)\b", t, re.I))
+        at = {
+            "seats": seats, "year": first(lambda t: re.fullmatch(r"(19|20)\d{2}", t)), "mileage": first(lambda t: re.search(r"\b\d+[\d\s,]*\s*km\b", t, re.I), seats),
+            "transmission": first(lambda t: t.lower() in ("manual", "automatic", "auto")), "fuel_type": first(lambda t: t.lower() in ("petrol", "diesel", "hybrid", "electric")),
+            "drive": first(lambda t: t.lower() in ("4x2", "4x4", "awd", "fwd", "rwd")), "colour": first(lambda t: t.lower() in extract.COLOURS),
+        }
+        shown = {s: usable[i] if i >= 0 else "." for s, i in at.items()}
+        for s in ("transmission", "fuel_type", "drive", "colour"):
+            shown[s] = shown[s].lower() if s == "drive" and shown[s].lower().startswith("4x") else shown[s].capitalize()
+        stated = next((t for t in every if "condition" in t or "Condition" in t), None)
+        return shown | {"condition": stated if stated is not None and len(stated) < 35 and "\n" not in stated else "."}
+
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, t array<string>")
+    for x in extract.specs(rows, "t").collect():
+        assert {k: v for k, v in x.asDict().items() if k not in ("i", "t")} == plain(lists[x.i]), lists[x.i]
+
+
 def test_page_fields(spark):
     html = (
         '<html><body><div class="card sponsored">x<a href="/for-sale/used/1">s</a></div><article><a href="/for-sale/used/2019-R5-/77">l</a></article>'
