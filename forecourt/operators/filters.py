@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import landed, new_path
@@ -100,12 +100,12 @@ def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title"
 def first_seen(listings: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key by a total order; unlike dropDuplicates, always the same one. Rows without a key all stay.
 
-    An aggregate, not a window: a key that holds a third of all rows is reduced in every task before the shuffle. Rows without
-    a key get a number of their own for it, so that they are dealt evenly."""
-    row = F.struct(*[F.col(f"`{c}`") for c in listings.columns])
+    Spark limits each group to its first row before the shuffle too, so a key that holds a third of all rows is reduced in every
+    task; columns that aren't asked for later aren't shuffled. Rows without a key get a number of their own for it, so that they
+    are dealt evenly."""
     own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    rows = listings.select(F.col(key).alias("_key"), own.alias("_own"), row.alias("_row"), F.struct(*order).alias("_order"))
-    return rows.groupBy("_key", "_own").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    place = F.row_number().over(Window.partitionBy(key, "_own").orderBy(*order))
+    return listings.withColumn("_own", own).withColumn("_place", place).where("_place = 1").drop("_own", "_place")
 
 
 def not_seen(listings: DataFrame, history: DataFrame, key: str = "source_url") -> DataFrame:

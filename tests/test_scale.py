@@ -133,3 +133,13 @@ def test_the_option_map_equals_the_joins(spark, monkeypatch):
     assert "Join" in joined._jdf.queryExecution().toString()
     assert sorted(map(str, joined.select(mapped.columns).collect())) == by_map
     assert mapping.mapped(ads, options.where("false")).where("_mapped_fuel <=> _value_fuel").count() == 3
+
+
+def test_first_rows_are_limited_before_the_shuffle_and_carry_only_what_is_asked_for(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).cast("string").alias("key"), F.col("id").alias("pos"), F.repeat(F.lit("x"), 500).alias("wide"))
+    rows = rows.withColumn("key", F.when(F.col("pos") % 50 != 0, F.col("key")))
+    first = filters.first_seen(rows, "key", ["pos"]).select("key", "pos")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "wide" not in plan and "SortAggregate" not in plan
+    got = sorted((r.key or "", r.pos) for r in first.collect())
+    assert got == sorted([("", i) for i in range(0, 5000, 50)] + [(str(i % 7), i) for i in range(1, 8)])
