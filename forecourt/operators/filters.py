@@ -18,24 +18,39 @@ HOT = 100_000
 PARTS = 32
 
 
-def text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """texts (h and further columns) with gram: each of the different pieces of h of these sizes."""
-    grams = None
+def all_grams(c: str, size: Column | int) -> Column:
+    """The different pieces of `size` signs of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size)))
+
+
+def word_grams(c: str, size: int) -> Column:
+    """Those of its pieces of `size` signs that begin with a blank before a word: of a text that holds a needle, all that the needle has."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=( [^ ].{{{size - 2}}}))"), F.lit(1)))
+
+
+def text_grams(texts: DataFrame, sizes: list[int], words: int = 0) -> DataFrame:
+    """texts (h and further columns) with gram: each of the different pieces of h of these sizes, and of those of `words` signs
+    that begin a word, if it isn't 0."""
+    grams = texts.select("*", F.explode(word_grams("h", words)).alias("gram")) if words else None
     for size in sizes:
-        at = F.transform(F.sequence(F.lit(1), F.length("h") - size + 1), lambda i: F.substring("h", i, size))
-        own = texts.where(F.length("h") >= size).select("*", F.explode(F.array_distinct(at)).alias("gram"))
+        own = texts.where(F.length("h") >= size).select("*", F.explode(all_grams("h", size)).alias("gram"))
         grams = own if grams is None else grams.unionByName(own)
     return grams
 
 
-def signatures(haystacks: DataFrame, needles: DataFrame, k: int, sizes: list[int]) -> DataFrame:
+def signatures(haystacks: DataFrame, needles: DataFrame, k: int, sizes: list[int], words: int = 0) -> DataFrame:
     """(n, gram, df): for each needle that may be in a haystack its rarest gram of k signs, or all of it if it is shorter, and in how many haystacks that is.
 
-    A needle one of whose grams no haystack has is in none of them."""
+    A needle one of whose grams no haystack has is in none of them. If words isn't 0, only grams of so many signs that begin a word count
+    in needles that have one."""
     size = F.least(F.length("n"), F.lit(k))
-    at = F.transform(F.sequence(F.lit(1), F.length("n") - size + 1), lambda i: F.substring("n", i, size))
-    own = needles.select("n", F.array_distinct(at).alias("grams")).select("n", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
-    seen = text_grams(haystacks.select("h"), sizes).groupBy("gram").agg(F.count("*").alias("df"))
+    grams = all_grams("n", size)
+    if words:
+        grams = F.when(F.size(word_grams("n", words)) > 0, word_grams("n", words)).otherwise(grams)
+    own = needles.select("n", grams.alias("grams")).select("n", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    # Only grams that needles have are counted; few of these are broadcast.
+    own = landed(own, "grams")
+    seen = text_grams(haystacks.select("h"), sizes, words).join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
     best = own.join(seen, "gram").groupBy("n").agg(F.min(F.struct("df", "gram")).alias("rarest"), F.count("*").alias("met"), F.first("all").alias("all"))
     return best.where("met = all").select("n", "rarest.gram", "rarest.df")
 
@@ -43,20 +58,28 @@ def signatures(haystacks: DataFrame, needles: DataFrame, k: int, sizes: list[int
 def gram_pairs(haystacks: DataFrame, needles: DataFrame, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """haystacks (h and further columns) with n, for each of needles (n) that h contains, by an equi-join on the rarest gram of each needle.
 
-    Needles whose rarest gram is in over `hot` haystacks are repeated for each of PARTS parts of these, so that no task gets all
-    of them. An empty needle is in every haystack but isn't paired here."""
-    wanted = needles.where("n <> ''").distinct()
-    sizes = sorted({min(r[0], k) for r in wanted.select(F.least(F.length("n"), F.lit(k))).distinct().collect()})  # k numbers at most
-    if not sizes:
+    Both are read more than once: they should be tables. Where needles have grams of k signs that begin a word, haystacks are
+    asked for these, a few for each text; only needles without one need every place of a text. Needles whose rarest gram is in
+    over `hot` haystacks are repeated for each of PARTS parts of these, so that no task gets all of them. An empty needle is in
+    every haystack but isn't paired here."""
+    wanted = landed(needles.where("n <> ''").distinct(), "needles")
+    kinds = wanted.select((F.size(word_grams("n", k)) > 0).alias("begins"), F.least(F.length("n"), F.lit(k)).alias("size")).distinct().collect()  # 2 k at most
+    sizes, words = sorted({r.size for r in kinds if not r.begins}), k if any(r.begins for r in kinds) else 0
+    if not kinds:
         return haystacks.select("*", F.lit("").alias("n")).where("false")
-    chosen = landed(signatures(haystacks, wanted, k, sizes), "signatures")
-    grams = text_grams(haystacks, sizes)
-    pairs = grams.join(chosen.where(F.col("df") <= hot).select("n", "gram"), "gram")
-    frequent = chosen.where(F.col("df") > hot)
-    if not frequent.isEmpty():
-        parts = frequent.select("n", "gram", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-        dealt = grams.withColumn("_part", F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")).join(parts, ["gram", "_part"]).drop("_part")
-        pairs = pairs.unionByName(dealt)
+    if k in sizes:  # every place is looked at anyway
+        words = 0
+    chosen = landed(signatures(haystacks, wanted, k, sizes, words), "signatures")
+    grams = text_grams(haystacks, sizes, words)
+    if chosen.where(F.col("df") > hot).isEmpty():
+        pairs = grams.join(chosen.select("n", "gram"), "gram")
+    else:
+        # One pass over the texts for both kinds: part -1 is that of needles that aren't dealt.
+        own = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
+        dealt = F.when(F.col("df") > hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(-1)))
+        asked = F.array(own) if chosen.where(F.col("df") <= hot).isEmpty() else F.array(own, F.lit(-1))
+        parts = chosen.select("n", "gram", F.explode(dealt).alias("_part"))
+        pairs = grams.withColumn("_part", F.explode(asked)).join(parts, ["gram", "_part"]).drop("_part")
     return pairs.where(F.contains("h", "n")).drop("gram")
 
 
@@ -69,23 +92,30 @@ def exclude_by_url(listings: DataFrame, terms: DataFrame, url: str = "source_url
 
     Terms keep their hyphens, so that those with one never match, unless normalize_hyphens. Null addresses stay."""
     term = normal(F.replace("term", F.lit("-"), F.lit(" ")) if normalize_hyphens else F.col("term"))
-    wanted = terms.where("term IS NOT NULL").select(term.alias("n")).distinct()
-    # The text is made before the join: in its condition it would be made again for every term.
-    rows = listings.select(F.replace(F.lower(url), F.lit("-"), F.lit(" ")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in listings.columns]).alias("row"))
+    wanted = landed(terms.where("term IS NOT NULL").select(term.alias("n")).distinct(), "terms")
+    text = F.replace(F.lower(url), F.lit("-"), F.lit(" "))
     if wanted.count() <= theta_terms:
-        kept = rows.join(F.broadcast(wanted), F.contains("h", "n"), "left_anti")
-    elif wanted.where("n = ''").isEmpty():
-        hits = gram_pairs(rows.where("h IS NOT NULL").select("h").distinct(), wanted).select("h").distinct()
-        kept = rows.join(hits, "h", "left_anti")
-    else:
-        kept = rows.where("h IS NULL")
-    return kept.select("row.*")
+        # The text is made before the join: in its condition it would be made again for every term.
+        rows = listings.select(text.alias("h"), F.struct(*[F.col(f"`{c}`") for c in listings.columns]).alias("row"))
+        return rows.join(F.broadcast(wanted), F.contains("h", "n"), "left_anti").select("row.*")
+    if not wanted.where("n = ''").isEmpty():
+        return listings.where(F.col(url).isNull())
+    listings = landed(listings, "listings")
+    texts = listings.where(F.col(url).isNotNull()).select(text.alias("h"))
+    # A hit is known by the hash of its address and the term in it; the term is looked for again, so that equal hashes do no harm.
+    hits = landed(gram_pairs(texts, wanted).select(F.xxhash64("h").alias("_hit"), F.col("n").alias("_term")).distinct(), "hits")
+    rows = listings.withColumn("_hash", F.xxhash64(text))
+    return rows.join(hits, (F.col("_hash") == F.col("_hit")) & F.contains(text, F.col("_term")), "left_anti").drop("_hash")
 
 
 def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title", theta_terms: int = THETA_TERMS, hot: int = HOT) -> DataFrame:
-    """Listings whose title neither holds a term nor is held by one; an empty title is held by any. Decided once per title."""
-    wanted = terms.where("term IS NOT NULL").select(normal(F.col("term")).alias("n")).distinct()
+    """Listings whose title neither holds a term nor is held by one; an empty title is held by any. Decided once per title.
+
+    Distinct titles and excluded ones are tables, so that the listings are computed once for the titles and once for the result, and
+    are only shuffled where the excluded titles are too many to be broadcast."""
+    wanted = landed(terms.where("term IS NOT NULL").select(normal(F.col("term")).alias("n")).distinct(), "terms")
     titles = listings.select(F.col(title).alias("title")).distinct().withColumn("h", normal(F.coalesce("title", F.lit(""))))
+    titles = landed(titles, "titles")
     if wanted.count() <= theta_terms:
         bad = titles.join(F.broadcast(wanted), F.contains("h", "n") | F.contains("n", "h"), "left_semi")
     else:
@@ -93,7 +123,7 @@ def exclude_by_title(listings: DataFrame, terms: DataFrame, title: str = "title"
         back = gram_pairs(wanted.select(F.col("n").alias("h")), titles.select(F.col("h").alias("n")), hot=hot).select(F.col("n").alias("h"))
         hits = there.unionByName(back).distinct()
         bad = titles.where("h = ''").unionByName(titles.where("h <> ''").join(hits, "h", "left_semi"))
-    gone = bad.select(F.coalesce("title", F.lit("")).alias("gone")).distinct()
+    gone = landed(bad.select(F.coalesce("title", F.lit("")).alias("gone")).distinct(), "gone")
     return listings.join(gone, F.coalesce(F.col(title), F.lit("")) == F.col("gone"), "left_anti")
 
 

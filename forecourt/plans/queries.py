@@ -460,7 +460,7 @@ def exclude_by_url(spark, d):
 @query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT EXISTS (SELECT 1 FROM v_exclusion WHERE contains(replace(lower(source_url), '-', ' '), {D_TERM}))")
 def exclude_by_url_grams(spark, d):
     """The way of long lists."""
-    return filters.exclude_by_url(load(spark, d, "v_listing"), load(spark, d, "v_exclusion"), theta_terms=0).select(KEPT)
+    return filters.exclude_by_url(load(spark, d, "v_listing").select(KEPT), load(spark, d, "v_exclusion"), theta_terms=0)
 
 
 @query(f"SELECT {', '.join(KEPT)} FROM v_listing WHERE NOT {BAD_TITLE}")

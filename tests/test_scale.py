@@ -143,3 +143,21 @@ def test_first_rows_are_limited_before_the_shuffle_and_carry_only_what_is_asked_
     assert "WindowGroupLimit" in plan and "wide" not in plan and "SortAggregate" not in plan
     got = sorted((r.key or "", r.pos) for r in first.collect())
     assert got == sorted([("", i) for i in range(0, 5000, 50)] + [(str(i % 7), i) for i in range(1, 8)])
+
+
+def test_terms_of_words_ask_for_the_beginnings_of_words_only(spark):
+    texts = column(spark, "h", [f"{i} model {'x' * 300} series" for i in range(20)])
+    assert filters.text_grams(texts, [], 6).groupBy("h").count().agg(F.max("count")).first()[0] == 3  # not some 300
+    got = filters.gram_pairs(texts, column(spark, "n", ["7 model", "odel x"]))  # one of these has no beginning: every place counts
+    assert sorted((r.h.split()[0], r.n) for r in got.collect()) == sorted([("7", "7 model"), ("17", "7 model")] + [(str(i), "odel x") for i in range(20)])
+    plan = filters.gram_pairs(texts, column(spark, "n", ["7 model xx"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "sequence(" not in plan
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_listings_are_not_shuffled_by_title(spark, limit):
+    rows = spark.range(3000).select("id", F.concat(F.lit("199"), (F.col("id") % 10).cast("string"), F.lit(" model series")).alias("title"))
+    kept = filters.exclude_by_title(rows, column(spark, "term", ["1993 model", "1995 model series and more"]), theta_terms=limit)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Range") == 1
+    assert kept.count() == 2400
