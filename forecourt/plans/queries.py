@@ -517,6 +517,7 @@ def seen_in_stores(spark, d):
     """Addresses of earlier runs in two stores, either field; a store that was cut off, an empty one, one that isn't a list and a record that isn't
     one are set aside, and what they name counts as new."""
     rows, path = load(spark, d, "v_listing").withColumn("array", F.floor(F.col("l_orderkey") / 5000)), shared.new_path(spark, "stores")
+    rows = shared.landed(rows.select("array", "source_id", "source_url", *LISTING_ORDER), "listings")  # read five times
     write_arrays(rows.where("l_linenumber = 1"), f"{path}/cars", "array", F.to_json(F.struct(F.col("source_url").alias("Source Link"))))
     write_arrays(rows.where("l_linenumber = 2"), f"{path}/inventory", "array", F.to_json(F.struct("source_url")))
     third = rows.where("l_linenumber = 3").agg(F.min("source_url").alias("url")).select(F.to_json(F.struct(F.col("url").alias("source_url"))).alias("record"))

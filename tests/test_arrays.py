@@ -2,12 +2,14 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt.operators import filters
+from forecourt.plans import queries
 from forecourt.sources import arrays, feeds
 
 TEXT = T.StringType()
@@ -79,3 +81,9 @@ def test_links_of_stores(spark, tmp_path):
     assert sorted(x.source_url for x in filters.not_seen(listings, history).collect()) == ["e", "f"]
     assert [(x.file.rsplit("/", 1)[-1], x.problem) for x in quarantine.collect()] == [("inventory.json", "not closed")]
     assert quarantine.where(F.col("text").isNotNull()).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_listings_are_computed_once_for_all_stores(spark):
+    plan = queries.QUERIES["seen_in_stores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "s_suppkey" not in plan  # neither parts nor suppliers are broadcast again
