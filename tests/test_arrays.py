@@ -46,6 +46,32 @@ def test_arrays_in_splits_equal_the_whole(spark, tmp_path, split):
     assert got == sorted(want) and (splits > 30 if split < 400 else splits >= 3)
 
 
+@pytest.mark.parametrize(("split", "batch"), [(1500, 3), (1 << 27, 4)])
+def test_records_go_over_batches_and_splits(spark, tmp_path, split, batch):
+    """Deep records of more chunks than a batch has, next to files of one split; texts aren't shuffled, but for the ends of splits."""
+    r, want = random.Random(batch), []
+    for name, n in (("a.json", 12), ("b.json", 1), ("c.json", 7)):
+        array = random_array(r, n)
+        for x in array:
+            x["rest"] = [{"k": "}" * r.randint(0, 9)} for _ in range(r.randint(0, 9))]
+        (tmp_path / name).write_text(json.dumps(array), encoding="utf-8")
+        want += [(name, i, x["id"], x["title"], x["images"], x["more"]["a"], x["more"]["b"]["c"]) for i, x in enumerate(array)]
+    conf = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": 1, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    for key, value in conf.items():
+        spark.conf.set(key, str(value))
+    try:
+        rows = arrays.json_array_feed(spark, str(tmp_path), SCHEMA)
+        got, plan = plain(rows.collect()), rows._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        with pytest.raises(Exception, match="other splits than at first"):  # never a wrong result
+            rows.select("*").collect()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert got == sorted(want)
+    assert not [x for x in plan.splitlines() if ("Window" in x or "Aggregate" in x) and "value" in x], plan
+
+
 BAD = {
     "cut.json": '[{"id": "1"}, {"id": "2', "object.json": '{"id": "1"}', "none.json": " [ ] ", "open.json": '[{"id": "1"}', "twice.json": '[{"id": "1"}]]',
     "text.json": '[{"id": "1}]', "deep.json": '[{"id": {"a": "1"}]',
