@@ -17,11 +17,14 @@ def strip(c: Column) -> Column:
 #: All of a blank text or of one that is only a dot; else the white space at the ends.
 NOTHING_OR_ENDS = r"(?U)^[\s\x1c-\x1f]*\.?[\s\x1c-\x1f]*\z|^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
+#: Begins and ends with signs of ASCII and isn't only a dot: nothing to strip, as with most texts. Tried at the first place only.
+PLAIN = r"(?s)^(?!\.\z)[!-~](?:.*[!-~])?\z"
+
 
 def clean(c: Column, fallback: Column | str = UNKNOWN) -> Column:
-    """Stripped; null, blank and "." give fallback."""
+    """Stripped; null, blank and "." give fallback. NOTHING_OR_ENDS runs only where PLAIN doesn't hold."""
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return F.coalesce(F.nullif(F.regexp_replace(c, NOTHING_OR_ENDS, ""), F.lit("")), fallback)
+    return F.coalesce(F.nullif(F.when(c.rlike(PLAIN), c).otherwise(F.regexp_replace(c, NOTHING_OR_ENDS, "")), F.lit("")), fallback)
 
 
 def first_filled(*columns: Column) -> Column:
@@ -40,10 +43,14 @@ def match_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def without_rand(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("R"), F.lit("")), F.lit(" "), F.lit(""))
+
+
 def price_digits(c: Column) -> Column:
     """All digits once R and spaces are gone, else "0": also for null, separators, decimals and words."""
-    plain = strip(F.regexp_replace(c, "[R ]", ""))
-    return F.when(plain.rlike("^[0-9]+$"), plain).otherwise("0")
+    plain = without_rand(c)
+    return F.when(plain.rlike(r"^[0-9]+\z"), plain).otherwise(F.coalesce(F.regexp_replace(strip(plain), r"(?s)^(?![0-9]+\z).*\z", "0"), F.lit("0")))
 
 
 def digits(c: Column) -> Column:

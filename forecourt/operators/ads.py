@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import UNKNOWN, clean, first_filled, price_digits, strip
+from ..functions.exprs import UNKNOWN, clean, first_filled, price_digits, strip, without_rand
 
 # Constants of an ad, and the category it is filed under.
 CONSTANTS = {"currency": "R (Rand)", "tag": "Sale", "location": "South Africa"}
@@ -66,18 +66,21 @@ def as_highlights(listings: DataFrame) -> Column:
 def canonical(listings: DataFrame) -> DataFrame:
     """Raw listings under any of their field names as ads: 34 columns, all text but images. A list that no listing has is ''.
 
-    Fields are cleaned in one projection; the spellings under which they are shown again are another one on it."""
+    Fields are cleaned in one projection; those for which the title stands in, and the spellings under which fields are shown again, are another one
+    on it, so that no title is cleaned twice."""
     has = dict(listings.dtypes)
     fields = {name: alias(listings, names, fallback) for name, (names, fallback) in FIELDS.items()}
-    fields["variant"] = alias(listings, ["title description", "title_description", "variant"], fields["title"])
-    fields["description"] = alias(listings, ["description"], fields["title"])
+    none = F.lit(None).cast("string")
+    fields["variant"] = alias(listings, ["title description", "title_description", "variant"], none)
+    fields["description"] = alias(listings, ["description"], none)
     fields["price"] = price_digits(F.col("price").cast("string")) if "price" in has else F.lit("0")
     fields["features"] = as_text("features", has["features"]) if "features" in has else F.lit("")
     fields["vehicle highlights"] = as_highlights(listings)
     images = F.slice("images", 1, 5) if "images" in has else F.array().cast("array<string>")
     cleaned = listings.select(*[c.alias(name) for name, c in fields.items()], images.alias("images"))
     names = {name: name for name in fields} | SPELLINGS
-    return cleaned.select(*[F.col(f"`{of}`").alias(name) for name, of in names.items()], *[F.lit(v).alias(k) for k, v in CONSTANTS.items()], "images")
+    shown = {of: F.coalesce(of, "title") if of in ("variant", "description") else F.col(f"`{of}`") for of in fields}
+    return cleaned.select(*[shown[of].alias(name) for name, of in names.items()], *[F.lit(v).alias(k) for k, v in CONSTANTS.items()], "images")
 
 
 def with_categories(ads: DataFrame) -> DataFrame:
@@ -135,8 +138,9 @@ def payload(ads: DataFrame) -> DataFrame:
         if c is None:
             return F.lit(TOP_CONDITION)
         if name == "price":
-            return strip(F.regexp_replace("price", "[R ]", ""))
+            plain = without_rand(F.col("price"))
+            return F.when(plain.rlike(r"^[0-9]+\z"), plain).otherwise(strip(plain))
         return F.coalesce(F.nullif(F.col(f"`{c}`"), F.lit("")), F.col("title") if name == "description" else F.lit(UNKNOWN))
 
-    values = [F.struct(F.lit(name).alias("name"), value(name, c).alias("value")) for name, c in SLOTS]
-    return ads.select("source_id", F.posexplode(F.array(*values)).alias("slot", "at")).select("source_id", "slot", "at.name", "at.value")
+    slots = ads.select("source_id", F.posexplode(F.array(*[value(name, c) for name, c in SLOTS])).alias("slot", "value"))
+    return slots.select("source_id", "slot", F.get(F.array(*[F.lit(name) for name, _ in SLOTS]), F.col("slot")).alias("name"), "value")

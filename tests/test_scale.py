@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import filters, mapping, queue, report
+from forecourt.operators import ads, filters, mapping, queue, report
 
 
 def column(spark, name, values):
@@ -161,3 +161,20 @@ def test_listings_are_not_shuffled_by_title(spark, limit):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Range") == 1
     assert kept.count() == 2400
+
+
+def test_a_payload_cleans_each_field_once_and_makes_no_row_of_a_slot(spark):
+    texts = [None, "", " ", ".", " . ", "..", "a", " a", "a.", " a b ", "é", " é ", "\x1fx", "a\n", "\n.\n", "R 1", "R 12 345", "1 ", "12\n3", "R", "1,5", "١"]
+    rows = spark.createDataFrame([(str(i), t, t) for i, t in enumerate(texts)], "source_id string, title string, price string")
+    made = ads.payload(ads.canonical(rows))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(title") == 1 and "struct(" not in plan
+    got = {(int(r.source_id), r.name): (r.slot, r.value) for r in made.collect()}
+    for i, t in enumerate(texts):
+        title = (t or "").strip()
+        title = "Used Car" if title in ("", ".") else title
+        digits = (t or "").replace("R", "").replace(" ", "").strip()
+        price = digits if digits.isascii() and digits.isdigit() else "0"
+        want = {"title": (0, title), "variant": (1, title), "top_condition": (2, "Used"), "price": (19, price), "description": (21, title)}
+        assert {k: got[i, k] for k in want} == want, t
+    assert len(got) == 22 * len(texts)
